@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lapreplay.llm import decontaminate, pack, prefix_join, quality_rules, token_counts, token_files
+from lapreplay.llm import decontaminate, pack, pii, prefix_join, quality_crf, quality_rules, token_counts, token_files
 
 
 def vocabulary(name: str) -> str:
@@ -29,6 +29,10 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents"))
+
+
 def op6_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_join.similar_classes(table(spark, sf_dir, "documents"))
 
@@ -37,10 +41,14 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op8_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_crf.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_token_files, op4_decontaminate, op6_prefix_join, op7_token_counts, op9_pack)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_token_files, op4_decontaminate, op5_pii, op6_prefix_join, op7_token_counts, op8_quality_crf, op9_pack)}
 
 SQL = {"op1_quality_rules": quality_rules.SQL, "op4_decontaminate": decontaminate.SQL}
