@@ -105,6 +105,15 @@ def hits(d: DataFrame, windows: DataFrame, broadcast_rows: int = BROADCAST_ROWS)
     ).drop("_row")
 
 
+def without_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
+    """The documents that hold no window of a test item, all columns kept. Rows are matched by id and text."""
+    key = [F.col(id_col), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))]
+    tagged = docs.select(F.struct(key[0].alias("id"), key[1].alias("hash")).alias("_key"), F.col(text_col).alias("_t"))
+    clean = decontaminate(tagged, items, "_key", "_t", **more).filter("not contaminated")
+    clean = clean.select(F.col("doc_id.id").alias("_kept"), F.col("doc_id.hash").alias("_hash")).distinct()
+    return docs.join(clean, key[0].eqNullSafe(clean["_kept"]) & (key[1] == clean["_hash"]), "left_semi")
+
+
 #: The same result in SQL, over the tables ``documents`` and ``benchmark``.
 SQL = r"""
 WITH d AS (

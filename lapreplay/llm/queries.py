@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from lapreplay.llm import decontaminate, pack, pii, prefix_join, quality_crf, quality_rules, token_counts, token_files
+from lapreplay.llm import compaction, decontaminate, html_text, pack, pii, prefix_join, quality_crf, quality_rules, token_counts, token_files
 
 
 def vocabulary(name: str) -> str:
@@ -25,6 +26,10 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -49,6 +54,10 @@ def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_token_files, op4_decontaminate, op5_pii, op6_prefix_join, op7_token_counts, op8_quality_crf, op9_pack)}
+def op10_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compaction.shard_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_token_files, op3_html_text, op4_decontaminate, op5_pii, op6_prefix_join, op7_token_counts, op8_quality_crf, op9_pack, op10_compaction)} | {"pipeline": corpus_pipeline.run}
 
 SQL = {"op1_quality_rules": quality_rules.SQL, "op4_decontaminate": decontaminate.SQL}
