@@ -5,7 +5,8 @@ hold come last, the rest ascend. Sets that reach the threshold share one of thei
 hashes (the prefix), so documents meet by prefix hash.
 
 1. Sets are made once; copies with equal sets are one class. Hashes that are frequent among the low ends of
-   all sets go to the end of the order.
+   all sets go to the end of the order. With l - 1 more hashes in the prefix, similar sets share l of them: a class
+   with fewer hashes that any other has can't be similar to one, and leaves here.
 2. Classes with the same first shared prefix hash form a block of bounded size. A block puts its sets into a
    prefix tree and looks every set up in it: subtrees share the overlap counted so far and are left out once
    what remains can't reach the threshold. A block returns a spanning forest of its links.
@@ -19,7 +20,6 @@ from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -33,6 +33,8 @@ REMEMBERED = 800_000
 FREQUENT_LIMIT = 1_000_000
 BLOCK = 512
 SKETCH = 512
+#: One more than 1/SHARED of the prefix: how many prefix hashes similar sets share, with the prefix that much longer.
+SHARED = 4
 
 
 class _Hashes(dict):
@@ -72,6 +74,11 @@ def prefix_length(n, num: int, den: int):
     return n - -(-num * n // den) + 1
 
 
+def shared_at_least(p):
+    """How many of its longer prefix's hashes a set of prefix length ``p`` must share."""
+    return p // SHARED + 1
+
+
 def packed(tokens: np.ndarray) -> bytes:
     """40-bit numbers, five bytes each."""
     return tokens.astype("<u8").view("u1").reshape(-1, 8)[:, :5].tobytes()
@@ -83,24 +90,22 @@ def unpacked(data: bytes) -> np.ndarray:
     return x.view("<u8").ravel().astype("i8")
 
 
-def sketch(tokens: np.ndarray) -> bytes:
-    """Parity of how many tokens fall to each of 512 bits: two sketches differ in no more bits than their sets in elements."""
-    return np.packbits((np.bincount(tokens & (SKETCH - 1), minlength=SKETCH) & 1).astype(bool)).tobytes()
+def sketch(tokens: np.ndarray, bits: int = SKETCH) -> bytes:
+    """Parity of how many tokens fall to each bit: two sketches differ in no more bits than their sets in elements."""
+    return np.packbits((np.bincount(tokens & (bits - 1), minlength=bits) & 1).astype(bool)).tobytes()
 
 
-def set_batches(rows: Iterator[pa.RecordBatch], n: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """Sets of the documents; ``low`` has twice the prefix, ``key`` names the set."""
+def set_batches(rows: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """Sets of the documents; ``key`` names the set."""
     shingles = Shingler(n)
     for batch in rows:
-        sizes, keys, lows, all_ = [], [], [], []
+        sizes, keys, tokens = [], [], []
         for text in batch.column("_text").to_pylist():
             x = shingles(text)
             sizes.append(len(x))
             keys.append(xxhash.xxh64_intdigest(x.tobytes()) - (1 << 63))
-            data = packed(np.unique(x >> np.uint64(24)))
-            lows.append(data[: 5 * 2 * prefix_length(len(x), num, den)])
-            all_.append(data)
-        yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(lows, pa.binary()), pa.array(all_, pa.binary())], ["_id", "n", "key", "low", "tokens"])
+            tokens.append(packed(np.unique(x >> np.uint64(24))))
+        yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(tokens, pa.binary())], ["_id", "n", "key", "tokens"])
 
 
 def once(rows: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -115,10 +120,15 @@ def once(rows: Iterator[pa.RecordBatch]) -> Iterator[dict]:
                 yield r
 
 
-def low_tokens(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def low_end(r: dict, num: int, den: int) -> np.ndarray:
+    """Twice the prefix from the low end of a set."""
+    return unpacked(r["tokens"][: 10 * prefix_length(r["n"], num, den)])
+
+
+def low_tokens(rows: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
     held, size = [], 0
     for r in once(rows):
-        held.append(unpacked(r["low"]))
+        held.append(low_end(r, num, den))
         size += len(held[-1])
         if size > 500_000:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held))], ["token"])
@@ -138,7 +148,8 @@ def prefixes(rows: Iterator[pa.RecordBatch], frequent, num: int, den: int) -> It
 
     for r in once(rows):
         p = prefix_length(r["n"], num, den)
-        low = unpacked(r["low"])
+        p += shared_at_least(p) - 1
+        low = low_end(r, num, den)
         found = low[~is_in(low, often)]
         if len(found) < p:
             every = unpacked(r["tokens"])
@@ -160,55 +171,43 @@ def is_in(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return ordered[at] == x
 
 
-def token_runs(rows: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[list[np.ndarray]]:
-    """Of rows sorted by ``token``: the columns of each token's rows, repeated keys once."""
-    rest = None
+def whole_runs(rows: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Of rows sorted by ``token`` and ``key``: tables in which no token is cut off, each key once, and where its runs begin.
+
+    Only tokens of several keys are kept. A table holds a batch or two unless one token has more.
+    """
+    rest, waiting = None, 0
     for batch in rows:
         table = pa.Table.from_batches([batch]).select(columns)
         rest = table if rest is None else pa.concat_tables([rest, table])
+        waiting += batch.num_rows
+        if waiting < 20_000:
+            continue
         token = rest.column("token").to_numpy()
-        cut = int(np.searchsorted(token, token[-1])) if len(token) else 0  # the last run may go on
-        if cut:
-            yield from _runs_of(rest.slice(0, cut))
-            rest = rest.slice(cut)
+        if cut := int(np.searchsorted(token, token[-1])):  # the last run may go on
+            yield several(rest.slice(0, cut))
+            rest, waiting = rest.slice(cut), rest.num_rows - cut
+        else:
+            waiting = 0
     if rest is not None and rest.num_rows:
-        yield from _runs_of(rest)
+        yield several(rest)
 
 
-def _runs_of(table: pa.Table) -> Iterator[list]:
+def several(table: pa.Table) -> tuple[pa.Table, np.ndarray]:
     token, key = table.column("token").to_numpy(), table.column("key").to_numpy()
-    first = np.append(True, (token[1:] != token[:-1]) | (key[1:] != key[:-1]))  # copies stand side by side
-    at = np.flatnonzero(first)
+    at = np.flatnonzero(np.append(True, (token[1:] != token[:-1]) | (key[1:] != key[:-1])))  # copies stand side by side
     heads = np.flatnonzero(np.append(True, token[at][1:] != token[at][:-1]))
-    ends = np.append(heads[1:], len(at))
-    several = ends - heads > 1
-    columns = [table.column(c) for c in table.column_names]
-    for a, b in zip(heads[several].tolist(), ends[several].tolist(), strict=True):
-        yield [c.take(pa.array(at[a:b])) for c in columns]
+    sizes = np.diff(np.append(heads, len(at)))
+    at = at[np.repeat(sizes > 1, sizes)]
+    sizes = sizes[sizes > 1]
+    return table.take(pa.array(at)), np.append(0, np.cumsum(sizes))
 
 
 def shared_rows(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Prefix rows whose token more than one key has, with the number of keys."""
-    for run in grouped(token_runs(rows, ["token", "key", "n"])):
-        yield run
-
-
-def grouped(runs: Iterator[list]) -> Iterator[pa.RecordBatch]:
-    held, size = [], 0
-
-    def out() -> pa.RecordBatch:
-        cells = [np.concatenate([x[i] for x in held]) for i in range(4)]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in cells], ["token", "key", "n", "keys"])
-
-    for run in runs:
-        token, key, n = (c.to_numpy() for c in run)
-        held.append((token, key, n, np.full(len(token), len(token))))
-        size += len(token)
-        if size > 200_000:
-            yield out()
-            held, size = [], 0
-    if held:
-        yield out()
+    for table, ends in whole_runs(rows, ["token", "key", "n"]):
+        sizes = np.diff(ends)
+        yield from table.append_column("keys", pa.array(np.repeat(sizes, sizes), pa.int64())).to_batches()
 
 
 class Node:
@@ -260,15 +259,16 @@ def look_up(root: Node, ids: np.ndarray, n: int, sizes: np.ndarray, mark: np.nda
     return found
 
 
-def block_links(rows: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
-    """A spanning forest of the links within a block, each link to the tree's smallest key."""
-    rows = rows.drop_duplicates("key").sort_values(["n", "key"])
-    sets = [unpacked(t) for t in rows["tokens"]]
+def block_links(rows: pa.Table, num: int, den: int) -> pa.Table:
+    """A spanning forest of the links within a block, each link to one set of the tree."""
+    rows = rows.sort_by([("n", "ascending"), ("key", "ascending")])
+    key, sizes = rows.column("key").to_numpy(), rows.column("n").to_numpy()
+    sets = [unpacked(t) for t in rows.column("tokens").to_pylist()]
     names, count = np.unique(np.concatenate(sets), return_counts=True)
     place = np.empty(len(names), "i8")
     place[np.argsort(-count, kind="stable")] = np.arange(len(names))  # what many share comes first
     sets = [np.sort(place[np.searchsorted(names, s)]) for s in sets]
-    key, sizes, mark = rows["key"].to_numpy(), rows["n"].to_numpy(), np.zeros(len(names), bool)
+    mark = np.zeros(len(names), bool)
     root, up = Node(np.zeros(0, "i8"), 0), list(range(len(sets)))
 
     def top(i: int) -> int:
@@ -285,31 +285,56 @@ def block_links(rows: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
         insert(root, s, i)
     tops = np.array([top(i) for i in range(len(sets))])
     far = np.flatnonzero(tops != np.arange(len(sets)))
-    return pd.DataFrame({"a": key[far], "b": key[tops[far]]})
+    return pa.table({"a": pa.array(key[far], pa.int64()), "b": pa.array(key[tops[far]], pa.int64())})
+
+
+def block_function(num: int, den: int):
+    return lambda rows: block_links(rows, num, den)
 
 
 def residual_pairs(rows: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of a token's keys in different components that sizes and sketches allow, at the first token both share."""
-    for run in token_runs(rows, ["token", "key", "n", "root", "sketch", "before"]):
-        root = run[3].to_numpy()
-        if (root == root[0]).all():
-            continue
-        token, key, n = run[0][0].as_py(), run[1].to_numpy(), run[2].to_numpy()
-        bits = np.frombuffer(b"".join(run[4].to_pylist()), "<u8").reshape(len(key), -1)
-        before = [set(x) for x in run[5].to_pylist()]
-        left, right = [], []
-        for i in range(len(key) - 1):
-            j = np.arange(i + 1, len(key))
-            j = j[(root[j] != root[i]) & (np.minimum(n[j], n[i]) * den >= np.maximum(n[j], n[i]) * num)]
-            far = np.bitwise_count(bits[j] ^ bits[i]).sum(1)
-            j = j[far * (num + den) <= (n[j] + n[i]) * (den - num)]
-            j = [k for k in j.tolist() if not before[i] & before[k]]
-            left += [int(key[i])] * len(j)
-            right += key[j].tolist()
+    """Pairs of a token's keys in different components that sizes and sketches allow.
+
+    A pair that also shares one of the few tokens before comes from there. Those further back aren't looked at: similar
+    sets share most of their tokens, so few pairs come twice.
+    """
+    for table, ends in whole_runs(rows, ["token", "key", "n", "root", "sketch", "before"]):
+        key, n, root = (table.column(c).to_numpy() for c in ("key", "n", "root"))
+        bits = np.frombuffer(b"".join(table.column("sketch").to_pylist()), "<u8").reshape(len(key), -1)
+        earlier, left, right = table.column("before"), [], []
+        for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            if (root[a:b] == root[a]).all():
+                continue
+            for first in range(a, b, 128):  # rows of the pairs at a time
+                i, j = np.arange(first, min(first + 128, b))[:, None], np.arange(a, b)[None, :]
+                able = (i < j) & (root[i] != root[j]) & (np.minimum(n[i], n[j]) * den >= np.maximum(n[i], n[j]) * num)
+                x, y = np.nonzero(able)
+                x, y = x + first, y + a
+                far = np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype="i8")
+                near = far * (num + den) <= (n[x] + n[y]) * (den - num)
+                for p, q in zip(x[near].tolist(), y[near].tolist(), strict=True):
+                    if not set(earlier[p].as_py()) & set(earlier[q].as_py()):
+                        left.append(int(key[p]))
+                        right.append(int(key[q]))
         if left:
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
 
+def closer(rows: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """The pairs that their long sketches allow. The longer one is folded to the length of the other."""
+    for batch in rows:
+        keep = []
+        for r in batch.to_pylist():
+            x, y = np.frombuffer(r["x"], "u1"), np.frombuffer(r["y"], "u1")
+            while len(x) > len(y):
+                x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+            while len(y) > len(x):
+                y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+            far = int(np.bitwise_count(x ^ y).sum(dtype="i8"))
+            keep.append(far * (num + den) <= (r["nx"] + r["ny"]) * (den - num))
+        yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+
+
 def compare(rows: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
     """The pairs that are similar, by their sets."""
     for batch in rows:
@@ -320,6 +345,19 @@ def compare(rows: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.R
         yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
 
+def with_sides(pairs: DataFrame, data: DataFrame) -> DataFrame:
+    """``pairs`` beside ``n`` and ``data`` (as ``x``, ``y``) of both keys."""
+    side = lambda end, size, name: data.select(F.col("key").alias(end), F.col("n").alias(size), F.col("data").alias(name))
+    return pairs.select("a", "b").join(side("a", "nx", "x"), "a").join(side("b", "ny", "y"), "b").select("a", "b", "nx", "ny", "x", "y")
+
+
+def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose keys are in different components, with these as ``ra``, ``rb``."""
+    of = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"r{end}"))
+    out = pairs.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return out.select("a", "b", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb")).filter("ra <> rb")
+
+
 def similar_classes(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Size of each document's set of word ``n``-grams, and the smallest id that links reach.
 
@@ -332,7 +370,7 @@ def similar_classes(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100,
     d = text_rows(docs, id_col, text_col)
     kind = d.schema["_id"].dataType.simpleString()
     d = d.select("_id", F.col("_text").cast("binary").alias("_text"))
-    sets = written(d.mapInArrow(partial(set_batches, n=n, num=num, den=den), f"_id {kind}, n long, key long, low binary, tokens binary"), "sets")
+    sets = written(d.mapInArrow(partial(set_batches, n=n), f"_id {kind}, n long, key long, tokens binary"), "sets")
     links = class_links(sets, num, den, broadcast_rows)
     roots = components(links)
     keys = sets.filter("n > 0").groupBy("key").agg(F.min("_id").alias("least"))
@@ -347,16 +385,18 @@ def similar_classes(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100,
 def class_links(sets: DataFrame, num: int, den: int, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Links ``a, b`` between keys of ``sets`` that join the same keys as all links do."""
     spark = sets.sparkSession
-    counts = written(sets.select("n", "key", "low").mapInArrow(low_tokens, "token long").groupBy("token").agg(F.count("*").alias("c")).filter("c > 64"), "frequent")
+    counts = written(sets.select("n", "key", "tokens").mapInArrow(partial(low_tokens, num=num, den=den), "token long").groupBy("token").agg(F.count("*").alias("c")).filter("c > 64"), "frequent")
     # At most FREQUENT_LIMIT hashes are sent to all tasks: the threshold rises until they are few enough.
     least = 64
     while counts.filter(F.col("c") > least).count() > FREQUENT_LIMIT:
         least *= 2
     often = spark.sparkContext.broadcast(np.sort(np.array([r["token"] for r in counts.filter(F.col("c") > least).select("token").toLocalIterator()], "i8")))
-    heads = sets.select("n", "key", "low", "tokens").mapInArrow(partial(prefixes, frequent=often, num=num, den=den), "token long, key long, n long")
+    heads = sets.select("n", "key", "tokens").mapInArrow(partial(prefixes, frequent=often, num=num, den=den), "token long, key long, n long")
     heads = heads.repartition("token").sortWithinPartitions("token", "key")
     shared = written(heads.mapInArrow(shared_rows, "token long, key long, n long, keys long"), "shared")
-    first = written(shared.groupBy("key").agg(F.min(F.struct("token", "keys")).alias("t")).select("key", F.col("t.token").alias("block"), F.col("t.keys").alias("keys")), "first")
+    prefix = F.col("n") - F.ceil(F.lit(num) * F.col("n") / den) + 1
+    first = shared.groupBy("key").agg(F.min(F.struct("token", "keys")).alias("t"), F.count("*").alias("c"), F.first("n").alias("n")).filter(F.col("c") >= F.floor(prefix / SHARED) + 1)
+    first = written(first.select("key", F.col("t.token").alias("block"), F.col("t.keys").alias("keys")), "first")
     near = F.broadcast(first) if first.count() <= broadcast_rows else first
     own = sets.select("key", "n", "tokens").join(near, "key").groupBy("key").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("block").alias("block"), F.first("keys").alias("keys"))
     own = written(own, "candidates")
@@ -365,24 +405,34 @@ def class_links(sets: DataFrame, num: int, den: int, broadcast_rows: int = BROAD
     hub = F.pmod(F.xxhash64("key", F.lit(1)), F.greatest(F.lit(1), (F.col("keys") / 16).cast("int"))) == 0
     part = F.when(hub, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("key"), parts).cast("int")))
     blocks = own.select("block", F.explode(part).alias("part"), "key", "n", "tokens").groupBy("block", "part")
-    links = written(blocks.applyInPandas(partial(block_links, num=num, den=den), "a long, b long"), "block-links")
+    links = written(blocks.applyInArrow(block_function(num, den), "a long, b long"), "block-links")
     roots = written(components(links), "roots")
+    shared = shared.join(near.select("key"), "key", "left_semi")
     rows = shared.join(roots, shared["key"] == roots["node"], "left").select("token", "key", "n", F.coalesce("root", "key").alias("root"))
     open_ = rows.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("token")
     rows = rows.join(open_, "token", "left_semi")
     lists = rows.groupBy("key").agg(F.first("n").alias("n"), F.first("root").alias("root"), F.sort_array(F.collect_set("token")).alias("all"))
     lists = lists.join(own.select("key", "tokens").mapInArrow(sketches, "key long, sketch binary"), "key")
-    rows = lists.select("key", "n", "root", "sketch", "all", F.posexplode("all").alias("i", "token")).withColumn("before", F.slice("all", F.lit(1), F.col("i"))).drop("all", "i")
+    rows = lists.select("key", "n", "root", "sketch", "all", F.posexplode("all").alias("i", "token")).withColumn("before", F.slice("all", F.greatest(F.col("i") - 3, F.lit(1)), F.least(F.col("i"), F.lit(4)))).drop("all", "i")
     rows = rows.repartition("token").sortWithinPartitions("token", "key")
     pairs = written(rows.mapInArrow(partial(residual_pairs, num=num, den=den), "a long, b long").distinct(), "pairs")
-    side = lambda end, size, data: own.select(F.col("key").alias(end), F.col("n").alias(size), F.col("tokens").alias(data))
-    rest = pairs.join(side("a", "nx", "x"), "a").join(side("b", "ny", "y"), "b").mapInArrow(partial(compare, num=num, den=den), "a long, b long")
-    return links.unionByName(rest)
-
-
-def sketches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = "a long, b long"
+    wide = own.select("key", "tokens").mapInArrow(partial(sketches, scale=4), "key long, sketch binary")
+    wide = own.select("key", "n").join(wide.withColumnRenamed("sketch", "data"), "key")
+    close = written(with_sides(pairs, wide).mapInArrow(partial(closer, num=num, den=den), schema), "close")
+    sets_of = own.select("key", "n", F.col("tokens").alias("data"))
+    exact = lambda some: written(with_sides(some, sets_of).mapInArrow(partial(compare, num=num, den=den), schema), "similar")
+    one = apart(close, roots).groupBy(F.least("ra", "rb").alias("x"), F.greatest("ra", "rb").alias("y")).agg(F.min(F.struct("a", "b")).alias("p")).select("p.*")
+    links = written(links.unionByName(exact(one)), "links")
+    return links.unionByName(exact(apart(close, written(components(links), "roots"))))
+
+
+def sketches(rows: Iterator[pa.RecordBatch], scale: int = 0) -> Iterator[pa.RecordBatch]:
+    """Sketches of the sets: of 512 bits, or with ``scale`` of the power of two from so many times the size up."""
     for batch in rows:
-        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([sketch(unpacked(t)) for t in batch.column("tokens").to_pylist()], pa.binary())], ["key", "sketch"])
+        sets = [unpacked(t) for t in batch.column("tokens").to_pylist()]
+        found = [sketch(s, max(SKETCH, 1 << (scale * len(s)).bit_length()) if scale else SKETCH) for s in sets]
+        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(found, pa.binary())], ["key", "sketch"])
 
 
 def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
