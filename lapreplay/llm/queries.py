@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Callable
+from functools import wraps
+
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,6 +62,21 @@ def op10_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compaction.shard_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_token_files, op3_html_text, op4_decontaminate, op5_pii, op6_prefix_join, op7_token_counts, op8_quality_crf, op9_pack, op10_compaction)} | {"pipeline": corpus_pipeline.run}
+def importable(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """``query``, whose tasks find this package where the driver has it, whatever the working directory."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        root = os.path.dirname(os.path.abspath(corpus_pipeline.__file__))
+        env = spark.sparkContext.environment
+        if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+            env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH")]))
+        return query(spark, sf_dir)
+
+    return run
+
+
+_ALL = (op1_quality_rules, op2_token_files, op3_html_text, op4_decontaminate, op5_pii, op6_prefix_join, op7_token_counts, op8_quality_crf, op9_pack, op10_compaction)
+QUERIES = {f.__name__: importable(f) for f in _ALL} | {"pipeline": importable(corpus_pipeline.run)}
 
 SQL = {"op1_quality_rules": quality_rules.SQL, "op4_decontaminate": decontaminate.SQL}
