@@ -43,3 +43,24 @@ def test_flows(spark, tmp_path):
     report = flows.prepare_race_data(raw, sessions_of(spark), f"file://{tmp_path}/prepared").first()
     assert (report.row_count, report.input_validation) == (8, "[]")
     assert spark.read.parquet(f"file://{tmp_path}/prepared/laps").count() == 8
+
+
+def test_failed_write_leaves_nothing(spark, tmp_path):
+    path = f"file://{tmp_path}/failed"
+    broken = the_dataset(spark).withColumn("TyreLife", F.when(F.col("SnapshotLap") == 3, F.raise_error(F.lit("lost")).cast("double")).otherwise(F.col("TyreLife")))
+    with pytest.raises(Exception, match="lost"):
+        io.write_race_dataset(broken, path, check=False)
+    assert not io.exists(spark, f"{path}-manifest") and not list(tmp_path.rglob("part-*.parquet"))
+
+
+def test_inventory_files(spark, tmp_path):
+    from lapreplay.operators import profile
+
+    laps = laps_of(spark).withColumn("LapTime", F.col("LapTimeSeconds"))
+    found = profile.race_inventory(sessions_of(spark), {"laps": laps, "results": results_of(spark), "weather": None})
+    io.write_inventory(found, f"file://{tmp_path}/inventory")
+    assert [p.name for p in tmp_path.glob("inventory/_race=*")] == ["_race=2024_test_race"]
+    with pytest.raises(ArtifactError):
+        io.write_inventory(found, f"file://{tmp_path}/inventory")
+    with pytest.raises(ValueError):
+        profile.race_inventory(sessions_of(spark), {"laps": None})
