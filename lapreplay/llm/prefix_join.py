@@ -34,7 +34,7 @@ FREQUENT_LIMIT = 1_000_000
 BLOCK = 512
 SKETCH = 512
 #: One more than 1/SHARED of the prefix: how many prefix hashes similar sets share, with the prefix that much longer.
-SHARED = 4
+SHARED = 2
 
 
 class _Hashes(dict):
