@@ -30,12 +30,11 @@ def word_hashes(text: Column) -> Column:
 
 def runs(d: DataFrame) -> DataFrame:
     """Adds ``_runs``: for each run of windows with one fingerprint, the fingerprint, first position and window hashes."""
-    spare = GRAM - WINDOW + 2 * GRAM - 1  # grams after the window's first one, less one
     d = d.withColumn("_grams", ngram_hashes(F.col("_words"), GRAM))
-    heads = F.slice("_grams", F.lit(1), F.greatest(F.size("_grams") - GRAM, F.lit(0)))
+    heads = F.slice("_grams", F.lit(1), F.greatest(F.size("_grams") - (WINDOW - GRAM), F.lit(0)))  # one for each window
     gram = lambda i, j: F.get(F.col("_grams"), i + j)
-    d = d.withColumn("_least", F.transform(heads, lambda _, i: F.least(*[gram(i, j) for j in range(spare + 2)])))
-    d = d.withColumn("_whole", F.transform(heads, lambda g, i: F.xxhash64(g, gram(i, GRAM))))
+    d = d.withColumn("_least", F.transform(heads, lambda _, i: F.least(*[gram(i, j) for j in range(WINDOW - GRAM + 1)])))
+    d = d.withColumn("_whole", F.transform(heads, lambda g, i: F.xxhash64(g, gram(i, WINDOW - GRAM))))
     same = lambda x, i: F.coalesce(F.get(F.col("_least"), i - 1) == x, F.lit(False))
     starts = F.filter(F.transform("_least", lambda x, i: F.when(~same(x, i), i)), lambda i: i.isNotNull())
     d = d.withColumn("_starts", starts)
@@ -101,8 +100,8 @@ def hits(d: DataFrame, windows: DataFrame, broadcast_rows: int = BROADCAST_ROWS)
     covered = F.aggregate(F.sort_array("_spans"), zero, add, lambda a: a["sum"])
     return d.select(
         F.col("_id").alias("doc_id"), "n_words", covered.cast("long").alias("n_hit"), F.size("_items").cast("long").alias("n_items"),
-        F.sha2(F.concat_ws(",", F.sort_array("_items")), 256).alias("items_sha256"), (F.size("_items") > 0).alias("contaminated"), "_spans", "_row",
-    ).drop("_row")
+        F.sha2(F.concat_ws(",", F.sort_array("_items")), 256).alias("items_sha256"), (F.size("_items") > 0).alias("contaminated"), "_spans",
+    )
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:

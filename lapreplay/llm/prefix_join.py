@@ -366,7 +366,6 @@ def similar_classes(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100,
     link like any others. Null ids never name a component unless all of it is null. An empty table gives an empty one.
     Sets of 40-bit hashes are compared; equal sets are told by 64 bits.
     """
-    spark = docs.sparkSession
     d = text_rows(docs, id_col, text_col)
     kind = d.schema["_id"].dataType.simpleString()
     d = d.select("_id", F.col("_text").cast("binary").alias("_text"))
