@@ -5,8 +5,8 @@ hold come last, the rest ascend. Sets that reach the threshold share one of thei
 hashes (the prefix), so documents meet by prefix hash.
 
 1. Sets are made once; copies with equal sets are one class. Hashes that are frequent among the low ends of
-   all sets go to the end of the order. With l - 1 more hashes in the prefix, similar sets share l of them: a class
-   with fewer hashes that any other has can't be similar to one, and leaves here.
+   all sets go to the end of the order. With l - 1 more hashes in the prefix, similar sets share l of them, by the l
+   of the smaller set: a class with fewer hashes that any other has than its smallest partner asks for leaves here.
 2. Classes with the same first shared prefix hash form a block of bounded size. A block puts its sets into a
    prefix tree and looks every set up in it: subtrees share the overlap counted so far and are left out once
    what remains can't reach the threshold. A block returns a spanning forest of its links.
@@ -79,6 +79,11 @@ def shared_at_least(p):
     return p // SHARED + 1
 
 
+def needed(n, num: int, den: int):
+    """How many of its longer prefix's hashes a set of ``n`` shares with any similar one: as many as the smallest such set asks for."""
+    return shared_at_least(prefix_length(-(-num * n // den), num, den))
+
+
 def packed(tokens: np.ndarray) -> bytes:
     """40-bit numbers, five bytes each."""
     return tokens.astype("<u8").view("u1").reshape(-1, 8)[:, :5].tobytes()
@@ -393,7 +398,8 @@ def class_links(sets: DataFrame, num: int, den: int, broadcast_rows: int = BROAD
     heads = sets.select("n", "key", "tokens").mapInArrow(partial(prefixes, frequent=often, num=num, den=den), "token long, key long, n long")
     heads = heads.repartition("token").sortWithinPartitions("token", "key")
     shared = written(heads.mapInArrow(shared_rows, "token long, key long, n long, keys long"), "shared")
-    prefix = F.col("n") - F.ceil(F.lit(num) * F.col("n") / den) + 1
+    partner = F.ceil(F.lit(num) * F.col("n") / den)  # ``needed`` in SQL
+    prefix = partner - F.ceil(F.lit(num) * partner / den) + 1
     first = shared.groupBy("key").agg(F.min(F.struct("token", "keys")).alias("t"), F.count("*").alias("c"), F.first("n").alias("n")).filter(F.col("c") >= F.floor(prefix / SHARED) + 1)
     first = written(first.select("key", F.col("t.token").alias("block"), F.col("t.keys").alias("keys")), "first")
     near = F.broadcast(first) if first.count() <= broadcast_rows else first
