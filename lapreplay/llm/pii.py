@@ -19,14 +19,15 @@ from lapreplay.llm.common import text_rows, written
 KINDS = ("email", "ip", "card", "phone", "contact", "key", "number")
 _LOCAL = r"[A-Za-z0-9._%+-]"
 # A match begins where a run begins or the last match ended: the same matches as without that, in linear time.
+# Repeated groups are possessive: Java matches others by recursion, and a long text overflows the stack.
 PATTERNS = {
-    "email": rf"(?:(?<!{_LOCAL})|\G){_LOCAL}++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    "email": rf"(?:(?<!{_LOCAL})|\G){_LOCAL}++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:(?<![0-9])|\G)[0-9]++(?:\.[0-9]+){3}",
-    "card": r"[0-9](?:[\x20-]?[0-9])+",
+    "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "contact": r"(?:(?<![^\s@])|\G)[^\s@]{1,64}+(?:@|\x20?[\[(]at[\])]\x20?)[^\s@]{1,255}",
     "key": r"(?:(?<![A-Za-z0-9_/+=-])|\G)[A-Za-z0-9_/+=-]{16,}+",
-    "number": r"[0-9](?:[\x20().-]{0,2}[0-9])+",
+    "number": r"[0-9](?:[\x20().-]{0,2}[0-9])++",
 }
 #: What a text must contain for a pattern to match at all.
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]+\.[0-9]", "card": r"(?:[0-9][\x20-]?){15}[0-9]", "phone": r"\+[0-9]", "contact": r"@|[\[(]at[\])]", "key": "[0-9]", "number": "[0-9]"}
