@@ -18,6 +18,7 @@ from lapreplay.llm.common import text_rows, written
 
 KINDS = ("email", "ip", "card", "phone", "contact", "key", "number")
 _LOCAL = r"[A-Za-z0-9._%+-]"
+_AT = r"[\[(]at[\])]"
 # A match begins where a run begins or the last match ended: the same matches as without that, in linear time.
 # Repeated groups are possessive: Java matches others by recursion, and a long text overflows the stack.
 PATTERNS = {
@@ -25,7 +26,7 @@ PATTERNS = {
     "ip": r"(?:(?<![0-9])|\G)[0-9]++(?:\.[0-9]+){3}",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "contact": r"(?:(?<![^\s@])|\G)[^\s@]{1,64}+(?:@|\x20?[\[(]at[\])]\x20?)[^\s@]{1,255}",
+    "contact": rf"(?:(?<![^\s@])|\G)(?:(?!{_AT})[^\s@])++(?:@|\x20?{_AT}\x20?(?:[^\s@]{{1,254}}+@)?)[^\s@]{{1,255}}",
     "key": r"(?:(?<![A-Za-z0-9_/+=-])|\G)[A-Za-z0-9_/+=-]{16,}+",
     "number": r"[0-9](?:[\x20().-]{0,2}[0-9])++",
 }
