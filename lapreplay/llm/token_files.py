@@ -1,8 +1,9 @@
-"""Token ids in grammar-compressed shards, by Re-Pair in batches.
+"""Token ids in grammar-compressed shards, by Re-Pair.
 
 A shard holds consecutive documents. In each round the id pairs that are frequent enough get a new
-nonterminal each and are replaced all over the shard, never across documents. A shard stores its rules with
-the length that each expands to, so that any slice of any document is decoded without the rest.
+nonterminal each and are replaced all over the shard, never across documents; rounds go on, over nonterminals
+too, until no pair is frequent. A shard stores its rules with the length that each expands to, so that any slice
+of any document is decoded without the rest.
 
 A shard is one row of a Parquet file; ``payload`` has, as little-endian 32-bit numbers: the magic number, the
 first nonterminal, the number of documents, of rules and of symbols; then the position of each document's first
@@ -41,35 +42,61 @@ def frequent_pairs(seq: np.ndarray, start: np.ndarray, least: int) -> tuple[np.n
     return at[keep], pairs[enough], (np.cumsum(enough) - 1)[which[keep]]
 
 
-def compress(docs: list[np.ndarray], rounds: tuple[int, ...] = (7, 10, 13), least: int = 8) -> bytes:
-    """A shard's payload. Round by round a pair must make up 1/2**r of the shard's tokens, and occur ``least`` times."""
+def chosen(at: np.ndarray, pairs: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Which of the occurrences ``at`` to replace: of two that overlap, the one of the more frequent pair.
+
+    In a run of one repeated pair (``a a a``) it is every second one.
+    """
+    count = np.bincount(which, minlength=len(pairs))
+    rank = np.empty(len(pairs), "i8")
+    rank[np.argsort(-count, kind="stable")] = np.arange(len(pairs))
+    rank = rank[which]
+    close = np.diff(at) == 1
+    beaten = np.zeros(len(at), bool)
+    beaten[1:] = close & (rank[:-1] < rank[1:])
+    beaten[:-1] |= close & (rank[1:] < rank[:-1])
+    head = np.append(True, ~(close & (rank[1:] == rank[:-1])))
+    place = np.arange(len(at))
+    return ~beaten & ((place - np.maximum.accumulate(np.where(head, place, 0))) & 1 == 0)
+
+
+def compress(docs: list[np.ndarray], least: int = 8, share: int = 64, fall: int = 8) -> bytes:
+    """A shard's payload.
+
+    A pair must first make up 1/``share`` of the shard's tokens; whenever none does, ``fall`` times fewer will do. The
+    last rounds replace pairs that occur ``least`` times, until there is none. Replacing the frequent pairs of a round
+    together instead of one by one costs a few percent of the symbols and spares a pass for each rule.
+    """
     lengths = np.array([len(x) for x in docs], "<u4")
     seq = np.concatenate(docs).astype("u4") if docs else np.zeros(0, "u4")
     start = np.zeros(len(seq) + 1, bool)
     start[np.cumsum(lengths) - lengths] = True
     base = first = int(seq.max()) + 1 if len(seq) else 1
-    total, start = len(seq), start[: len(seq)]
-    sides, sizes = [np.zeros((0, 2), "<u4")], np.zeros(0, "<u4")
-    for r in rounds:
-        if len(seq) < 2:
-            break
-        at, pairs, which = frequent_pairs(seq, start, max(least, total >> r))
+    start = start[: len(seq)]
+    sides, sizes = [np.zeros((0, 2), "<u4")], [np.ones(first, "<u4")]
+    limit = max(least, len(seq) // share)
+    while len(seq) > 1:
+        at, pairs, which = frequent_pairs(seq, start, limit)
+        if len(at):
+            keep = chosen(at, pairs, which)
+            at, which = at[keep], which[keep]
+            enough = np.bincount(which, minlength=len(pairs)) >= max(2, least // 2)  # some lose most places to others
+            at, pairs, which = at[enough[which]], pairs[enough], (np.cumsum(enough) - 1)[which[enough[which]]]
         if not len(at):
+            if limit == least:
+                break
+            limit = max(least, limit // fall)
             continue
-        # Overlapping pairs: within a run of neighbours every second one is replaced.
-        head = np.append(True, np.diff(at) != 1)
-        odd = (np.arange(len(at)) - np.maximum.accumulate(np.where(head, np.arange(len(at)), 0))) & 1
-        at, which = at[odd == 0], which[odd == 0]
         rules = np.stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)], 1).astype("<u4")
-        span = np.append(np.ones(first, "<u4"), sizes)
-        sizes = np.append(sizes, span[rules[:, 0]] + span[rules[:, 1]]).astype("<u4")
+        span = sizes[0] if len(sizes) == 1 else np.concatenate(sizes)
+        sizes = [span, (span[rules[:, 0]] + span[rules[:, 1]]).astype("<u4")]
         sides.append(rules)
         seq[at] = (base + which).astype("u4")
         base += len(pairs)
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         seq, start = seq[keep], start[keep]
-    rules = np.concatenate(sides)
+    rules, sizes = np.concatenate(sides), np.concatenate(sizes)[first:]
     head = np.array([MAGIC, first, len(docs), len(rules), len(seq)], "<u4")
     some = lengths > 0  # an empty document begins where the next one does
     where = np.append(np.append(np.flatnonzero(start), len(seq))[np.cumsum(some) - some], len(seq))

@@ -104,7 +104,7 @@ def test_encoder_is_the_librarys():
 def test_grammar_round_trip():
     rng = np.random.default_rng(2)
     docs = [rng.integers(0, 6, n).astype("<u4") for n in (0, 1, 2, 500, 3000)] + [np.zeros(999, "<u4"), np.zeros(0, "<u4")]
-    shard = token_files.Shard(token_files.compress(docs, rounds=(4, 6, 8, 10)))
+    shard = token_files.Shard(token_files.compress(docs))
     assert len(shard.left) and len(shard.symbols) < sum(map(len, docs))
     for k, (a, b) in enumerate(zip(docs, shard.documents(), strict=True)):
         assert a.tolist() == b.tolist() == shard.document(k).tolist()
