@@ -150,24 +150,6 @@ def test_cache_is_used(spark, tmp_path):
     assert {r.n_tokens for r in a} == {1, 2}
 
 
-def test_store(spark, tmp_path):
-    d = spark.createDataFrame([(i, "x" * 100) for i in range(200)], "doc_id long, text string").coalesce(1)
-    store = compaction.ShardStore(spark, f"file://{tmp_path}/s", target=3200, fan=4)
-    assert store.manifest() == [] and store.read() is None
-    first = store.append(d)
-    before = store.manifest()
-    store.append(d.limit(3))
-    store.compact(clean=False)
-    assert [s["rows"] for s in store.manifest(first)] == [s["rows"] for s in before]
-    assert store.read(first).count() == 200 and store.read().count() == 203
-    assert len(store.manifest()) < len(before) and sum(s["rows"] for s in store.manifest()) == 203
-    store.clean()
-    assert store.read().count() == 203
-    with pytest.raises(RuntimeError):
-        store.versions = lambda: [0]
-        store.commit([])
-
-
 def test_pages():
     page = "<html><head><title>t</title></head><body><header>Top</header><div class='cookie-notice'>We</div><nav>m</nav><main><article><h1>T</h1><p>One &lt; two<p>Three <b>bold</b>\n x<ul><li>a<li>b</ul><form>q</form><div id=shareBar>S</div><aside>z</aside><script>if(a<b){'</p>'}</script>tail</article><section id='comments'><p>hi</section></main><footer>f</footer>"
     assert html_text.extract(page, None) == "T\nOne < two\nThree bold x\na\nb\ntail"
