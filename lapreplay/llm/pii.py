@@ -1,9 +1,9 @@
 """Personal data: fixed formats, and candidate spans judged by boosted trees.
 
 Generators of high recall propose spans (numbers, addresses, keys) that may overlap the fixed formats and each
-other. Boosted trees score each by its format and context. They are fitted here to spans whose format settles
-what they are; spans between these take the score. A span is redacted from the lowest threshold up at which
-the precision on rows kept out of the fit is good enough.
+other. Boosted trees score each by its format and context. There are no labels for personal data, so the trees are fitted
+to planted spans: values of known kinds, personal or not, written into contexts that a sample of the documents gives.
+The same rows, kept out of the fit, calibrate a threshold for each kind of span. Chosen spans that overlap become one.
 """
 
 from __future__ import annotations
@@ -33,16 +33,16 @@ PATTERNS = {
 #: What a text must contain for a pattern to match at all.
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]+\.[0-9]", "card": r"(?:[0-9][\x20-]?){15}[0-9]", "phone": r"\+[0-9]", "contact": r"@|[\[(]at[\])]", "key": "[0-9]", "number": "[0-9]"}
 SPAN = "array<struct<s:int,e:int,m:string,before:string,after:string>>"
-FEATURES = ("size", "digits", "letters", "upper", "other", "kinds", "hex", "at", "named", "assigned", "joined", "dots")
+FEATURES = ("size", "digits", "letters", "upper", "other", "kinds", "hex", "at", "named", "assigned", "joined", "dots", "groups", "check")
 WORDS = r"(?i)(?:token|secret|passw|api.?key|key|tel|phone|fax|card|iban|ssn|account|mail|contact)"
 
 
 class Trees(NamedTuple):
-    """Boosted trees of depth two: (feature, cut, [feature, cut, low, high] below, the same above), and the threshold."""
+    """Boosted trees of depth two: (feature, cut, [feature, cut, low, high] below, the same above), and the thresholds by kind."""
 
     trees: list[tuple]
     base: float
-    threshold: float
+    thresholds: dict[int, float]
 
 
 def matches(d: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
@@ -105,16 +105,68 @@ def features(kind: int, x: Column) -> Column:
         "kinds": F.size(F.array_distinct(F.split(m, ""))), "hex": m.rlike("^[0-9a-fA-F]+$").cast("int"), "at": F.instr(m, "@"),
         "named": x["before"].rlike(WORDS).cast("int"), "assigned": x["before"].rlike(r"[=:]\s*[\"']?$").cast("int"),
         "joined": (x["before"].rlike(r"[A-Za-z0-9]$") | x["after"].rlike("[A-Za-z0-9]")).cast("int"), "dots": without(r"\."),
+        "groups": F.size(F.split(m, "[^0-9]++")), "check": F.when(without("[0-9]").between(13, 19), luhn(F.regexp_replace(m, "[^0-9]", "")).cast("int")).otherwise(-1),
     }
     return F.struct(F.lit(kind).alias("k"), x["s"].alias("s"), x["e"].alias("e"), *[cells[f].cast("int").alias(f) for f in FEATURES])
 
 
-def settled(c: Column) -> Column:
-    """1 or 0 where the format settles what a candidate is, else null: only these are learned from."""
-    contact, key, number = (c["k"] == KINDS.index(k) for k in ("contact", "key", "number"))
-    yes = (number & c["digits"].between(10, 19) & (c["dots"] == 0) & (c["joined"] == 0)) | (key & (c["named"] == 1) & (c["assigned"] == 1) & (c["digits"] > 3)) | (contact & (c["at"] > 1) & (c["dots"] > 0))
-    no = (number & (c["digits"] < 7)) | (key & (c["digits"] == 0)) | (contact & (c["dots"] == 0))
-    return F.when(yes, 1).when(no, 0)
+def planted(docs: DataFrame, max_docs: int = 400, slots: int = 12) -> DataFrame:
+    """``docs`` has ``_text``. Snippets with one value each: ``_text, ps, pe`` (its place) and ``y`` (whether it is personal).
+
+    The contexts come from the ``max_docs`` distinct texts with the smallest hashes, ``slots`` places from each, so their
+    number is bounded whatever the table. What is planted where follows from the hash too: equal tables give equal rows.
+    """
+    d = docs.filter(F.length("_text") >= 20).select("_text", F.xxhash64("_text").alias("h"))
+    last = d.select("h").distinct().orderBy("h").limit(max_docs).agg(F.max("h")).first()[0]
+    d = d.filter(F.col("h") <= (last if last is not None else 0)).groupBy("h").agg(F.min("_text").alias("_text"))
+    d = d.select("h", "_text", F.explode(F.sequence(F.lit(1), F.lit(slots))).alias("slot")).withColumn("r", F.xxhash64("h", "slot"))
+    at = F.pmod("r", F.length("_text")).cast("int") + 1
+    before = F.regexp_replace(F.substring(F.col("_text"), F.greatest(at - 60, F.lit(1)), F.least(at - 1, F.lit(60))), r"\S*$", "")
+    after = F.regexp_replace(F.substring(F.col("_text"), at, F.lit(40)), r"^\S+", "")
+    d = written(d.select("r", before.alias("before"), after.alias("after"), F.translate(F.substring(F.col("_text"), at, F.lit(60)), "\n\t\r \"'0123456789.,;:@()[]-/_+=", "").alias("run")), "contexts")
+    d = written(d.select("*", F.posexplode(values(F.col("r"), F.col("run"))).alias("i", "v")).filter(F.pmod(F.xxhash64("r", F.lit("value")), F.lit(COUNT)) == F.col("i")), "values")
+    cue = F.get(F.col("v.cues"), F.pmod(F.xxhash64("r", F.lit("cue")), F.size("v.cues")).cast("int"))
+    d = d.withColumn("head", F.concat("before", F.when(F.length("before") == 0, "").otherwise(" "), cue))
+    start = F.length("head")
+    return written(d.select(F.concat("head", "v.value", F.when(cue.endswith('"'), '" ').otherwise(" "), "after").alias("_text"), start.alias("ps"), (start + F.length("v.value")).alias("pe"), F.col("v.y").alias("y")), "planted")
+
+
+#: What may stand before a planted value: of personal ones, of others, and before either.
+CUES = {
+    "phone": ("Tel. ", "phone: ", "fax ", "call me at ", "mobile ", "", "", ""), "account": ("account ", "SSN ", "IBAN ", "account no. ", "", ""),
+    "secret": ('token = "', "api_key=", 'password: "', "secret: ", "Authorization: Bearer ", "key ", "", ""), "mail": ("mail ", "contact: ", "write to ", "", "", ""),
+    "plain": ("in ", "on ", "about ", "version ", "page ", "No. ", "see ", "of ", "", "", "", "call ", "the key ", "account of "),
+}
+COUNT = 32
+
+
+def values(r: Column, run: Column) -> Column:
+    """The planted values for the random number ``r``: an array of ``COUNT`` structs of value, label and cues. ``run`` is a run of letters."""
+    wide = lambda name: F.abs(F.xxhash64(r, F.lit(name)) % 1_000_000_000).cast("string")
+    digits = lambda n, name: F.substring(F.concat(*[F.lpad(wide(f"{name}{i}"), 9, "7") for i in range(1 + n // 9)]), 1, n)
+    coded = lambda n, name: F.substring(F.sha2(F.concat(r.cast("string"), F.lit(name)), 256), 1, n)
+    mixed = lambda n, name: F.substring(F.translate(F.base64(F.unhex(F.sha2(F.concat(r.cast("string"), F.lit(name)), 512))), "\r\n", ""), 1, n)
+    join = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    one = lambda y, cues, value: F.struct(value.alias("value"), F.lit(y).alias("y"), F.array(*[F.lit(c) for c in CUES[cues]]).alias("cues"))
+    year = join(F.when(r % 2 == 0, "19").otherwise("20"), digits(2, "y"))
+    month, day = (F.lpad((F.pmod(F.xxhash64(r, F.lit(n)), F.lit(top)) + 1).cast("string"), 2, "0") for n, top in (("m", 12), ("d", 28)))
+    word = F.when(F.length(run) >= 4, run).otherwise("someothername")
+    cut = F.lower(F.regexp_replace(F.substring(word, 1, 9), "[^A-Za-z]", "n"))
+    fails = lambda n: F.concat(digits(n - 1, "c"), F.when(luhn(F.concat(digits(n - 1, "c"), F.lit("4"))), "5").otherwise("4"))
+    out = [
+        one(1, "phone", join("0", digits(2, "a"), "-", digits(3, "b"), "-", digits(4, "c"))), one(1, "phone", join("(0", digits(3, "a"), ") ", digits(7, "b"))),
+        one(1, "phone", join("0", digits(3, "a"), " ", digits(3, "b"), " ", digits(4, "c"))), one(1, "phone", join(digits(3, "a"), ".", digits(3, "b"), ".", digits(4, "c"))),
+        one(1, "phone", join("00", digits(2, "a"), " ", digits(9, "b"))), one(1, "account", join(digits(3, "a"), "-", digits(2, "b"), "-", digits(4, "c"))),
+        one(1, "account", digits(10, "a")), one(1, "account", digits(11, "a")), one(1, "account", join("DE", digits(2, "a"), digits(9, "b"), digits(9, "c"))),
+        one(1, "secret", coded(32, "a")), one(1, "secret", coded(40, "a")), one(1, "secret", F.upper(coded(40, "a"))), one(1, "secret", coded(64, "a")),
+        one(1, "secret", mixed(24, "a")), one(1, "secret", mixed(44, "a")), one(1, "secret", join("sk_", mixed(32, "a"))),
+        one(1, "mail", join(cut, "[at]", coded(6, "b"), ".com")), one(1, "mail", join(cut, " (at) mail.", cut, ".org")), one(1, "mail", join(cut, "ö@", cut, "ß.de")),
+        one(0, "plain", year), one(0, "plain", join(year, "-", month, "-", day)), one(0, "plain", join(day, ".", month, ".", year)), one(0, "plain", join(digits(2, "a"), " ", digits(3, "b"))),
+        one(0, "plain", join(digits(1, "a"), ".", digits(3, "b"), ".", digits(3, "c"))), one(0, "plain", digits(6, "a")), one(0, "plain", join(digits(1, "a"), ".", digits(2, "b"), ".", digits(1, "c"), ".", digits(1, "d"))),
+        one(0, "plain", fails(16)), one(0, "plain", join(word, word, word, word)), one(0, "plain", join(cut, "/", cut, "/file_", digits(2, "a"))), one(0, "plain", join(cut, "_", cut, "_", cut, "_", digits(1, "a"))),
+        one(0, "plain", join("@", cut)), one(0, "plain", join(cut, "@", digits(2, "a"))),
+    ]
+    return F.array(*out)
 
 
 def boost(x: np.ndarray, y: np.ndarray, rounds: int = 16, rate: float = 0.4, ridge: float = 1.0) -> tuple[list[tuple], float]:
@@ -151,41 +203,87 @@ def total(x: np.ndarray, trees: list[tuple], base: float) -> np.ndarray:
     return z
 
 
-def fit(spans: DataFrame, max_rows: int = 4000, precision: float = 0.98) -> Trees:
-    """Trees from at most ``max_rows`` settled candidates, those with the smallest hashes; nothing is added without both labels."""
-    rows = spans.select(F.explode_outer("_cands").alias("c")).filter(F.col("c").isNotNull())
-    rows = rows.select(settled(F.col("c")).alias("y"), F.xxhash64("c").alias("h"), *[F.col(f"c.{f}").alias(f) for f in ("k", *FEATURES)]).filter("y is not null").distinct()
-    got = rows.orderBy("h").limit(max_rows).collect()
-    y = np.array([r["y"] for r in got], "f8")
-    if len(set(y.tolist())) < 2:
-        return Trees([], 0.0, float("inf"))
-    x = np.array([[r[f] for f in ("k", *FEATURES)] for r in got], "f8")
-    kept = np.arange(len(y)) % 4 == 0  # in the order of hashes
-    trees, base = boost(x[~kept], y[~kept]) if 0 < y[~kept].mean() < 1 else boost(x, y)
-    z, t = total(x[kept], trees, base), y[kept]
-    ranked = np.sort(z)
-    right = [c for c in ranked if t[z >= c].mean() >= precision]
-    low, high = (z[t == 0].max() if (t == 0).any() else -2.0), (right[0] if right else 2.0)
-    return Trees(trees, base, float((low + high) / 2 if high > low else high))
+def labelled(docs: DataFrame, max_docs: int = 400) -> DataFrame:
+    """Candidates that cover most of a planted value: ``y``, ``h`` and the features."""
+    d = with_spans(planted(docs, max_docs)).select("_text", "ps", "pe", "y", F.explode("_cands").alias("c"))
+    covered = F.least("c.e", "pe") - F.greatest("c.s", "ps")
+    d = d.filter(covered * 10 >= (F.col("pe") - F.col("ps")) * 7)
+    return d.select("y", F.xxhash64("_text", "c.k").alias("h"), *[F.col(f"c.{f}").alias(f) for f in ("k", *FEATURES)])
+
 
+def fit(docs: DataFrame, max_docs: int = 400, precision: float = 0.98) -> Trees:
+    """Trees from what is planted in at most ``max_docs`` texts; every third row calibrates.
 
-def score(c: Column, model: Trees) -> Column:
-    """The trees as nested conditions: the sum stays in the JVM."""
+    A kind's threshold is the lowest score from which on ``precision`` of its calibration rows are personal. A kind for
+    which there is none, and all kinds where a table has no text to plant in, choose nothing.
+    """
+    got = labelled(docs, max_docs).orderBy("h").collect()  # some ten rows a text
+    if len({r["y"] for r in got}) < 2:
+        return Trees([], 0.0, {})
+    y = np.array([r["y"] for r in got], "f8")
+    x = np.array([[r[f] for f in ("k", *FEATURES)] for r in got], "f8")
+    kept = np.arange(len(y)) % 3 == 0  # in the order of hashes
+    if len({*y[~kept]}) < 2:
+        return Trees([], 0.0, {})
+    trees, base = boost(x[~kept], y[~kept])
+    z, found = total(x[kept], trees, base), {}
+    for k in range(4, len(KINDS)):
+        mine = x[kept][:, 0] == k
+        found[k] = threshold(z[mine], y[kept][mine], precision)
+    return Trees(trees, base, {k: t for k, t in found.items() if t is not None})
+
+
+def threshold(z: np.ndarray, y: np.ndarray, precision: float) -> float | None:
+    """The lowest score from which on ``precision`` of the rows are positive, half way to the next lower score."""
+    order = np.argsort(-z, kind="stable")
+    z, right = z[order], np.cumsum(y[order])
+    last = np.append(z[1:] != z[:-1], True)  # rows of one score go together
+    good = np.flatnonzero(last & (right >= precision * np.arange(1, len(z) + 1)) & (right > 0))
+    if not len(good):
+        return None
+    cut = good[-1]
+    return float(z[cut] - 1 if cut + 1 == len(z) else (z[cut] + z[cut + 1]) / 2)
+
+
+def margin(c: Column, model: Trees) -> Column:
+    """By how much a candidate's score passes its kind's threshold. The trees are nested conditions: the sum stays in the JVM."""
     at = lambda f: c[("k", *FEATURES)[f]]
     z = F.lit(model.base)
     for f, cut, *sides in model.trees:
         low, high = (F.when(at(g) < d, a).otherwise(b) for g, d, a, b in sides)
         z = z + F.when(at(f) < float(cut), low).otherwise(high)
-    return z
+    cut = F.lit(float("inf"))
+    for k, t in model.thresholds.items():
+        cut = F.when(c["k"] == k, F.lit(t)).otherwise(cut)
+    return z - cut
 
 
 def chosen(model: Trees) -> Column:
-    """All spans to redact: the fixed formats and the candidates that the trees choose beside them, each once."""
-    if not model.trees:
+    """All spans to redact: the fixed formats, and beside them the candidates that the trees choose.
+
+    Chosen candidates that overlap make one span, of the kind of the longest; of equally long ones, of the kind that passes
+    its threshold by most.
+    """
+    if not model.thresholds:
         return F.col("_base")
     beside = lambda c: ~F.exists("_base", lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"]))
-    extra = F.filter("_cands", lambda c: (score(c, model) >= model.threshold) & beside(c))
-    return F.concat("_base", F.transform(extra, lambda c: F.struct(c["k"].alias("k"), c["s"].alias("s"), c["e"].alias("e"))))
+    judged = F.filter(F.transform("_cands", lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), c["k"].alias("k"), margin(c, model).alias("z"))), lambda c: (c["z"] >= 0) & beside(c))
+    span = lambda k, s, e: F.struct(k.alias("k"), s.alias("s"), e.alias("e"))
+    none = F.struct(F.array().cast("array<struct<k:int,s:int,e:int>>").alias("out"), F.lit(0).alias("k"), F.lit(0).alias("s"), F.lit(0).alias("e"), F.lit(0).alias("n"), F.lit(0.0).alias("z"))
+    done = lambda a: F.when(a["e"] > 0, F.concat(a["out"], F.array(span(a["k"], a["s"], a["e"])))).otherwise(a["out"])
+
+    def add(a: Column, c: Column) -> Column:
+        touch = c["s"] < a["e"]
+        pick = lambda x, y: F.when(touch, x).otherwise(y)
+        size = c["e"] - c["s"]
+        better = (size > a["n"]) | ((size == a["n"]) & (c["z"] > a["z"]))
+        best = lambda x, y: pick(F.when(better, x).otherwise(y), x)
+        return F.struct(
+            pick(a["out"], done(a)).alias("out"), best(c["k"], a["k"]).alias("k"), pick(a["s"], c["s"]).alias("s"), pick(F.greatest(a["e"], c["e"]), c["e"]).alias("e"),
+            best(size, a["n"]).alias("n"), best(c["z"], a["z"]).alias("z"),
+        )
+
+    return F.concat("_base", F.aggregate(F.sort_array(judged), none, add, done))
 
 
 def as_text(spans: Column) -> Column:
@@ -194,15 +292,15 @@ def as_text(spans: Column) -> Column:
     return F.concat_ws(",", F.transform(F.sort_array(spans), one))
 
 
-def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = 4000) -> DataFrame:
+def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = 400) -> DataFrame:
     """Spans of personal data in every document, in code points, ends exclusive.
 
     Null texts are empty; rows that repeat an id get a row each; an empty table gives an empty one. Spans of one
-    kind never overlap; spans of different kinds may.
+    kind never overlap; of different kinds only those of fixed formats may. The trees are fitted first, to ``max_docs`` texts.
     """
     d = text_rows(docs, id_col, text_col)
-    d = written(with_spans(d).select("_id", "_base", "_cands"), "spans")
-    model = fit(d, max_rows)
+    model = fit(d, max_docs)
+    d = with_spans(d)
     count = lambda k: F.size(F.filter("_base", lambda x: x["k"] == k)).cast("long")
     return d.select(
         F.col("_id").alias("doc_id"), *[count(i).alias(f"n_{k}") for i, k in enumerate(KINDS[:4])],
@@ -210,12 +308,12 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ma
     )
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = 4000) -> DataFrame:
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = 400) -> DataFrame:
     """``docs`` with every span replaced by its kind in capitals and brackets, all other columns as they were.
 
     Spans that touch or overlap are replaced as one, by the kind of the first. Null texts stay null.
     """
-    model = fit(with_spans(text_rows(docs, id_col, text_col)).select("_cands"), max_rows)
+    model = fit(text_rows(docs, id_col, text_col), max_docs)
     names = docs.columns
     d = docs.select(F.struct(*[F.col(c) for c in names]).alias("_row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
     d = with_spans(d).withColumn("_all", F.sort_array(F.transform(chosen(model), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["k"].alias("k")))))
