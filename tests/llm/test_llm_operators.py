@@ -158,7 +158,7 @@ def test_pages():
     for i in range(8):
         s = html_text.shape(html_text.parse(same.format(i, i)))
         template = html_text.merge(template, s) if template else s
-    assert html_text.extract(same.format("a", "b"), html_text.guarded(template)) == "a\nmore b"
+    assert html_text.extract(same.format("a", "b"), html_text.placed(template)) == "a\nmore b"
     assert [html_text.extract(x, None) for x in ("", "plain", "<p>a", "<!-- a", "<ScRipt>z</sCript>k")] == ["", "plain", "a", "", "k"]
 
 
