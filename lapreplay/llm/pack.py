@@ -2,8 +2,9 @@
 
 Documents are cut into pieces of at most the sequence length; full pieces fill a sequence alone. The
 remainders are dealt by hash into blocks of bounded size. Each block is evolved on several islands: crossover
-injects whole well-filled bins of one parent into another, drops the bins that then hold duplicates and
-best-fits displaced remainders. After each epoch an island's elite moves to its neighbour.
+injects whole well-filled bins of one parent into another and drops the bins that then hold duplicates; mutation
+dissolves bins that aren't full. What is displaced is exchanged for smaller items of other bins where that fills
+them better, and the rest is best-fitted. After each epoch an island's elite moves to its neighbour.
 """
 
 from __future__ import annotations
@@ -62,23 +63,69 @@ def best_fit(order: np.ndarray, lengths: np.ndarray, bins: np.ndarray, loads: li
         mask |= 1 << (room - need)
 
 
+def exchange(loose: np.ndarray, lengths: np.ndarray, bins: np.ndarray, loads: np.ndarray, size: int, steps: int = 64) -> np.ndarray:
+    """Swap displaced items, one or two at a time, for one smaller item of a bin that they fill better; what is loose after that.
+
+    The best of at most ``steps`` swaps comes first. Each one makes the displaced items smaller, so fewer bins are opened for them.
+    """
+    placed = np.flatnonzero(bins >= 0)
+    for _ in range(min(4 * len(loose), steps)):
+        loose = loose[np.argsort(lengths[loose], kind="stable")]
+        n, k = lengths[loose], len(loose)
+        first, second = np.triu_indices(min(k, 40), 1)
+        sums = np.concatenate([n, n[first] + n[second]])
+        order = np.argsort(sums, kind="stable")
+        own = lengths[placed]
+        room = size - loads[bins[placed]]
+        best = np.searchsorted(sums[order], own + room, "right") - 1
+        gain = np.where(best >= 0, sums[order[best]] - own, 0)
+        gain[room == 0] = 0
+        full = gain == room  # a bin that is then full can't be bettered
+        score = np.where(gain > 0, gain + full * size, 0)
+        at = int(score.argmax()) if len(score) else 0
+        if not len(score) or score[at] <= 0:
+            break
+        item, which = placed[at], int(order[best[at]])
+        given = [which] if which < k else [int(first[which - k]), int(second[which - k])]
+        b = bins[item]
+        loads[b] += gain[at]
+        bins[loose[given]], bins[item] = b, -1
+        placed = np.append(np.delete(placed, at), loose[given])
+        loose = np.append(np.delete(loose, given), item)
+    return loose
+
+
+def rebuilt(child: np.ndarray, loose: np.ndarray, lengths: np.ndarray, size: int) -> np.ndarray:
+    """``child`` with its loose items exchanged and best-fitted, and bins numbered anew."""
+    kept = np.ones(len(child), bool)
+    kept[loose] = False
+    out = np.full(len(child), -1)
+    names, out[kept] = np.unique(child[kept], return_inverse=True)
+    loads = np.bincount(out[kept], lengths[kept], len(names)).astype("i8")
+    loose = exchange(loose, lengths, out, loads, size)
+    full = loads.tolist()
+    best_fit(loose[np.argsort(-lengths[loose], kind="stable")], lengths, out, full, size)
+    return out
+
+
 def crossover(giver: np.ndarray, taker: np.ndarray, lengths: np.ndarray, size: int, rng: np.random.Generator) -> np.ndarray:
-    """A child of ``taker`` with about half of the well-filled bins of ``giver``."""
+    """A child of ``taker`` with some of the well-filled bins of ``giver``."""
     load = np.bincount(giver, lengths, giver.max() + 1)
-    good = (load >= max(np.median(load), 0.98 * size)) & (rng.random(len(load)) < 0.5)
+    good = (load >= max(np.median(load), 0.98 * size)) & (rng.random(len(load)) < rng.choice([0.02, 0.1, 0.5]))
     given = good[giver]
     spoilt = np.zeros(taker.max() + 1, bool)
     spoilt[taker[given]] = True
-    loose = spoilt[taker] & ~given
-    child = np.where(given, giver, taker + len(load))
-    kept = ~loose
-    names, child_kept = np.unique(child[kept], return_inverse=True)
-    child = np.full(len(taker), -1)
-    child[kept] = child_kept
-    loads = np.bincount(child_kept, lengths[kept], len(names)).astype(int).tolist()
-    order = np.flatnonzero(loose)
-    best_fit(order[np.argsort(-lengths[order], kind="stable")], lengths, child, loads, size)
-    return child
+    loose = np.flatnonzero(spoilt[taker] & ~given)
+    return rebuilt(np.where(given, giver, taker + len(load)), loose, lengths, size)
+
+
+def mutation(parent: np.ndarray, lengths: np.ndarray, size: int, rng: np.random.Generator, dissolved: int = 6) -> np.ndarray:
+    """``parent`` with some bins dissolved, mostly ones that aren't full."""
+    load = np.bincount(parent, lengths)
+    weight = (size - load) / size + 0.02
+    out = rng.choice(len(load), min(dissolved, len(load)), replace=False, p=weight / weight.sum())
+    out = np.union1d(out, [load.argmin()])
+    return rebuilt(parent, np.flatnonzero(np.isin(parent, out)), lengths, size)
 
 
 def fitness(bins: np.ndarray, lengths: np.ndarray, size: int) -> tuple[int, float]:
@@ -86,7 +133,7 @@ def fitness(bins: np.ndarray, lengths: np.ndarray, size: int) -> tuple[int, floa
     return -len(load), float(((load / size) ** 2).sum())
 
 
-def evolve(lengths: np.ndarray, parents: list[np.ndarray], seed: int, size: int, population: int = 4, generations: int = 6) -> np.ndarray:
+def evolve(lengths: np.ndarray, parents: list[np.ndarray], seed: int, size: int, population: int = 4, generations: int = 12) -> np.ndarray:
     """The fittest assignment of items to bins after some generations. Stops early at the lower bound."""
     rng = np.random.default_rng(seed)
     people = list(parents)
@@ -98,11 +145,11 @@ def evolve(lengths: np.ndarray, parents: list[np.ndarray], seed: int, size: int,
     rank = lambda x: fitness(x, lengths, size)
     people.sort(key=rank, reverse=True)
     least = -(-int(lengths.sum()) // size)
-    for _ in range(generations):
+    for turn in range(generations):
         if people[0].max() + 1 <= least:
             break
         a, b = rng.choice(len(people), 2, replace=False)
-        people.append(crossover(people[a], people[b], lengths, size, rng))
+        people.append(crossover(people[a], people[b], lengths, size, rng) if turn % 3 == 0 else mutation(people[min(a, b)], lengths, size, rng))
         people.sort(key=rank, reverse=True)
         people.pop()
     return people[0]
