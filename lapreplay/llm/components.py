@@ -11,16 +11,19 @@ from lapreplay.llm.common import written
 def components(links: DataFrame) -> DataFrame:
     """``links`` has long ``a, b``. Returns ``node, root`` (the component's smallest node) for every linked node.
 
-    A round maps each node to the smallest of itself and its neighbours and keeps the links between different
-    results. Minima combine before the shuffle, so a node may have any number of links. Links to itself are ignored.
+    A round ranks the nodes at random, maps each to the lowest of itself and its neighbours, and keeps the links between
+    different results. Ranks are new in each round, so a path or star of any order shrinks by a constant share and the
+    rounds grow with the logarithm of the nodes. Minima combine before the shuffle, so a node may have any number of links.
+    Links to itself are ignored.
     """
     edges = written(links.filter("a <> b").select("a", "b").distinct(), "links")
     maps = []
     while not edges.isEmpty():
+        ranked = lambda c: F.struct(F.xxhash64(c, F.lit(len(maps))).alias("r"), F.col(c).alias("v"))  # noqa: E731, B023
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
-        maps.append(least)
-        to = lambda end: least.select(F.col("a").alias(end), F.col("m").alias(f"m_{end}"))  # noqa: E731, B023
+        least = both.groupBy("a").agg(F.min(ranked("b")).alias("m")).select("a", F.least("m", ranked("a"))["v"].alias("m"))
+        maps.append(written(least, "least"))
+        to = lambda end: maps[-1].select(F.col("a").alias(end), F.col("m").alias(f"m_{end}"))
         moved = edges.join(to("a"), "a").join(to("b"), "b").filter("m_a <> m_b")
         edges = written(moved.select(F.col("m_a").alias("a"), F.col("m_b").alias("b")).distinct(), "links")
     if not maps:
@@ -29,4 +32,6 @@ def components(links: DataFrame) -> DataFrame:
     for m in maps[1:]:
         step = m.select(F.col("a").alias("root"), "m")
         out = out.join(step, "root", "left").select("node", F.coalesce("m", "root").alias("root"))
-    return out
+    out = written(out, "reached")
+    smallest = out.groupBy("root").agg(F.min("node").alias("least"))
+    return out.join(smallest, "root").select("node", F.col("least").alias("root"))

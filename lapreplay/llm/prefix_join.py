@@ -1,6 +1,6 @@
 """N-gram Jaccard join on a prefix tree.
 
-A document is its set of word n-grams, each a 40-bit hash, in one global order: hashes that many documents
+A document is its set of word n-grams, each a 64-bit hash, in one global order: hashes that many documents
 hold come last, the rest ascend. Sets that reach the threshold share one of their first n - ceil(t n) + 1
 hashes (the prefix), so documents meet by prefix hash.
 
@@ -12,6 +12,9 @@ hashes (the prefix), so documents meet by prefix hash.
    what remains can't reach the threshold. A block returns a spanning forest of its links.
 3. Only pairs that these links leave apart can still matter. They meet at each prefix hash that they share,
    a 512-bit parity sketch rules out most, and the rest are compared exactly.
+
+A prefix hash may belong to a third of all sets. Rows of such hashes are dealt by key as well. In step 3 the sets outside
+its largest component are cut into small chunks, all of its sets into larger ones, and each pair of chunks is a group of its own.
 """
 
 from __future__ import annotations
@@ -33,6 +36,10 @@ REMEMBERED = 800_000
 FREQUENT_LIMIT = 1_000_000
 BLOCK = 512
 SKETCH = 512
+#: Sets of a prefix hash that one group of step 3 compares at most, or so: outside the largest component, and all.
+FEW, MANY = 512, 2048
+#: One in so many sets is looked at for prefix hashes that very many sets share; the result doesn't depend on what it finds.
+SAMPLE, HOT = 50, 40
 #: One more than 1/SHARED of the prefix: how many prefix hashes similar sets share, with the prefix that much longer.
 SHARED = 2
 
@@ -46,7 +53,7 @@ class _Hashes(dict):
 
 
 class Shingler:
-    """Sets of word n-grams, as distinct 64-bit hashes in ascending order. The text is UTF-8."""
+    """Sets of word n-grams, as distinct signed 64-bit hashes in ascending order. The text is UTF-8."""
 
     def __init__(self, n: int):
         self.n, self.hashes = n, _Hashes()
@@ -57,7 +64,7 @@ class Shingler:
             self.hashes.clear()
         words = text.split()  # at ASCII white space
         if not words:
-            return np.zeros(0, "u8")
+            return np.zeros(0, "i8")
         h = np.fromiter(map(self.hashes.__getitem__, words), "u8", len(words))
         n = min(self.n, len(h))  # fewer words are one n-gram
         x = np.full(len(h) - n + 1, n, "u8")
@@ -66,7 +73,7 @@ class Shingler:
         x ^= x >> np.uint64(31)
         x *= np.uint64(0xD6E8FEB86659FD93)
         x ^= x >> np.uint64(32)
-        return np.unique(x)
+        return np.unique(x.view("i8"))
 
 
 def prefix_length(n, num: int, den: int):
@@ -85,14 +92,12 @@ def needed(n, num: int, den: int):
 
 
 def packed(tokens: np.ndarray) -> bytes:
-    """40-bit numbers, five bytes each."""
-    return tokens.astype("<u8").view("u1").reshape(-1, 8)[:, :5].tobytes()
+    """Eight bytes each."""
+    return tokens.astype("<i8").tobytes()
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    x = np.zeros((len(data) // 5, 8), "u1")
-    x[:, :5] = np.frombuffer(data, "u1").reshape(-1, 5)
-    return x.view("<u8").ravel().astype("i8")
+    return np.frombuffer(data, "<i8")
 
 
 def sketch(tokens: np.ndarray, bits: int = SKETCH) -> bytes:
@@ -109,8 +114,8 @@ def set_batches(rows: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBat
             x = shingles(text)
             sizes.append(len(x))
             keys.append(xxhash.xxh64_intdigest(x.tobytes()) - (1 << 63))
-            tokens.append(packed(np.unique(x >> np.uint64(24))))
-        yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(tokens, pa.binary())], ["_id", "n", "key", "tokens"])
+            tokens.append(packed(x))
+        yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("h"), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(tokens, pa.binary())], ["_id", "h", "n", "key", "tokens"])
 
 
 def once(rows: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -127,7 +132,7 @@ def once(rows: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 
 def low_end(r: dict, num: int, den: int) -> np.ndarray:
     """Twice the prefix from the low end of a set."""
-    return unpacked(r["tokens"][: 10 * prefix_length(r["n"], num, den)])
+    return unpacked(r["tokens"][: 16 * prefix_length(r["n"], num, den)])
 
 
 def low_tokens(rows: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
@@ -142,14 +147,20 @@ def low_tokens(rows: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[p
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held))], ["token"])
 
 
-def prefixes(rows: Iterator[pa.RecordBatch], frequent, num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """The prefix of each set: hashes that aren't frequent come first."""
+def prefixes(rows: Iterator[pa.RecordBatch], frequent, num: int, den: int, hot=None) -> Iterator[pa.RecordBatch]:
+    """The prefix of each set: hashes that aren't frequent come first. With ``hot``, ``salt`` deals rows of hot hashes by key."""
     often = frequent.value
     held, size = [], 0
 
     def out() -> pa.RecordBatch:
-        cells = [np.concatenate([x[0] for x in held]), np.repeat([x[1] for x in held], [len(x[0]) for x in held]), np.repeat([x[2] for x in held], [len(x[0]) for x in held])]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in cells], ["token", "key", "n"])
+        sizes = [len(x[0]) for x in held]
+        token, key, n = np.concatenate([x[0] for x in held]), np.repeat([x[1] for x in held], sizes), np.repeat([x[2] for x in held], sizes)
+        if hot is None:
+            return pa.RecordBatch.from_arrays([pa.array(token)], ["token"])
+        tokens, counts = hot.value
+        keys = counts[np.minimum(np.searchsorted(tokens, token), len(tokens) - 1)] * is_in(token, tokens) if len(tokens) else np.zeros(len(token), "i8")
+        salt = np.where(keys > 0, (key & 0xFFFFFFFF) % np.maximum(keys // MANY, 1) + 1, 0)
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (token, key, n, salt, keys)], ["token", "key", "n", "salt", "keys"])
 
     for r in once(rows):
         p = prefix_length(r["n"], num, den)
@@ -176,10 +187,11 @@ def is_in(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return ordered[at] == x
 
 
-def whole_runs(rows: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+def whole_runs(rows: Iterator[pa.RecordBatch], columns: list[str], alone=lambda table: None) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Of rows sorted by ``token`` and ``key``: tables in which no token is cut off, each key once, and where its runs begin.
 
-    Only tokens of several keys are kept. A table holds a batch or two unless one token has more.
+    Only tokens of several keys are kept, or those that ``alone`` says. A table holds a batch or two unless one token has
+    more, and tokens come in parts of bounded size.
     """
     rest, waiting = None, 0
     for batch in rows:
@@ -190,29 +202,32 @@ def whole_runs(rows: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[t
             continue
         token = rest.column("token").to_numpy()
         if cut := int(np.searchsorted(token, token[-1])):  # the last run may go on
-            yield several(rest.slice(0, cut))
+            yield several(rest.slice(0, cut), alone)
             rest, waiting = rest.slice(cut), rest.num_rows - cut
         else:
             waiting = 0
     if rest is not None and rest.num_rows:
-        yield several(rest)
+        yield several(rest, alone)
 
 
-def several(table: pa.Table) -> tuple[pa.Table, np.ndarray]:
+def several(table: pa.Table, alone) -> tuple[pa.Table, np.ndarray]:
     token, key = table.column("token").to_numpy(), table.column("key").to_numpy()
     at = np.flatnonzero(np.append(True, (token[1:] != token[:-1]) | (key[1:] != key[:-1])))  # copies stand side by side
     heads = np.flatnonzero(np.append(True, token[at][1:] != token[at][:-1]))
     sizes = np.diff(np.append(heads, len(at)))
-    at = at[np.repeat(sizes > 1, sizes)]
-    sizes = sizes[sizes > 1]
-    return table.take(pa.array(at)), np.append(0, np.cumsum(sizes))
+    keep = sizes > 1
+    if (more := alone(table)) is not None:
+        keep |= more[at[heads]]
+    at = at[np.repeat(keep, sizes)]
+    return table.take(pa.array(at)), np.append(0, np.cumsum(sizes[keep]))
 
 
 def shared_rows(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Prefix rows whose token more than one key has, with the number of keys."""
-    for table, ends in whole_runs(rows, ["token", "key", "n"]):
+    """Prefix rows whose token more than one key has, with the number of keys; of hot tokens, all rows and about their number."""
+    for table, ends in whole_runs(rows, ["token", "key", "n", "keys"], lambda t: t.column("keys").to_numpy() > 0):
         sizes = np.diff(ends)
-        yield from table.append_column("keys", pa.array(np.repeat(sizes, sizes), pa.int64())).to_batches()
+        keys = np.maximum(np.repeat(sizes, sizes), table.column("keys").to_numpy())
+        yield from table.drop_columns(["keys"]).append_column("keys", pa.array(keys, pa.int64())).to_batches()
 
 
 class Node:
@@ -298,31 +313,57 @@ def block_function(num: int, den: int):
 
 
 def residual_pairs(rows: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of a token's keys in different components that sizes and sketches allow.
+    """Pairs of a group's keys in different components that sizes and sketches allow: of ``left`` with ``right`` ones.
 
     A pair that also shares one of the few tokens before comes from there. Those further back aren't looked at: similar
     sets share most of their tokens, so few pairs come twice.
     """
-    for table, ends in whole_runs(rows, ["token", "key", "n", "root", "sketch", "before"]):
-        key, n, root = (table.column(c).to_numpy() for c in ("key", "n", "root"))
+    for table, ends in whole_runs(rows, ["token", "key", "n", "root", "sketch", "before", "rest", "left", "right"]):
+        key, n, root, rest, is_left, is_right = (table.column(c).to_numpy() for c in ("key", "n", "root", "rest", "left", "right"))
         bits = np.frombuffer(b"".join(table.column("sketch").to_pylist()), "<u8").reshape(len(key), -1)
         earlier, left, right = table.column("before"), [], []
         for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-            if (root[a:b] == root[a]).all():
-                continue
-            for first in range(a, b, 128):  # rows of the pairs at a time
-                i, j = np.arange(first, min(first + 128, b))[:, None], np.arange(a, b)[None, :]
-                able = (i < j) & (root[i] != root[j]) & (np.minimum(n[i], n[j]) * den >= np.maximum(n[i], n[j]) * num)
+            some, every = a + np.flatnonzero(is_left[a:b]), a + np.flatnonzero(is_right[a:b])
+            for first in range(0, len(some), 128):  # rows of the pairs at a time
+                i, j = some[first : first + 128][:, None], every[None, :]
+                able = (root[i] != root[j]) & (~rest[j] | (key[i] < key[j])) & (np.minimum(n[i], n[j]) * den >= np.maximum(n[i], n[j]) * num)
                 x, y = np.nonzero(able)
-                x, y = x + first, y + a
+                x, y = some[x + first], every[y]
                 far = np.bitwise_count(bits[x] ^ bits[y]).sum(1, dtype="i8")
                 near = far * (num + den) <= (n[x] + n[y]) * (den - num)
                 for p, q in zip(x[near].tolist(), y[near].tolist(), strict=True):
                     if not set(earlier[p].as_py()) & set(earlier[q].as_py()):
                         left.append(int(key[p]))
                         right.append(int(key[q]))
+                if len(left) > 50_000:
+                    yield pairs_of(left, right)
+                    left, right = [], []
         if left:
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+            yield pairs_of(left, right)
+
+
+def pairs_of(left: list[int], right: list[int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+
+
+def chunk_pairs(rows: DataFrame) -> DataFrame:
+    """``rows`` has ``token, key, root`` and of the token ``keys, most`` (sets of its largest component) and ``big`` (that component).
+
+    Every set outside the largest component must meet all others. These sets come in chunks of ``FEW``, all sets in chunks
+    of ``MANY``, and each pair of chunks is a group: ``token`` then names it, ``left`` and ``right`` say a row's part in it.
+    A token of few sets is one group.
+    """
+    few, many = (F.greatest(F.ceil(c / size), F.lit(1)).cast("int") for c, size in ((F.col("keys") - F.col("most"), FEW), (F.col("keys"), MANY)))
+    rest = F.col("root") != F.col("big")
+    own, place = F.pmod(F.xxhash64("key", F.lit(2)), few).cast("int"), F.pmod(F.xxhash64("key", F.lit(3)), many).cast("int")
+    cell = lambda i, j, left, right: F.struct(i.alias("i"), j.alias("j"), left.alias("left"), right.alias("right"))
+    yes, no = F.lit(True), F.lit(False)
+    lefts = F.when(F.col("rest"), F.transform(F.sequence(F.lit(0), F.col("many") - 1), lambda j: cell(F.col("own"), j, yes, j == F.col("place")))).otherwise(F.array().cast("array<struct<i:int,j:int,left:boolean,right:boolean>>"))
+    rights = F.transform(F.filter(F.sequence(F.lit(0), F.col("few") - 1), lambda i: ~F.col("rest") | (i != F.col("own"))), lambda i: cell(i, F.col("place"), no, yes))
+    d = rows.withColumns({"rest": rest, "few": few, "many": many, "own": own, "place": place})
+    d = d.withColumn("cell", F.explode(F.concat(lefts, rights)))
+    group = F.xxhash64("token", "cell.i", "cell.j")
+    return d.select(group.alias("token"), "key", "n", "root", "sketch", "before", "rest", F.col("cell.left").alias("left"), F.col("cell.right").alias("right"))
 
 
 def closer(rows: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
@@ -369,23 +410,27 @@ def similar_classes(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100,
     Documents link when 100 * intersection >= 90 * union (num, den). A text of fewer words is one n-gram. Without
     words it is empty, links with nothing, and its component is its own id; so is a null. Rows that repeat an id
     link like any others. Null ids never name a component unless all of it is null. An empty table gives an empty one.
-    Sets of 40-bit hashes are compared; equal sets are told by 64 bits.
+    Sets of 64-bit hashes are compared and named by 64 bits.
     """
-    d = text_rows(docs, id_col, text_col)
-    kind = d.schema["_id"].dataType.simpleString()
-    d = d.select("_id", F.col("_text").cast("binary").alias("_text"))
-    sets = written(d.mapInArrow(partial(set_batches, n=n), f"_id {kind}, n long, key long, tokens binary"), "sets")
-    links = class_links(sets, num, den, broadcast_rows)
-    roots = components(links)
-    keys = sets.filter("n > 0").groupBy("key").agg(F.min("_id").alias("least"))
-    keys = keys.join(roots, keys["key"] == roots["node"], "left").select("key", "least", F.coalesce("root", "key").alias("root"))
-    keys = written(keys, "keys")
+    sets, keys = grouped(docs, n, num, den, id_col, text_col, broadcast_rows)
     least = keys.groupBy("root").agg(F.min("least").alias("component"))
     keys = keys.join(least, "root").select("key", "component")
     out = sets.select("_id", "n", "key").join(keys, "key", "left")
     return out.select(F.col("_id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("_id")).alias("component_id"))
 
 
+def grouped(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str, broadcast_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Each document's set (``_id, h, n, key, tokens``; ``h`` digests the text), and of each distinct set ``key, root, least`` (its smallest id)."""
+    d = text_rows(docs, id_col, text_col)
+    kind = d.schema["_id"].dataType.simpleString()
+    d = d.select("_id", F.xxhash64("_text").alias("h"), F.col("_text").cast("binary").alias("_text"))
+    sets = written(d.mapInArrow(partial(set_batches, n=n), f"_id {kind}, h long, n long, key long, tokens binary"), "sets")
+    roots = components(class_links(sets, num, den, broadcast_rows))
+    keys = sets.filter("n > 0").groupBy("key").agg(F.min("_id").alias("least"))
+    keys = keys.join(roots, keys["key"] == roots["node"], "left").select("key", "least", F.coalesce("root", "key").alias("root"))
+    return sets, written(keys, "keys")
+
+
 def class_links(sets: DataFrame, num: int, den: int, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Links ``a, b`` between keys of ``sets`` that join the same keys as all links do."""
     spark = sets.sparkSession
@@ -394,9 +439,11 @@ def class_links(sets: DataFrame, num: int, den: int, broadcast_rows: int = BROAD
     least = 64
     while counts.filter(F.col("c") > least).count() > FREQUENT_LIMIT:
         least *= 2
+    # Eight bytes each.
     often = spark.sparkContext.broadcast(np.sort(np.array([r["token"] for r in counts.filter(F.col("c") > least).select("token").toLocalIterator()], "i8")))
-    heads = sets.select("n", "key", "tokens").mapInArrow(partial(prefixes, frequent=often, num=num, den=den), "token long, key long, n long")
-    heads = heads.repartition("token").sortWithinPartitions("token", "key")
+    hot = spark.sparkContext.broadcast(hot_tokens(sets, often, num, den))
+    heads = sets.select("n", "key", "tokens").mapInArrow(partial(prefixes, frequent=often, num=num, den=den, hot=hot), "token long, key long, n long, salt long, keys long")
+    heads = heads.repartition("token", "salt").sortWithinPartitions("token", "key")
     shared = written(heads.mapInArrow(shared_rows, "token long, key long, n long, keys long"), "shared")
     partner = F.ceil(F.lit(num) * F.col("n") / den)  # ``needed`` in SQL
     prefix = partner - F.ceil(F.lit(num) * partner / den) + 1
@@ -414,12 +461,15 @@ def class_links(sets: DataFrame, num: int, den: int, broadcast_rows: int = BROAD
     roots = written(components(links), "roots")
     shared = shared.join(near.select("key"), "key", "left_semi")
     rows = shared.join(roots, shared["key"] == roots["node"], "left").select("token", "key", "n", F.coalesce("root", "key").alias("root"))
-    open_ = rows.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("token")
-    rows = rows.join(open_, "token", "left_semi")
-    lists = rows.groupBy("key").agg(F.first("n").alias("n"), F.first("root").alias("root"), F.sort_array(F.collect_set("token")).alias("all"))
+    # The largest component of each token, and how many of its sets are there; tokens of one component are done.
+    tokens = rows.groupBy("token", "root").agg(F.count("*").alias("c")).groupBy("token")
+    tokens = tokens.agg(F.sum("c").alias("keys"), F.max("c").alias("most"), F.max_by("root", F.struct("c", "root")).alias("big")).filter("keys > most")
+    rows = rows.join(tokens, "token")
+    lists = rows.groupBy("key").agg(F.first("n").alias("n"), F.first("root").alias("root"), F.sort_array(F.collect_set(F.struct("token", "keys", "most", "big"))).alias("all"))
     lists = lists.join(own.select("key", "tokens").mapInArrow(sketches, "key long, sketch binary"), "key")
-    rows = lists.select("key", "n", "root", "sketch", "all", F.posexplode("all").alias("i", "token")).withColumn("before", F.slice("all", F.greatest(F.col("i") - 3, F.lit(1)), F.least(F.col("i"), F.lit(4)))).drop("all", "i")
-    rows = rows.repartition("token").sortWithinPartitions("token", "key")
+    before = F.transform(F.slice("all", F.greatest(F.col("i") - 3, F.lit(1)), F.least(F.col("i"), F.lit(4))), lambda t: t["token"])
+    rows = lists.select("key", "n", "root", "sketch", "all", F.posexplode("all").alias("i", "t")).select("key", "n", "root", "sketch", before.alias("before"), "t.*")
+    rows = chunk_pairs(rows).repartition("token").sortWithinPartitions("token", "key")
     pairs = written(rows.mapInArrow(partial(residual_pairs, num=num, den=den), "a long, b long").distinct(), "pairs")
     schema = "a long, b long"
     wide = own.select("key", "tokens").mapInArrow(partial(sketches, scale=4), "key long, sketch binary")
@@ -432,6 +482,14 @@ def class_links(sets: DataFrame, num: int, den: int, broadcast_rows: int = BROAD
     return links.unionByName(exact(apart(close, written(components(links), "roots"))))
 
 
+def hot_tokens(sets: DataFrame, often, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix hashes that very many sets share, ascending, and about how many: at most 10,000, found by one in ``SAMPLE`` sets."""
+    some = sets.filter(F.pmod(F.xxhash64("key", F.lit(1)), F.lit(SAMPLE)) == 0).select("n", "key", "tokens")
+    counts = some.mapInArrow(partial(prefixes, frequent=often, num=num, den=den), "token long").groupBy("token").agg(F.count("*").alias("c")).filter(F.col("c") >= HOT)
+    found = sorted((r["token"], r["c"] * SAMPLE) for r in counts.orderBy(F.col("c").desc(), "token").limit(10_000).collect())
+    return np.array([t for t, _ in found], "i8"), np.array([c for _, c in found], "i8")
+
+
 def sketches(rows: Iterator[pa.RecordBatch], scale: int = 0) -> Iterator[pa.RecordBatch]:
     """Sketches of the sets: of 512 bits, or with ``scale`` of the power of two from so many times the size up."""
     for batch in rows:
@@ -441,10 +499,18 @@ def sketches(rows: Iterator[pa.RecordBatch], scale: int = 0) -> Iterator[pa.Reco
 
 
 def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with the smallest id of their group of near copies, all columns kept.
+    """One document of each group of near copies, the one with the smallest id, all columns kept.
 
-    Documents without words stay. Rows that repeat an id and a text count as copies of each other, and one of them stays.
+    Documents without words stay. Of rows that repeat an id and a text one stays; rows that repeat an id with different
+    texts are told apart. A null id counts as the largest, and as equal to other null ids.
     """
-    groups = similar_classes(docs, n, num, den, id_col, text_col)
-    keep = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(keep, docs[id_col].eqNullSafe(keep["_kept"]), "left_semi")
+    sets, keys = grouped(docs, n, num, den, id_col, text_col)
+    rows = sets.select("_id", "h", "n", "key").join(keys.select("key", "root"), "key", "left")
+    first = F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), "h")).alias("first")
+    groups = rows.filter("n > 0").groupBy("root").agg(first).select(F.col("first.id").alias("_kept"), F.col("first.h").alias("_hash"))
+    empty = rows.filter("n = 0").select(F.col("_id").alias("_kept"), F.col("h").alias("_hash")).distinct()
+    keep = groups.unionByName(empty)
+    digest = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    out = docs.select(F.struct(*docs.columns).alias("_doc"), F.col(id_col).alias("_id"), digest.alias("_h"))
+    out = out.join(keep, out["_id"].eqNullSafe(keep["_kept"]) & (out["_h"] == keep["_hash"]), "left_semi")
+    return out.dropDuplicates(["_id", "_h"]).select(*[F.col("_doc")[c].alias(c) for c in docs.columns])
