@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lapreplay.llm.common import scratch, text_rows
+from lapreplay.llm.common import scratch, text_rows, written
 from lapreplay.llm.tokens import batches, encoder
 
 CACHE = "digest binary, tokenizer string, n_tokens bigint"
@@ -40,7 +40,8 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
     ``cache``: a folder that keeps counts from call to call; a fresh one when None. For vocabularies that drop
     white space, texts that differ in it alone share an entry. Null texts count as empty, with 0 tokens; repeated ids
     give a row each; an empty table gives an empty one and leaves the cache as it was. A text is encoded once even if
-    its copies are a third of all rows: copies meet after each task has dropped its own.
+    its copies are a third of all rows: copies meet after each task has dropped its own. Counts of the few digests that
+    make up more than 1/5,000 of the rows each are sent to all tasks; only the other rows are shuffled to their counts.
     """
     spark = docs.sparkSession
     cache = cache or scratch(spark, "token-cache")
@@ -50,16 +51,25 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str | None = None, limi
     normal = F.col("_text") if blanks_count else F.trim(F.regexp_replace("_text", r"[ \t\n\r]+", " "))
     keyed = d.select("_id", F.octet_length("_text").cast("long").alias("n_bytes"), normal.alias("_text"))
     keyed = keyed.withColumn("digest", F.unhex(F.sha2(F.col("_text").cast("binary"), 256)))
-    stored = read_cache(spark, cache).filter(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    stored = known(spark, cache, version)
     distinct = keyed.select("digest", "_text").dropDuplicates(["digest"])
     misses = distinct.join(stored.select("digest"), "digest", "left_anti") if not stored.isEmpty() else distinct
     counted = misses.mapInArrow(partial(count_batches, path=tokenizer), "digest binary, n_tokens bigint")
     counted.select("digest", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
-    stored = read_cache(spark, cache).filter(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    out = keyed.select("_id", "n_bytes", "digest").join(stored, "digest")
+    narrow = written(keyed.select("_id", "n_bytes", "digest"), "digests")
+    often = narrow.groupBy("digest").agg(F.count("*").alias("copies")).filter(F.col("copies") > max(1000, narrow.count() // 5000))
+    stored, often = known(spark, cache, version), written(often.select("digest"), "often")  # 5,000 rows at most
+    hot = stored.join(F.broadcast(often), "digest", "left_semi")
+    rest = narrow.join(F.broadcast(often), "digest", "left_anti").join(stored, "digest")
+    out = narrow.join(F.broadcast(hot), "digest").unionByName(rest)
     return out.select(F.col("_id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
+def known(spark, cache: str, version: str) -> DataFrame:
+    """Counts by ``digest`` of one tokenizer version."""
+    return read_cache(spark, cache).filter(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+
+
 def read_cache(spark, cache: str) -> DataFrame:
     """All entries; none where the folder has yet to be made. Concurrent appends may repeat an entry."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(cache)
