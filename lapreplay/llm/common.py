@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,9 +14,11 @@ BROADCAST_ROWS = 1_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder that the driver and all executors see: spark.checkpoint.dir, set here only where it is unset."""
+    """Folder that the driver and all executors see: spark.checkpoint.dir. Where it is unset, a driver without executors uses its own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='lapreplay-')}"
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -27,7 +30,10 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: later reads survive lost executors and compute nothing twice."""
+    """Write ``df`` to the shared folder and read it back: later reads survive lost executors and compute nothing twice.
+
+    The folder belongs to the application, whose results may read from it until they are stored: remove it after that.
+    """
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
