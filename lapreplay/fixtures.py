@@ -33,7 +33,7 @@ def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
 def laps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cleaned laps, valid by construction."""
     k = F.get_json_object("props", "$.k").cast("long")
-    cs = F.when(F.col("event_id") % 17 != 0, F.round(F.col("value") * 100).cast("long"))
+    cs = F.when(F.col("event_id") % 17 != 0, F.greatest(F.round(F.col("value") * 100).cast("long"), F.lit(1)))
     return _numbered(spark, sf_dir).select(
         "RaceId", F.concat(F.lit("U"), F.col("user_id")).alias("Driver"), "LapNumber", "Position", "Stint", F.upper("event_type").alias("Compound"), "TyreLife",
         (k % 7 + 1).cast("string").alias("TrackStatus"), (cs / 100).alias("LapTimeSeconds"), cs.alias("lap_cs"), "event_id",
@@ -94,7 +94,7 @@ ev AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY day, user_id, "Stint" ORDER BY "LapNumber") AS DOUBLE) AS "TyreLife", row_number() OVER (PARTITION BY day, "LapNumber" ORDER BY ts, event_id) AS "Position" FROM n1
 ), laps AS (
   SELECT "RaceId", 'U' || user_id AS "Driver", "LapNumber", "Position", "Stint", upper(event_type) AS "Compound", "TyreLife", CAST(CAST(json_extract_string(props, '$.k') AS BIGINT) % 7 + 1 AS VARCHAR) AS "TrackStatus",
-         CASE WHEN event_id % 17 <> 0 THEN CAST(round(value * 100) AS BIGINT) END AS lap_cs, CASE WHEN event_id % 17 <> 0 THEN CAST(round(value * 100) AS BIGINT) / 100 END AS "LapTimeSeconds", event_id FROM n2
+         CASE WHEN event_id % 17 <> 0 THEN greatest(CAST(round(value * 100) AS BIGINT), 1) END AS lap_cs, CASE WHEN event_id % 17 <> 0 THEN greatest(CAST(round(value * 100) AS BIGINT), 1) / 100 END AS "LapTimeSeconds", event_id FROM n2
 ), results AS (
   SELECT "RaceId", 'U' || user_id AS "Abbreviation", row_number() OVER (PARTITION BY "RaceId" ORDER BY l DESC, t, e) AS "Position"
   FROM (SELECT "RaceId", user_id, max("LapNumber") AS l, max(ts) AS t, max(event_id) AS e FROM n2 GROUP BY 1, 2)

@@ -23,8 +23,14 @@ def text(c: Column, upper: bool = False) -> Column:
     return F.upper(t) if upper else t
 
 
-def number(c: Column) -> Column:
-    """Number in a cell, null where there is none. NaN counts as missing; ``1d`` and ``1f`` aren't numbers."""
+def number(c: Column, kind: T.DataType | None = None) -> Column:
+    """Number in a cell, null where there is none. NaN counts as missing; ``1d`` and ``1f`` aren't numbers.
+
+    ``kind``: the column's type where it is known; numbers then needn't be read from text.
+    """
+    if isinstance(kind, T.NumericType):
+        n = c.cast("double")
+        return F.when(~F.isnan(n), n) if isinstance(kind, (T.FloatType, T.DoubleType)) else n
     t = trimmed(c)
     suffixed = t.rlike(r"(?i)[df]$") & ~t.rlike(r"(?i)inf$")
     n = F.when(~suffixed, t.try_cast("double"))
@@ -36,10 +42,19 @@ def fractional(n: Column) -> Column:
     return (n != F.floor(n).cast("double")) | (F.abs(n) == float("inf"))
 
 
-def whole(c: Column) -> Column:
-    """Whole number in a cell, null where it has none. Check ``fractional`` first: fractions are null here."""
-    n = number(c)
-    return F.when(~fractional(n), n.try_cast("long"))
+def whole(c: Column, kind: T.DataType | None = None) -> Column:
+    """Whole number in a cell, null where it has none. Check ``fractional`` first: fractions are null here.
+
+    Integers keep all their digits, in columns of integers as in texts.
+    """
+    if isinstance(kind, T.IntegralType):
+        return c.cast("long")
+    n = number(c, kind)
+    through = F.when(~fractional(n), n.try_cast("long"))
+    if isinstance(kind, T.NumericType):
+        return through
+    t = trimmed(c)
+    return F.coalesce(F.when(t.rlike(r"^[+-]?[0-9]+$"), t.try_cast("long")), through)
 
 
 def lap_micros(c: Column, kind: T.DataType) -> Column:

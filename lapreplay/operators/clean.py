@@ -28,15 +28,15 @@ def clean_columns(laps: DataFrame) -> DataFrame:
     micros = coerce.lap_micros(c("LapTime"), kinds["LapTime"])
     return laps.withColumns({
         "Driver": coerce.text(c("Driver"), upper=True), "Compound": coerce.text(c("Compound"), upper=True), "TrackStatus": coerce.text(c("TrackStatus")),
-        "LapNumber": coerce.whole(c("LapNumber")), "Position": coerce.whole(c("Position")), "Stint": coerce.whole(c("Stint")),
-        "TyreLife": coerce.number(c("TyreLife")), "LapTime": coerce.interval(micros), "LapTimeSeconds": coerce.seconds(micros),
+        **{n: coerce.whole(c(n), kinds[n]) for n in ("LapNumber", "Position", "Stint")},
+        "TyreLife": coerce.number(c("TyreLife"), kinds["TyreLife"]), "LapTime": coerce.interval(micros), "LapTimeSeconds": coerce.seconds(micros),
     })
 
 
 def lost_cells(laps: DataFrame, race_keys: Sequence[str] = RACE) -> DataFrame:
     """Cells that cleaning can't type: fractions and lap times that can't be read."""
     kinds, c = {f.name: f.dataType for f in laps.schema.fields}, F.col
-    rules = [Rule(f"fractional_{n}", "error", f"{n} isn't whole", coerce.fractional(coerce.number(c(n)))) for n in ("LapNumber", "Position", "Stint")]
+    rules = [Rule(f"fractional_{n}", "error", f"{n} isn't whole", coerce.fractional(coerce.number(c(n), kinds[n]))) for n in ("LapNumber", "Position", "Stint")]
     rules.append(Rule("unreadable_LapTime", "error", "the lap time can't be read", c("LapTime").isNotNull() & coerce.lap_micros(c("LapTime"), kinds["LapTime"]).isNull()))
     return violations(laps, rules, race_keys)
 

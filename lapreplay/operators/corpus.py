@@ -87,12 +87,20 @@ def sort_corpus(corpus: DataFrame) -> DataFrame:
 
 
 def corpus_summary(corpus: DataFrame) -> DataFrame:
-    """One row: races, seasons, rows, snapshots, drivers, first and last race. Counts are exact; tasks send distinct values only."""
+    """One row: races, seasons, rows, snapshots, drivers, first and last race. Counts are exact.
+
+    One pass groups rows by snapshot and one by driver, both before their shuffle; all else is counted from the snapshots.
+    """
     place = F.struct("Season", "RoundNumber", "RaceId")
-    return corpus.agg(
-        F.countDistinct("RaceId").alias("race_count"), F.countDistinct("Season").alias("season_count"), F.count("*").alias("row_count"), F.countDistinct("RaceId", "SnapshotLap").alias("snapshot_count"),
-        F.countDistinct("Driver").alias("driver_count"), F.min_by("RaceId", place).alias("first_race_id"), F.max_by("RaceId", place).alias("last_race_id"),
+    snapshots = corpus.groupBy("RaceId", "Season", "RoundNumber", "SnapshotLap").agg(F.count("*").alias("n"))
+    races = snapshots.groupBy("RaceId", "Season", "RoundNumber").agg(F.sum("n").alias("n"), F.count("SnapshotLap").alias("s"))
+    whole = races.agg(
+        F.countDistinct("RaceId").alias("race_count"), F.countDistinct("Season").alias("season_count"), F.coalesce(F.sum("n"), F.lit(0)).alias("row_count"), F.coalesce(F.sum("s"), F.lit(0)).alias("snapshot_count"),
+        F.min_by("RaceId", place).alias("first_race_id"), F.max_by("RaceId", place).alias("last_race_id"),
     )
+    drivers = corpus.groupBy("Driver").agg(F.lit(1).alias("one")).agg(F.count("Driver").alias("driver_count"))
+    names = ("race_count", "season_count", "row_count", "snapshot_count", "driver_count", "first_race_id", "last_race_id")
+    return whole.unionByName(drivers, allowMissingColumns=True).agg(*[F.max(c).alias(c) for c in names])
 
 
 def chronological_split(corpus: DataFrame, validation_season: int, last_n_races: int, test_seasons: Sequence[int], check: bool = True) -> DataFrame:

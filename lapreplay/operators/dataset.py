@@ -10,7 +10,7 @@ from lapreplay.functions import coerce
 from lapreplay.operators.replay import build_race_replay
 from lapreplay.operators.rules import Rule, enforce, repeated, violations
 from lapreplay.operators.targets import attach_winner_targets, build_winner_targets, winner_count_check
-from lapreplay.schemas import DATASET, DATASET_KEY, METADATA, POST_RACE, TARGET, DatasetError, require_columns
+from lapreplay.schemas import DATASET, DATASET_KEY, METADATA, POST_RACE, TARGET, DatasetError, RaceDataError, require_columns
 
 
 def race_identity(sessions: DataFrame, requested_event: str | None = None, requested_session: str = "Race") -> DataFrame:
@@ -73,10 +73,19 @@ def validate_race_dataset(dataset: DataFrame) -> None:
     enforce(check_dataset(dataset), DatasetError)
 
 
+def require_sessions(rows: DataFrame, sessions: DataFrame, error: type[RaceDataError]) -> None:
+    """Raise where rows belong to no session: a join to the sessions would drop them without a word."""
+    lost = rows.select("RaceId").join(sessions.select("RaceId"), "RaceId", "left_anti").limit(1).collect()
+    if lost:
+        raise error(f"there is no session for race {lost[0]['RaceId']!r}")
+
+
 def build_race_dataset(laps: DataFrame, results: DataFrame, sessions: DataFrame, start_lap: int = 1, end_lap: int | None = None, check: bool = True) -> DataFrame:
     """Datasets of all races of ``sessions``, whose five identity columns are joined by ``RaceId``. Spark broadcasts that small side."""
     replay = build_race_replay(laps, start_lap=start_lap, end_lap=end_lap, check=check)
     labelled = attach_winner_targets(replay, build_winner_targets(results, check=check), check=check)
+    if check:
+        require_sessions(laps, sessions, DatasetError)
     out = labelled.join(sessions.select(*METADATA), "RaceId").select(*DATASET)
     if check:
         validate_race_dataset(out)

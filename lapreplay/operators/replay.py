@@ -1,8 +1,8 @@
 """Replay: what was known of each driver when the leader had finished lap N.
 
-Each lap row holds from its lap up to the driver's next one. That interval is cut to the race's leader laps and
-expanded, so the as-of join is one hash join on (race, lap), linear in its output. Running totals, the next lap and the
-totals' gaps share one shuffle on (race, driver).
+Leader laps are numbered in each race. A lap row holds from its lap up to the driver's next one, which is an interval of
+these numbers; it is expanded, so the as-of join is one hash join on (race, number), linear in its output however far
+apart the laps are. Running totals, the next lap and the totals' gaps share one shuffle on (race, driver).
 """
 
 from __future__ import annotations
@@ -19,33 +19,34 @@ from lapreplay.schemas import RACE, REPLAY, REPLAY_INPUT, ReplayError, positive_
 
 def prepared_laps(laps: DataFrame, race_keys: Sequence[str] = RACE) -> DataFrame:
     """The columns of a replay, typed. Cells that break a rule may become null: see ``input_rules``."""
-    c = F.col
+    c, kinds = F.col, {f.name: f.dataType for f in laps.schema.fields}
     return laps.select(
-        *race_keys, coerce.text(c("Driver"), upper=True).alias("Driver"), coerce.whole(c("LapNumber")).alias("LapNumber"), coerce.whole(c("Position")).alias("Position"),
-        coerce.whole(c("Stint")).alias("Stint"), coerce.text(c("Compound"), upper=True).alias("Compound"), coerce.number(c("TyreLife")).alias("TyreLife"),
-        coerce.text(c("TrackStatus")).alias("TrackStatus"), coerce.number(c("LapTimeSeconds")).alias("LapTimeSeconds"),
+        *race_keys, coerce.text(c("Driver"), upper=True).alias("Driver"), coerce.whole(c("LapNumber"), kinds["LapNumber"]).alias("LapNumber"), coerce.whole(c("Position"), kinds["Position"]).alias("Position"),
+        coerce.whole(c("Stint"), kinds["Stint"]).alias("Stint"), coerce.text(c("Compound"), upper=True).alias("Compound"), coerce.number(c("TyreLife"), kinds["TyreLife"]).alias("TyreLife"),
+        coerce.text(c("TrackStatus")).alias("TrackStatus"), coerce.number(c("LapTimeSeconds"), kinds["LapTimeSeconds"]).alias("LapTimeSeconds"),
     )
 
 
 def check_input(laps: DataFrame, race_keys: Sequence[str] = RACE, row_id: str | None = None) -> DataFrame:
     """Rules that the laps of a replay must keep, broken ones per race."""
-    c, rules = F.col, []
+    c, rules, kinds = F.col, [], {f.name: f.dataType for f in laps.schema.fields}
     for n, required in (("LapNumber", True), ("Position", False), ("Stint", False)):
-        x = coerce.number(c(n))
+        x = coerce.number(c(n), kinds[n])
         rules.append(Rule(f"non_numeric_{n}", "error", f"{n} isn't a number", c(n).isNotNull() & ~_nan(laps, n) & x.isNull()))
         if required:
             rules.append(Rule(f"missing_{n}", "error", f"{n} is missing", c(n).isNull() | _nan(laps, n)))
         rules += [Rule(f"non_positive_{n}", "error", f"{n} is zero or less", x <= 0), Rule(f"fractional_{n}", "error", f"{n} isn't whole", coerce.fractional(x))]
     for n in ("TyreLife", "LapTimeSeconds"):
-        rules.append(Rule(f"non_numeric_{n}", "error", f"{n} isn't a number", c(n).isNotNull() & ~_nan(laps, n) & coerce.number(c(n)).isNull()))
+        rules.append(Rule(f"non_numeric_{n}", "error", f"{n} isn't a number", c(n).isNotNull() & ~_nan(laps, n) & coerce.number(c(n), kinds[n]).isNull()))
     driver = coerce.text(c("Driver"), upper=True)
     rules += [
         Rule("missing_Driver", "error", "no driver is named", driver.isNull()),
-        Rule("negative_TyreLife", "error", "TyreLife is below zero", coerce.number(c("TyreLife")) < 0),
-        Rule("non_positive_LapTimeSeconds", "error", "LapTimeSeconds is zero or less", coerce.number(c("LapTimeSeconds")) <= 0),
+        Rule("negative_TyreLife", "error", "TyreLife is below zero", coerce.number(c("TyreLife"), kinds["TyreLife"]) < 0),
+        Rule("non_positive_LapTimeSeconds", "error", "LapTimeSeconds is zero or less", coerce.number(c("LapTimeSeconds"), kinds["LapTimeSeconds"]) <= 0),
         Rule("duplicate_driver_lap", "error", "a driver has a lap more than once", c("_copies")),
+        *[Rule(f"missing_{k}", "error", f"{k} is missing", c(k).isNull()) for k in race_keys],
     ]
-    marked = laps.withColumns({"_driver": driver, "_lap": coerce.whole(c("LapNumber"))}).withColumn("_copies", repeated(*race_keys, "_driver", "_lap"))
+    marked = laps.withColumns({"_driver": driver, "_lap": coerce.whole(c("LapNumber"), kinds["LapNumber"])}).withColumn("_copies", repeated(*race_keys, "_driver", "_lap"))
     return violations(marked, rules, race_keys, row_id)
 
 
@@ -76,12 +77,25 @@ def snapshot_spine(laps: DataFrame, race_keys: Sequence[str] = RACE, start_lap:
 
 def snapshot_asof_join(running_laps: DataFrame, spine: DataFrame, race_keys: Sequence[str] = RACE) -> DataFrame:
     """For each snapshot lap and driver the latest row at or before it. Drivers without one are absent."""
-    ends = spine.groupBy(*race_keys).agg(F.min("SnapshotLap").alias("_from"), F.max("SnapshotLap").alias("_to"))
-    held = running_laps.join(ends, list(race_keys))
-    first = F.greatest("LapNumber", "_from")
-    last = F.least(F.coalesce(F.col("NextLap") - 1, F.col("_to")), F.col("_to"))
-    held = held.filter(first <= last).withColumn("SnapshotLap", F.explode(F.sequence(first, last))).drop("_from", "_to")
-    return held.join(spine, [*race_keys, "SnapshotLap"])
+    below = spine_numbers(running_laps, spine, race_keys)
+    held = running_laps.join(below, [*race_keys, "LapNumber"])
+    until = F.lead("_below").over(Window.partitionBy(*race_keys, "Driver").orderBy("LapNumber"))
+    held = held.withColumn("_last", F.coalesce(until, F.col("_all")) - 1).filter(F.col("_below") <= F.col("_last"))
+    held = held.withColumn("_number", F.explode(F.sequence("_below", "_last"))).drop("_below", "_last", "_all")
+    named = below.filter("_leader").select(*race_keys, F.col("_below").alias("_number"), F.col("LapNumber").alias("SnapshotLap"))
+    return held.join(named, [*race_keys, "_number"]).drop("_number")
+
+
+def spine_numbers(laps: DataFrame, spine: DataFrame, race_keys: Sequence[str] = RACE) -> DataFrame:
+    """For each distinct lap of a race: ``_below``, how many leader laps come before it, ``_leader``, whether it is one, and ``_all``.
+
+    A race's distinct laps are few next to its rows.
+    """
+    every = laps.select(*race_keys, "LapNumber", F.lit(False).alias("_leader")).unionByName(spine.select(*race_keys, F.col("SnapshotLap").alias("LapNumber"), F.lit(True).alias("_leader")))
+    every = every.groupBy(*race_keys, "LapNumber").agg(F.max("_leader").alias("_leader"))
+    race = Window.partitionBy(*race_keys)
+    before = race.orderBy("LapNumber").rowsBetween(Window.unboundedPreceding, -1)
+    return every.withColumns({"_below": F.count_if("_leader").over(before), "_all": F.count_if("_leader").over(race)})
 
 
 def snapshot_columns(joined: DataFrame, race_keys: Sequence[str] = RACE) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
@@ -33,7 +35,9 @@ def violations(df: DataFrame, rules: Sequence[Rule], keys: Sequence[str] = RACE,
     rows = df.select(*keys, F.col(row_id).alias("_row"), broken.alias("_codes")).select(*keys, "_row", F.explode("_codes").alias("code"))
     first = rows.withColumn("_k", F.row_number().over(Window.partitionBy(*keys, "code").orderBy("_row"))).filter(F.col("_k") <= samples)
     listed = first.groupBy(*keys, "code").agg(F.transform(F.sort_array(F.collect_list(F.struct("_k", "_row"))), lambda x: x["_row"].cast("string")).alias("sample_rows"))
-    return out.join(listed, [*keys, "code"], "left").select(*keys, *ISSUES, "sample_rows")
+    listed = listed.select(*[F.col(k).alias(f"_of_{k}") for k in (*keys, "code")], "sample_rows")  # keys may be null
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in (*keys, "code")])
+    return out.join(listed, same, "left").select(*keys, *ISSUES, "sample_rows")
 
 
 def enforce(issues: DataFrame, error: type[RaceDataError]) -> None:
@@ -55,6 +59,12 @@ def repeated(*key: str) -> Column:
     return F.count("*").over(Window.partitionBy(*key)) > 1
 
 
+def missing_keys(df: DataFrame, others: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Distinct keys of ``df`` that ``others`` lacks; null keys equal each other."""
+    there = others.select(*[F.col(k).alias(f"_of_{k}") for k in key])
+    return df.select(*key).distinct().join(there, reduce(and_, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in key]), "left_anti")
+
+
 def duplicate_keys(df: DataFrame, key: Sequence[str]) -> DataFrame:
     """Keys that several rows have, and how many."""
     return df.groupBy(*key).agg(F.count("*").alias("copies")).filter("copies > 1")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,14 +28,14 @@ def lap_rules(df: DataFrame) -> list[Rule]:
             Rule("driver_whitespace", "warning", "white space surrounds the driver", F.coalesce(c("Driver").cast("string"), F.lit("")) != F.coalesce(coerce.trimmed(c("Driver")), F.lit(""))),
         ]
     if have("LapNumber"):
-        n = coerce.number(c("LapNumber"))
+        n = coerce.number(c("LapNumber"), kinds["LapNumber"])
         out += [
             Rule("invalid_lap_number", "error", "the lap number is missing or no number", n.isNull()),
             Rule("non_positive_lap_number", "error", "the lap number is zero or less", n <= 0),
             Rule("fractional_lap_number", "error", "the lap number isn't whole", coerce.fractional(n)),
         ]
     if have("Position"):
-        n = coerce.number(c("Position"))
+        n = coerce.number(c("Position"), kinds["Position"])
         out += [
             Rule("missing_position", "warning", "the position is missing or no number", n.isNull()),
             Rule("non_positive_position", "error", "the position is zero or less", n <= 0),
@@ -42,10 +44,10 @@ def lap_rules(df: DataFrame) -> list[Rule]:
         if have("Driver"):
             out.append(Rule("position_above_driver_count", "error", "the position is above the number of drivers", (c("_drivers") > 0) & (n > c("_drivers"))))
     if have("Stint"):
-        n = coerce.number(c("Stint"))
+        n = coerce.number(c("Stint"), kinds["Stint"])
         out.append(Rule("invalid_stint_number", "error", "the stint isn't a positive whole number", c("Stint").isNotNull() & ((n <= 0) | coerce.fractional(n))))
     if have("TyreLife"):
-        out.append(Rule("negative_tyre_life", "error", "the tyre life is below zero", coerce.number(c("TyreLife")) < 0))
+        out.append(Rule("negative_tyre_life", "error", "the tyre life is below zero", coerce.number(c("TyreLife"), kinds["TyreLife"]) < 0))
     if have("LapTime"):
         t = coerce.lap_micros(c("LapTime"), kinds["LapTime"])
         out += [
@@ -58,9 +60,10 @@ def lap_rules(df: DataFrame) -> list[Rule]:
 
 
 def validate_laps(laps: DataFrame, race_keys: Sequence[str] = RACE, row_id: str | None = None) -> DataFrame:
-    """Broken rules of each race. Absent columns and names used twice are reported for the table, under null keys.
+    """Broken rules of each race. An empty table, absent columns and names used twice are reported for the table, under null keys.
 
-    Laps shuffle once, on race and driver, for the copies; drivers are counted from the same partitions.
+    Rows without race keys are a race of their own. Laps shuffle once, on race and driver, for the copies; drivers are
+    counted from the same partitions.
     """
     spark = laps.sparkSession
     kinds = ", ".join(f"{k} string" for k in race_keys)
@@ -73,15 +76,32 @@ def validate_laps(laps: DataFrame, race_keys: Sequence[str] = RACE, row_id: str
     if "Driver" in df.columns:
         if "LapNumber" in df.columns:
             df = df.withColumn("_copies", repeated(*race_keys, "Driver", "LapNumber"))
-        drivers = laps.groupBy(*race_keys).agg(F.countDistinct("Driver").alias("_drivers"))
-        df = df.join(drivers, list(race_keys))
-    out = violations(df, lap_rules(df), race_keys, row_id)
+        drivers = laps.groupBy(*[F.col(k).alias(f"_of_{k}") for k in race_keys]).agg(F.countDistinct("Driver").alias("_drivers"))
+        df = df.join(drivers, reduce(and_, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in race_keys]), "left")
+    out = violations(df, lap_rules(df), race_keys, row_id).unionByName(empty_table(laps, race_keys), allowMissingColumns=True)
     if missing:
         note = row("missing_required_columns", f"columns are absent: {', '.join(missing)}", 0)
         out = out.unionByName(note, allowMissingColumns=True)
     return out
 
 
+def empty_table(laps: DataFrame, race_keys: Sequence[str] = RACE) -> DataFrame:
+    """One row under null keys where the whole table is empty; at most one row of each partition is read."""
+    any_row = laps.select(F.lit(1).alias("_any")).limit(1).agg(F.count("*").alias("affected_rows")).filter("affected_rows = 0")
+    keys = [F.lit(None).cast(laps.schema[k].dataType if k in laps.columns else "string").alias(k) for k in race_keys]
+    return any_row.select(*keys, F.lit("empty_lap_table").alias("code"), F.lit("error").alias("severity"), F.lit("there are no laps").alias("message"), "affected_rows")
+
+
+def column_report(df: DataFrame, needed: Sequence[str], race_keys: Sequence[str] = RACE) -> DataFrame:
+    """Of each race with rows: how often each needed column, and each name used twice, is in the table. 1 is right.
+
+    ``require_columns`` raises where this finds anything else.
+    """
+    names = [*dict.fromkeys([*needed, *(c for c in df.columns if df.columns.count(c) > 1)])]
+    cells = F.array(*[F.struct(F.lit(n).alias("column"), F.lit(df.columns.count(n)).alias("copies")) for n in names])
+    return df.select(*race_keys).distinct().select(*race_keys, F.inline(cells))
+
+
 def empty_tables(sessions: DataFrame, laps: DataFrame, race_keys: Sequence[str] = RACE) -> DataFrame:
     """Races of ``sessions`` without a lap."""
     empty = sessions.join(laps, list(race_keys), "left_anti").select(*race_keys)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -35,8 +36,12 @@ def query(sql: str | None = None, more: str = ""):
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A fresh path that the driver and all executors see."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='lapreplay-')}"
+    """A fresh path that the driver and all executors see. Only a driver without executors may use its own folder."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='lapreplay-')}"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -124,10 +129,13 @@ def write_cleaned_laps(spark, sf_dir):
     return spark.read.parquet(path).select("RaceId", "Season", "RoundNumber", "Driver", "LapNumber", "Position", "LapTimeSeconds")
 
 
-@query("""SELECT "RaceId", "Season", "EventName", count(*) AS row_count FROM laps_raw JOIN sessions USING ("RaceId") GROUP BY ALL""")
+@query("""SELECT "RaceId", "Season", "EventName", count(*) AS row_count, 10 AS n_columns, count(*) FILTER (WHERE trim("Driver") = '') AS unnamed FROM laps_raw JOIN sessions USING ("RaceId") GROUP BY ALL""")
 def cleaning_report(spark, sf_dir):
     c = clean.clean_laps(fixtures.laps_raw(spark, sf_dir).withColumns({n: F.when(coerce.number(F.col(n)) % 1 == 0, F.col(n)) for n in ("LapNumber", "Position")}).withColumn("LapTime", F.when(F.col("LapTime") != "abc", F.col("LapTime"))), fail_on_input_errors=False)
-    return io.cleaning_report(c.laps, c.before, c.after, fixtures.sessions(spark, sf_dir)).select("RaceId", "Season", "EventName", "row_count")
+    out = io.cleaning_report(c.laps, c.before, c.after, fixtures.sessions(spark, sf_dir))
+    issues = F.from_json("output_validation", "array<struct<code:string,severity:string,message:string,affected_rows:bigint>>")
+    unnamed = F.aggregate(F.filter(issues, lambda x: x["code"] == "missing_driver"), F.lit(0).cast("long"), lambda a, x: a + x["affected_rows"])
+    return out.select("RaceId", "Season", "EventName", "row_count", F.size("columns").alias("n_columns"), unnamed.alias("unnamed"))
 
 
 def stored(spark, sf_dir) -> str:
@@ -161,9 +169,31 @@ def read_manifest(spark, sf_dir):
     return io.read_manifest(spark, stored(spark, sf_dir)).select(*_M)
 
 
-@query("""SELECT "RaceId" AS race_id, true AS verified FROM sessions""")
+@query("""SELECT "RaceId" AS race_id, "RoundNumber" <> 5 AS verified FROM sessions""")
 def verify_checksum(spark, sf_dir):
-    return io.verify_checksum(spark, stored(spark, sf_dir))
+    """The files of the fifth round are written anew with one label changed."""
+    path = stored(spark, sf_dir)
+    other = io.read_race_dataset(spark, path, check=False).filter("RoundNumber = 5").withColumn("WonRace", F.col("WonRace") | (F.col("Driver") == F.col("RaceId")))
+    changed = other.withColumns({"_season": F.col("Season"), "_round": F.col("RoundNumber"), "TyreLife": F.col("TyreLife") + 1})
+    changed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_season", "_round").parquet(path)
+    return io.verify_checksum(spark, path)
+
+
+@query("""SELECT "RaceId" AS race_id, count(*) AS row_count, "Season" = 2024 AS replaced FROM data GROUP BY 1, "Season" """, DATA)
+def atomic_commit(spark, sf_dir):
+    """A second write replaces one season's races with their manifests; a third one fails and changes neither."""
+    path, d = stored(spark, sf_dir), the_dataset(spark, sf_dir)
+    new = d.filter("Season = 2024").withColumn("EventName", F.concat(F.lit("New "), "EventName"))
+    io.write_race_dataset(new, path, overwrite=True, check=False)
+    broken = d.filter("Season = 2023").withColumn("TyreLife", F.when(F.col("SnapshotLap") > 1, F.raise_error(F.lit("lost")).cast("double")).otherwise(F.col("TyreLife")))
+    try:
+        io.write_race_dataset(broken, path, overwrite=True, check=False)
+    except Exception as e:
+        if "lost" not in str(e):
+            raise
+    manifest = io.read_manifest(spark, path).join(io.verify_checksum(spark, path).filter("verified"), "race_id")
+    now = io.read_race_dataset(spark, path, check=False).groupBy(F.col("RaceId").alias("race_id")).agg(F.min(F.col("EventName").startswith("New ")).alias("replaced"))
+    return manifest.join(now, "race_id").select("race_id", "row_count", "replaced")
 
 
 @query("SELECT * FROM data", DATA)
@@ -255,9 +285,9 @@ def lap_range_filter(spark, sf_dir):
     return the_replay(spark, sf_dir, start_lap=2, end_lap=4)
 
 
-@query("""SELECT * FROM replay WHERE "SnapshotLap" >= 1""", REPLAYED)
+@query("""SELECT * FROM replay WHERE "SnapshotLap" >= 3""", REPLAYED)
 def minimum_snapshot_lap(spark, sf_dir):
-    return the_replay(spark, sf_dir, start_lap=1)
+    return the_replay(spark, sf_dir, start_lap=3)
 
 
 @query("""SELECT * FROM replay WHERE "SnapshotLap" = 3""", REPLAYED)
@@ -536,26 +566,31 @@ def top5_sample(spark, sf_dir):
     return found.select("RaceId", "code", F.concat_ws(",", "sample_rows").alias("samples"))
 
 
-# Orders: a rank column shows the order
+# Orders: the sorted rows are numbered as they come, partition by partition
 
 
-def _ranked(df, *keys):
-    return df.withColumn("place", F.row_number().over(Window.partitionBy("RaceId").orderBy(*keys)).cast("long"))
+def _numbered(df):
+    """``place``: each row's number in the order of the table itself."""
+    at = df.withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()})
+    rows = at.groupBy("_part").agg(F.count("*").alias("n"))  # as few rows as partitions
+    before = F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    at = at.join(rows.withColumn("_before", before).drop("n"), "_part")
+    return at.withColumn("place", F.col("_before") + F.col("_row").bitwiseAND((1 << 33) - 1) + 1)
 
 
-@query("""SELECT "RaceId", "SnapshotLap", "Driver", row_number() OVER (PARTITION BY "RaceId" ORDER BY "SnapshotLap", "Position" NULLS LAST, "Driver") AS place FROM replay""", REPLAYED)
+@query("""SELECT "RaceId", "SnapshotLap", "Driver", row_number() OVER (ORDER BY "RaceId", "SnapshotLap", "Position" NULLS LAST, "Driver") AS place FROM replay""", REPLAYED)
 def sort_replay(spark, sf_dir):
-    return _ranked(replay.sort_replay(the_replay(spark, sf_dir)), "SnapshotLap", F.col("Position").asc_nulls_last(), "Driver").select("RaceId", "SnapshotLap", "Driver", "place")
+    return _numbered(replay.sort_replay(the_replay(spark, sf_dir))).select("RaceId", "SnapshotLap", "Driver", "place")
 
 
-@query("""SELECT "RaceId", "Abbreviation" AS "Driver", "Position" = 1 AS "WonRace" FROM results""")
+@query("""SELECT "RaceId", "Abbreviation" AS "Driver", "Position" = 1 AS "WonRace", row_number() OVER (ORDER BY "RaceId", "Position", "Abbreviation") AS place FROM results""")
 def sort_targets(spark, sf_dir):
-    return targets.sort_targets(fixtures.results(spark, sf_dir))
+    return _numbered(targets.sort_targets(fixtures.results(spark, sf_dir))).select("RaceId", "Driver", "WonRace", "place")
 
 
-@query("""SELECT "RaceId", "SnapshotLap", "Driver" FROM data""", DATA)
+@query("""SELECT "RaceId", "SnapshotLap", "Driver", row_number() OVER (ORDER BY "Season", "RoundNumber", "SnapshotLap", "Position" NULLS LAST, "Driver") AS place FROM data""", DATA)
 def sort_corpus(spark, sf_dir):
-    return corpus.sort_corpus(the_dataset(spark, sf_dir)).select("RaceId", "SnapshotLap", "Driver")
+    return _numbered(corpus.sort_corpus(the_dataset(spark, sf_dir))).select("RaceId", "SnapshotLap", "Driver", "place")
 
 
 @query("""SELECT event_id, lead("LapNumber") OVER (PARTITION BY "RaceId", "Driver" ORDER BY "LapNumber") AS "NextLap" FROM laps""")
@@ -593,10 +628,48 @@ def distinct_snapshots(spark, sf_dir):
     return the_dataset(spark, sf_dir).select("RaceId", "SnapshotLap").distinct()
 
 
-@query("""SELECT DISTINCT "RaceId", "Driver" FROM laps WHERE "Driver" NOT IN (SELECT "Driver" FROM laps WHERE "LapNumber" > 2)""")
+@query("""SELECT DISTINCT "RaceId", "Driver" FROM laps EXCEPT SELECT "RaceId", "Driver" FROM laps WHERE "LapNumber" > 2""")
 def set_difference(spark, sf_dir):
+    """Drivers of a race who finished two laps at most."""
     d = fixtures.laps(spark, sf_dir)
-    return d.select("RaceId", "Driver").distinct().join(d.filter("LapNumber > 2").select("Driver").distinct(), "Driver", "left_anti").select("RaceId", "Driver")
+    return rules.missing_keys(d, d.filter("LapNumber > 2"), ["RaceId", "Driver"])
+
+
+@query("""SELECT "RaceId", 'RoundNumber int and RoundNumber bigint; Driver string and Position bigint; Position bigint and Driver string' AS differences, count(*) AS rows FROM data GROUP BY 1""", DATA)
+def exact_schema_check(spark, sf_dir):
+    """A dataset against one with two columns in another order and one of another type."""
+    d = the_dataset(spark, sf_dir)
+    swapped = [{"Driver": "Position", "Position": "Driver"}.get(c, c) for c in d.columns]
+    found = corpus.schema_differences(d, d.withColumn("RoundNumber", F.col("RoundNumber").cast("long")).select(swapped))
+    return d.groupBy("RaceId").agg(F.count("*").alias("rows")).withColumn("differences", F.lit("; ".join(found)))
+
+
+_COPIES = """SELECT "RaceId", c AS "column", n AS copies FROM (SELECT DISTINCT "RaceId" FROM laps), (VALUES {}) v(c, n)"""
+
+
+@query(_COPIES.format("('Driver', 1), ('LapNumber', 1), ('LapTime', 0), ('Position', 1), ('Stint', 1), ('Compound', 1), ('TyreLife', 1), ('TrackStatus', 1)"))
+def require_columns(spark, sf_dir):
+    """These laps have no lap times."""
+    return validate.column_report(fixtures.laps(spark, sf_dir), LAP_COLUMNS)
+
+
+@query(_COPIES.format("('Driver', 2), ('event_id', 2)"))
+def reject_duplicate_columns(spark, sf_dir):
+    d = fixtures.laps(spark, sf_dir).select("RaceId", "Driver", "event_id")
+    return validate.column_report(d.select("*", F.upper("Driver").alias("Driver"), "event_id"), ["Driver"])
+
+
+@query("""SELECT NULL::VARCHAR AS "RaceId", 'empty_lap_table' AS code, count(*) AS affected_rows FROM laps_raw WHERE "Stint" = '-9'""")
+def empty_lap_table(spark, sf_dir):
+    """No lap has that stint."""
+    return validate.validate_laps(fixtures.laps_raw(spark, sf_dir).filter("Stint = '-9'")).select("RaceId", "code", "affected_rows")
+
+
+@query("""SELECT "RaceId", code, count(*) AS affected_rows FROM (SELECT CASE WHEN "RaceId" LIKE '2023%' THEN "RaceId" END AS "RaceId", unnest(CASE WHEN "TyreLife" = '-2' THEN ['negative_tyre_life'] ELSE [] END || CASE WHEN trim("Driver") = '' THEN ['missing_driver'] ELSE [] END) AS code FROM laps_raw) GROUP BY 1, 2""")
+def laps_without_race(spark, sf_dir):
+    """Laps of one season have lost their race; their broken rules still count."""
+    d = fixtures.laps_raw(spark, sf_dir).withColumn("RaceId", F.when(F.col("RaceId").startswith("2023"), F.col("RaceId")))
+    return validate.validate_laps(d).filter(F.col("code").isin("negative_tyre_life", "missing_driver")).select("RaceId", "code", "affected_rows")
 
 
 # Whole flows
@@ -607,6 +680,32 @@ def build_race_replay(spark, sf_dir):
     return the_replay(spark, sf_dir)
 
 
+@query("SELECT * FROM replay", REPLAYED)
+def build_race_replay_checked(spark, sf_dir):
+    return rounded(replay.build_race_replay(fixtures.laps(spark, sf_dir)))
+
+
+_FAR = "laps_far AS (SELECT * REPLACE (\"LapNumber\" * 1000003 AS \"LapNumber\") FROM laps), " + REPLAY_SQL.format(n="far_replay", laps="laps_far")
+
+
+@query("SELECT * FROM far_replay", _FAR)
+def build_race_replay_sparse(spark, sf_dir):
+    """Lap numbers a million apart."""
+    return rounded(replay.build_race_replay(fixtures.laps(spark, sf_dir).withColumn("LapNumber", F.col("LapNumber") * 1000003), check=False))
+
+
+@query("SELECT * FROM data", DATA)
+def build_race_dataset_checked(spark, sf_dir):
+    f = fixtures
+    return rounded(dataset.build_race_dataset(f.laps(spark, sf_dir), f.results(spark, sf_dir), f.sessions(spark, sf_dir)))
+
+
+@query("SELECT * FROM data", DATA)
+def combine_checked(spark, sf_dir):
+    d = io.read_race_dataset(spark, stored(spark, sf_dir), check=False)
+    return corpus.combine_race_datasets([d.filter("Season = 2024"), d.filter("Season = 2023")])
+
+
 @query("SELECT * FROM gaps_replay", GAPS)
 def build_race_replay_gaps(spark, sf_dir):
     return rounded(replay.build_race_replay(fixtures.laps_gaps(spark, sf_dir), check=False))

@@ -1,11 +1,12 @@
 """Landed tables in, datasets and their manifests out.
 
-Tables are folders of Parquet below one root. Spark's committer makes each write whole or absent, and manifests are
-written after the data they name.
+Tables are folders of Parquet below one root. A dataset and its manifests are written beside their place, checked against
+each other, and moved there race by race; a move that fails puts back what was there.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from lapreplay.functions import coerce
 from lapreplay.operators.corpus import sorted_for_storage
-from lapreplay.operators.dataset import validate_race_dataset
+from lapreplay.operators.dataset import require_sessions, validate_race_dataset
 from lapreplay.schemas import DATASET, DATASET_SCHEMA, METADATA, SESSION_TYPES, TARGET, ArtifactError, RaceDataError
 
 SCHEMA_VERSION = 1
@@ -81,13 +82,17 @@ def overwrite_guard(spark: SparkSession, paths: Sequence[str], overwrite: bool)
 def write_cleaned_laps(laps: DataFrame, sessions: DataFrame, path: str, overwrite: bool = False) -> None:
     """Cleaned laps by season and round. Overwriting replaces the written races and leaves others."""
     overwrite_guard(laps.sparkSession, [path], overwrite)
+    require_sessions(laps, sessions, ArtifactError)
     keyed = laps.drop("Season", "RoundNumber").join(sessions.select("RaceId", "Season", "RoundNumber"), "RaceId")
     write = keyed.write.partitionBy("Season", "RoundNumber")
     write.option("partitionOverwriteMode", "dynamic").mode("overwrite" if overwrite else "errorifexists").parquet(path)
 
 
 def cleaning_report(cleaned: DataFrame, before: DataFrame, after: DataFrame, sessions: DataFrame) -> DataFrame:
-    """One row per race: identity, rows, columns, types, and the issues before and after as JSON."""
+    """One row per race: identity, rows, columns, types, and the issues before and after as JSON.
+
+    A race without laps has 0 rows; laps without a session have a row without identity.
+    """
     fields = [f for f in cleaned.schema.fields if f.name != "RaceId"]
     dtypes = F.to_json(F.create_map(*[F.lit(x) for f in fields for x in (f.name, f.dataType.simpleString())]))
     rows = cleaned.groupBy("RaceId").agg(F.count("*").alias("row_count"))
@@ -96,26 +101,86 @@ def cleaning_report(cleaned: DataFrame, before: DataFrame, after: DataFrame, ses
         cells = F.struct("code", "severity", "message", "affected_rows")
         return df.groupBy("RaceId").agg(F.to_json(F.sort_array(F.collect_list(cells))).alias(name), F.count_if(F.col("severity") == "error").alias(f"{name}_errors"))
 
-    out = sessions.select("RaceId", "Season", "EventName", "SessionName").join(rows, "RaceId")
+    out = sessions.select("RaceId", "Season", "EventName", "SessionName").join(rows, "RaceId", "full").fillna({"row_count": 0})
     for df, name in ((before, "input_validation"), (after, "output_validation")):
         out = out.join(issues(df, name), "RaceId", "left").fillna({name: "[]", f"{name}_errors": 0})
     return out.withColumns({"columns": F.array(*[F.lit(f.name) for f in fields]), "dtypes": dtypes})
 
 
 def write_race_dataset(dataset: DataFrame, path: str, overwrite: bool = False, check: bool = True) -> DataFrame:
-    """Write datasets by season and round, then their manifests below ``<path>-manifest``; returns the manifests."""
+    """Write datasets by season and round, with their manifests below ``<path>-manifest``; returns the manifests.
+
+    All is written and read back beside ``path`` first. Overwriting replaces the written races, data and manifest, and leaves
+    others. What fails on the way leaves both folders as they were.
+    """
     spark = dataset.sparkSession
     overwrite_guard(spark, [path, f"{path}-manifest"], overwrite)
     if check:
         validate_race_dataset(dataset)
-    stored = dataset.withColumns({"_season": F.col("Season"), "_round": F.col("RoundNumber")})
-    mode = "overwrite" if overwrite else "errorifexists"
-    sorted_for_storage(stored).write.partitionBy("_season", "_round").option("partitionOverwriteMode", "dynamic").mode(mode).parquet(path)
-    manifest = dataset_manifest(read_race_dataset(spark, path, check=False), path)
-    manifest.write.mode(mode).json(f"{path}-manifest")
+    draft = f"{path}-draft-{uuid.uuid4().hex}"
+    try:
+        stored = dataset.withColumns({"_season": F.col("Season"), "_round": F.col("RoundNumber")})
+        sorted_for_storage(stored).write.partitionBy("_season", "_round").parquet(f"{draft}/data")
+        manifest = dataset_manifest(read_race_dataset(spark, f"{draft}/data", check=False), path).drop("dataset_sha256")
+        sums = race_checksums(spark, f"{draft}/data")
+        manifest = manifest.join(sums, "race_id").select(*[f.name for f in spark.createDataFrame([], MANIFEST).schema], "_season", "_round")
+        manifest.repartition("_season", "_round").write.partitionBy("_season", "_round").json(f"{draft}/manifest")
+        publish(spark, [(f"{draft}/data", path), (f"{draft}/manifest", f"{path}-manifest")], f"{draft}/replaced")
+    finally:
+        _folder(spark, draft)[0].delete(_folder(spark, draft)[1], True)
     return read_manifest(spark, path)
 
 
+def _folder(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def publish(spark: SparkSession, moves: Sequence[tuple[str, str]], replaced: str) -> None:
+    """Move each season's rounds from a draft to its place; what was there waits in ``replaced`` and comes back on failure.
+
+    Only folders are renamed, two a race; a driver that dies midway leaves whole races of one or the other state and the
+    replaced ones in the draft.
+    """
+    fs, _ = _folder(spark, replaced)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    done: list[tuple] = []
+
+    def move(a, b) -> None:
+        fs.mkdirs(b.getParent())
+        if not fs.rename(a, b):
+            raise ArtifactError(f"{a} can't be moved to {b}")
+        done.append((a, b))
+
+    try:
+        for k, (source, target) in enumerate(moves):
+            for season in fs.listStatus(path(source)):
+                if not season.isDirectory():
+                    continue
+                for part in fs.listStatus(season.getPath()):
+                    tail = f"{season.getPath().getName()}/{part.getPath().getName()}"
+                    if fs.exists(path(f"{target}/{tail}")):
+                        move(path(f"{target}/{tail}"), path(f"{replaced}/{k}/{tail}"))
+                    move(part.getPath(), path(f"{target}/{tail}"))
+    except Exception:
+        for a, b in reversed(done):
+            fs.rename(b, a)
+        for _, target in moves:
+            _forget_empty(fs, path(target))
+        raise
+
+
+def _forget_empty(fs, folder) -> None:
+    """Remove a folder of a rolled back write that nothing is left in."""
+    if not fs.exists(folder):
+        return
+    for f in fs.listStatus(folder):
+        if f.isDirectory() and not fs.listStatus(f.getPath()):
+            fs.delete(f.getPath(), False)
+    if not fs.listStatus(folder):
+        fs.delete(folder, False)
+
+
 def read_race_dataset(spark: SparkSession, path: str, check: bool = True) -> DataFrame:
     """Datasets of all races below ``path``."""
     if not exists(spark, path):
@@ -127,21 +192,34 @@ def read_race_dataset(spark: SparkSession, path: str, check: bool = True) -> Dat
 
 
 def content_hash(df: DataFrame, key: str = "RaceId") -> DataFrame:
-    """A checksum of each race's rows that no order or file layout changes: the xor and sum of row digests."""
-    digest = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in DATASET])
-    return df.groupBy(key).agg(F.sha2(F.concat_ws(":", F.bit_xor(digest).cast("string"), F.sum(digest.cast("decimal(38,0)")).cast("string"), F.count("*").cast("string")), 256).alias("dataset_sha256"))
+    """A digest of each race's rows that no order or file layout changes: the xor and sum of 64-bit row hashes, and the rows."""
+    row = F.xxhash64(*DATASET, *[F.col(c).isNull() for c in DATASET])  # hashes skip nulls
+    return df.groupBy(key).agg(F.concat_ws(":", F.hex(F.bit_xor(row)), F.sum(row.cast("decimal(38,0)")).cast("string"), F.count("*").cast("string")).alias("content_hash"))
+
+
+def race_checksums(spark: SparkSession, path: str) -> DataFrame:
+    """``race_id, dataset_sha256, _season, _round`` of stored races: SHA-256 of the race's file, or of its files' sums where it has several.
+
+    A folder holds one race; ``race_id`` comes from its rows.
+    """
+    at = lambda c, name: F.regexp_extract(c, rf"/{name}=(-?\d+)/", 1).cast("int").alias(f"{name}")
+    sums = file_checksums(spark, path).select(at("path", "_season"), at("path", "_round"), F.struct(F.element_at(F.split("path", "/"), -1), "sha256").alias("f"))
+    sums = sums.groupBy("_season", "_round").agg(F.transform(F.sort_array(F.collect_list("f")), lambda f: f["sha256"]).alias("sums"))
+    sums = sums.select("_season", "_round", F.when(F.size("sums") == 1, F.get("sums", F.lit(0))).otherwise(F.sha2(F.concat_ws(",", "sums"), 256)).alias("dataset_sha256"))
+    races = spark.read.schema(DATASET_SCHEMA).parquet(path).groupBy("RaceId", F.col("Season").alias("_season"), F.col("RoundNumber").alias("_round")).agg(F.lit(1).alias("_one")).drop("_one")
+    return races.withColumnRenamed("RaceId", "race_id").join(sums, ["_season", "_round"])
 
 
 def dataset_manifest(dataset: DataFrame, path: str = "") -> DataFrame:
-    """The manifest of each race, in one grouped pass beside the checksum."""
+    """The manifest of each race, in one grouped pass. ``dataset_sha256`` is null until the race is stored."""
     rows = dataset.groupBy("RaceId").agg(
         F.first("Season").alias("_s"), F.first("RoundNumber").alias("_r"), F.count("*").alias("row_count"), F.countDistinct("SnapshotLap").alias("snapshot_count"), F.countDistinct("Driver").alias("driver_count"),
         F.min("SnapshotLap").alias("snapshot_lap_min"), F.max("SnapshotLap").alias("snapshot_lap_max"), F.count_if(TARGET).alias("winner_row_count"),
     )
     types = F.create_map(*[F.lit(x) for f in dataset.select(*DATASET).schema.fields for x in (f.name, f.dataType.simpleString())])
     file = F.format_string(f"{path}/_season=%d/_round=%d", "_s", "_r")
-    return rows.join(content_hash(dataset), "RaceId").select(
-        F.lit(SCHEMA_VERSION).alias("schema_version"), F.col("RaceId").alias("race_id"), file.alias("dataset_file"), "dataset_sha256", "row_count", "snapshot_count", "driver_count", "snapshot_lap_min", "snapshot_lap_max",
+    return rows.select(
+        F.lit(SCHEMA_VERSION).alias("schema_version"), F.col("RaceId").alias("race_id"), file.alias("dataset_file"), F.lit(None).cast("string").alias("dataset_sha256"), "row_count", "snapshot_count", "driver_count", "snapshot_lap_min", "snapshot_lap_max",
         "winner_row_count", F.lit(TARGET).alias("target_column"), F.array(*[F.lit(c) for c in DATASET]).alias("columns"), types.alias("dtypes"),
     )
 
@@ -150,18 +228,19 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """Manifests of the datasets at ``path``; anything that isn't such an object raises when read."""
     if not exists(spark, f"{path}-manifest"):
         raise ArtifactError(f"there is no manifest at {path}-manifest")
-    return spark.read.schema(MANIFEST).option("mode", "FAILFAST").json(f"{path}-manifest")
+    out = spark.read.schema(MANIFEST).option("mode", "FAILFAST").json(f"{path}-manifest")
+    return out.drop("_season", "_round")
 
 
 def verify_checksum(spark: SparkSession, path: str) -> DataFrame:
-    """Whether each race's stored rows still are what its manifest says."""
-    now = content_hash(read_race_dataset(spark, path, check=False)).select(F.col("RaceId").alias("race_id"), F.col("dataset_sha256").alias("_now"))
+    """Whether the files of each race in the manifests still are what these say, by SHA-256. Files that are gone aren't."""
+    now = race_checksums(spark, path).select("race_id", F.col("dataset_sha256").alias("_now"))
     out = read_manifest(spark, path).join(now, "race_id", "left")
     return out.select("race_id", F.coalesce(F.col("_now") == F.col("dataset_sha256"), F.lit(False)).alias("verified"))
 
 
 def file_checksums(spark: SparkSession, path: str) -> DataFrame:
-    """SHA-256 of every Parquet file below ``path``."""
+    """SHA-256 of every Parquet file below ``path``. A task holds one file at a time, so files must fit its memory."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
     return files.select("path", F.sha2("content", 256).alias("sha256"))
 
