@@ -26,81 +26,110 @@ from lapreplay.llm.common import scratch, text_rows
 from lapreplay.llm.tokens import batches, encoder, ragged
 
 MAGIC = 0x52505431
-_BUCKETS = 20
-
-
-def frequent_pairs(seq: np.ndarray, start: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions of pairs that occur ``least`` times or more, the distinct pairs, and which pair each position has."""
-    left, right = seq[:-1], seq[1:]
-    bucket = (left * np.uint32(0x9E3779B1) + right * np.uint32(0x85EBCA77)) >> np.uint32(32 - _BUCKETS)
-    bucket[start[1:]] = 0
-    at = np.flatnonzero((np.bincount(bucket, minlength=1 << _BUCKETS) >= least)[bucket])
-    at = at[~start[at + 1]]
-    pairs, which, count = np.unique(left[at].astype("u8") << np.uint64(32) | right[at], return_inverse=True, return_counts=True)
-    enough = count >= least
-    keep = enough[which]
-    return at[keep], pairs[enough], (np.cumsum(enough) - 1)[which[keep]]
-
-
-def chosen(at: np.ndarray, pairs: np.ndarray, which: np.ndarray) -> np.ndarray:
-    """Which of the occurrences ``at`` to replace: of two that overlap, the one of the more frequent pair.
-
-    In a run of one repeated pair (``a a a``) it is every second one.
-    """
-    count = np.bincount(which, minlength=len(pairs))
-    rank = np.empty(len(pairs), "i8")
-    rank[np.argsort(-count, kind="stable")] = np.arange(len(pairs))
-    rank = rank[which]
-    close = np.diff(at) == 1
-    beaten = np.zeros(len(at), bool)
-    beaten[1:] = close & (rank[:-1] < rank[1:])
-    beaten[:-1] |= close & (rank[1:] < rank[:-1])
-    head = np.append(True, ~(close & (rank[1:] == rank[:-1])))
+_BUCKETS = 17
+
+
+class Symbols:
+    """A shard's symbols while its grammar grows. A symbol stays where its first id was; ``width`` ids on the next one begins."""
+
+    def __init__(self, docs: list[np.ndarray]):
+        self.lengths = np.array([len(x) for x in docs], "<u4")
+        self.seq = np.concatenate(docs).astype("u4") if docs else np.zeros(0, "u4")
+        n = len(self.seq)
+        self.start = np.zeros(n + 1, bool)  # of documents, and the end
+        self.start[np.append(np.cumsum(self.lengths, dtype="i8") - self.lengths, n)] = True
+        self.width, self.alive = np.ones(n, "i4"), np.ones(n, bool)
+        self.before = np.arange(-1, n, dtype="i4")
+        self.left, self.right, self.name = (np.zeros(1 << _BUCKETS, "u4") for _ in range(3))
+
+    def frequent(self, at: np.ndarray, least: int, turn: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the pairs that begin ``at``: where frequent ones are, where their second symbols, their buckets, counts by bucket, and
+        the places of pairs that may be frequent, but share a bucket with another pair this ``turn``."""
+        to = at + (self.width.take(at) if turn > 1 else 1)
+        inside = np.flatnonzero(~self.start.take(to)) if turn > 1 else at
+        if len(inside) < len(at):
+            at, to = at.take(inside), to.take(inside)
+        left, right = self.seq.take(at), self.seq.take(to)
+        bucket = ((left * np.uint32(0x9E3779B1 + 2 * turn) + right * np.uint32(0x85EBCA77 + 2 * turn)) >> np.uint32(32 - _BUCKETS)).astype("i8")
+        every = np.bincount(bucket, minlength=1 << _BUCKETS)
+        few = np.flatnonzero((every >= least).take(bucket))
+        if 2 * len(few) < len(at):
+            at, to, left, right, bucket = (x.take(few) for x in (at, to, left, right, bucket))
+        self.left[bucket], self.right[bucket] = left, right  # one pair for each bucket
+        own = (self.left.take(bucket) == left) & (self.right.take(bucket) == right)
+        mine = np.flatnonzero(own)
+        count = np.bincount(bucket.take(mine), minlength=1 << _BUCKETS)
+        mine = mine.take(np.flatnonzero((count >= least).take(bucket.take(mine))))
+        others = np.flatnonzero(~own)
+        others = at.take(others.take(np.flatnonzero((every - count >= least).take(bucket.take(others)))))
+        return at.take(mine), to.take(mine), bucket.take(mine), count, others
+
+    def replace(self, at: np.ndarray, to: np.ndarray, names: np.ndarray) -> None:
+        """One symbol for each pair."""
+        self.seq[at] = names
+        self.width[at] += self.width.take(to)
+        self.alive[to] = False
+        self.before[at + self.width.take(at)] = at
+
+    def touched(self, at: np.ndarray, *more: np.ndarray) -> np.ndarray:
+        """Where pairs begin that new symbols ``at`` are part of, and ``more`` places, as far as they still are symbols."""
+        before = self.before.take(at)
+        some = np.zeros(len(self.seq), bool)
+        for x in (at, before.take(np.flatnonzero(before >= 0)), *more):
+            some[x] = True
+        return np.flatnonzero(some & self.alive)
+
+
+def chosen(at: np.ndarray, to: np.ndarray, bucket: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Which of the pairs to replace: of two that overlap, the more frequent one. In a run of one pair (``a a a``) it is every second one."""
+    rank = (count.take(bucket) << _BUCKETS) + bucket
+    close = to[:-1] == at[1:]
+    over = np.sign(rank[1:] - rank[:-1]) * close
+    beaten = np.append(over, 0) > 0
+    beaten[1:] |= over < 0
     place = np.arange(len(at))
-    return ~beaten & ((place - np.maximum.accumulate(np.where(head, place, 0))) & 1 == 0)
+    same = np.append(False, close & (over == 0))
+    return ~beaten & ((place - np.maximum.accumulate(np.where(same, 0, place))) & 1 == 0)
 
 
-def compress(docs: list[np.ndarray], least: int = 8, share: int = 64, fall: int = 8) -> bytes:
-    """A shard's payload.
+def compress(docs: list[np.ndarray], least: int = 8) -> bytes:
+    """A shard's payload. Pairs are replaced until none occurs ``least`` times.
 
-    A pair must first make up 1/``share`` of the shard's tokens; whenever none does, ``fall`` times fewer will do. The
-    last rounds replace pairs that occur ``least`` times, until there is none. Replacing the frequent pairs of a round
-    together instead of one by one costs a few percent of the symbols and spares a pass for each rule.
+    The frequent pairs of a round are replaced together, not one by one, and later rounds look only at pairs that the round
+    before changed: that costs a few percent of the symbols and spares a pass for each rule.
     """
-    lengths = np.array([len(x) for x in docs], "<u4")
-    seq = np.concatenate(docs).astype("u4") if docs else np.zeros(0, "u4")
-    start = np.zeros(len(seq) + 1, bool)
-    start[np.cumsum(lengths) - lengths] = True
-    base = first = int(seq.max()) + 1 if len(seq) else 1
-    start = start[: len(seq)]
+    x = Symbols(docs)
+    base = first = int(x.seq.max()) + 1 if len(x.seq) else 1
     sides, sizes = [np.zeros((0, 2), "<u4")], [np.ones(first, "<u4")]
-    limit = max(least, len(seq) // share)
-    while len(seq) > 1:
-        at, pairs, which = frequent_pairs(seq, start, limit)
-        if len(at):
-            keep = chosen(at, pairs, which)
-            at, which = at[keep], which[keep]
-            enough = np.bincount(which, minlength=len(pairs)) >= max(2, least // 2)  # some lose most places to others
-            at, pairs, which = at[enough[which]], pairs[enough], (np.cumsum(enough) - 1)[which[enough[which]]]
-        if not len(at):
-            if limit == least:
-                break
-            limit = max(least, limit // fall)
+    at, turn, idle = np.flatnonzero(~x.start[1:]), 0, 0
+    enough = max(2, least // 2)  # some pairs lose most of their places to others
+    while len(at) and idle < 4:
+        turn += 1
+        at, to, bucket, count, others = x.frequent(at, least, turn)
+        keep = chosen(at, to, bucket, count)
+        used = np.bincount(bucket.take(np.flatnonzero(keep)), minlength=1 << _BUCKETS)
+        keep &= (used >= enough).take(bucket)
+        taken, left_out = np.flatnonzero(keep), at.take(np.flatnonzero(~keep))
+        if not len(taken):
+            at, idle = others, idle + 1
             continue
-        rules = np.stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)], 1).astype("<u4")
-        span = sizes[0] if len(sizes) == 1 else np.concatenate(sizes)
-        sizes = [span, (span[rules[:, 0]] + span[rules[:, 1]]).astype("<u4")]
+        idle = 0
+        made = np.flatnonzero(used >= enough)
+        x.name[made] = base + np.arange(len(made), dtype="u4")
+        base += len(made)
+        rules = np.stack([x.left[made], x.right[made]], 1)
+        span = np.concatenate(sizes)
+        sizes = [span, span[rules[:, 0]] + span[rules[:, 1]]]
         sides.append(rules)
-        seq[at] = (base + which).astype("u4")
-        base += len(pairs)
-        keep = np.ones(len(seq), bool)
-        keep[at + 1] = False
-        seq, start = seq[keep], start[keep]
-    rules, sizes = np.concatenate(sides), np.concatenate(sizes)[first:]
+        at, to = at.take(taken), to.take(taken)
+        x.replace(at, to, x.name.take(bucket.take(taken)))
+        at = x.touched(at, left_out, others)
+    rules, sizes, where = np.concatenate(sides), np.concatenate(sizes)[first:], np.flatnonzero(x.alive)
+    seq, start = x.seq[where], x.start[where]
     head = np.array([MAGIC, first, len(docs), len(rules), len(seq)], "<u4")
-    some = lengths > 0  # an empty document begins where the next one does
+    some = x.lengths > 0  # an empty document begins where the next one does
     where = np.append(np.append(np.flatnonzero(start), len(seq))[np.cumsum(some) - some], len(seq))
-    return b"".join(x.astype("<u4").tobytes() for x in (head, where, lengths, rules[:, 0], rules[:, 1], sizes, seq))
+    return b"".join(v.astype("<u4").tobytes() for v in (head, where, x.lengths, rules[:, 0], rules[:, 1], sizes, seq))
 
 
 class Shard:

@@ -1,16 +1,19 @@
 """Token ids by the tokenizers library, piece by piece.
 
 The vocabularies here cut a text into pieces by a pattern and encode each piece alone. A worker numbers
-the pieces it meets, has the library encode new ones, many in one call, and puts texts together from what
-it remembers. Texts outside Latin-1, or with strings of special tokens, go to the library whole.
+the pieces it meets, has the library's model encode new ones, and puts texts together from what it remembers. Texts
+outside Latin-1, or with strings of special tokens, go to the library whole, and so do all texts where a vocabulary's
+file cuts in another way than the two patterns below.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterable
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 
@@ -21,6 +24,13 @@ _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", r"\t-\r \x85\xa0"
 _LATIN = re.compile("[\t\n\r -~¡-ÿ]*")
 _SPACED = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 _WORDS = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
+# How a vocabulary's file says that it cuts texts by these patterns.
+_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True}
+_CUTS_SPACED = (None, _LEVEL | {"use_regex": True})
+_CUTS_WORDS = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}, _LEVEL | {"use_regex": False}]},
+)
 
 
 class _Numbers(dict):
@@ -46,12 +56,13 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.words_only = self._ids(" A  b\n\nc ") == self._ids("a b c")  # white space and case don't count
-        self.breaks = np.zeros(self.library.get_vocab_size(), bool)
-        if self.words_only:  # the last token of a piece says so
-            self.breaks[[i for t, i in self.library.get_vocab().items() if t.endswith("</w>")]] = True
-        else:
-            self.breaks[self._ids("\n")] = True
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        cuts = (told.get("normalizer"), told.get("pre_tokenizer"))
+        self.words_only = cuts == _CUTS_WORDS  # white space and case don't count
+        self.in_pieces = told["model"]["type"] == "BPE" and (self.words_only or cuts == _CUTS_SPACED)
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]
+        self.letters = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in shown)}  # bytes as a vocabulary writes them
         self.forget()
 
     def _ids(self, text: str) -> list[int]:
@@ -64,26 +75,16 @@ class Encoder:
     def _learn(self) -> None:
         """Encode the pieces that have got a number since the last call."""
         new = list(self.numbers)[len(self.lengths) :] if len(self.numbers) > len(self.lengths) else []
-        ids, lengths = [self.flat], [self.lengths]
-        for i in range(0, len(new), 2000):
-            part = new[i : i + 2000]
-            blank = [x.isspace() for x in part]
-            joined = (" " if self.words_only else "\n").join("a" if b else x for x, b in zip(part, blank, strict=True))
-            got = np.array(self._ids(joined), "<u4")
-            ends = np.flatnonzero(self.breaks[got]) + self.words_only
-            if not self.words_only:
-                ends = np.append(ends, len(got))
-            starts = np.append(0, ends[:-1] + (not self.words_only))
-            if len(ends) != len(part) or any(blank):  # by itself each
-                each = [self._ids(x) for x in part]
-                lengths.append(np.array([len(x) for x in each], "i8"))
-                ids.append(np.array([y for x in each for y in x], "<u4"))
-            else:
-                lengths.append(ends - starts)
-                ids.append(got if self.words_only else got[~self.breaks[got]])
-        if new:
-            self.flat, self.lengths = np.concatenate(ids), np.concatenate(lengths)
-            self.starts = np.cumsum(self.lengths) - self.lengths
+        if not new:
+            return
+        lines = "\0".join(new).encode().decode("latin-1").translate(self.letters).split(self.letters[0])
+        if len(lines) != len(new):  # a piece holds that character itself
+            lines = [x.encode().decode("latin-1").translate(self.letters) for x in new]
+        model = self.library.model.tokenize
+        ids = [[t.id for t in model(x)] for x in lines]
+        self.lengths = np.append(self.lengths, np.fromiter(map(len, ids), "i8", len(ids)))
+        self.flat = np.append(self.flat, np.fromiter(chain.from_iterable(ids), "u4"))
+        self.starts = np.cumsum(self.lengths) - self.lengths
 
     def _pieces(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, dict[int, np.ndarray]]:
         """Numbers of the pieces of all texts, how many each text has, and the ids of texts encoded whole."""
@@ -91,7 +92,7 @@ class Encoder:
             self.forget()
         number, find, parts, counts, whole = self.numbers.__getitem__, (_WORDS if self.words_only else _SPACED).findall, [], [], {}
         for k, t in enumerate(texts):
-            if not _LATIN.fullmatch(t) or "<|" in t and any(s in t.lower() for s in self.specials):
+            if not self.in_pieces or not _LATIN.fullmatch(t) or "<|" in t and any(s in t.lower() for s in self.specials):
                 whole[k] = np.array(self._ids(t), "<u4")
                 counts.append(0)
                 continue
