@@ -67,7 +67,7 @@ def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "tex
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Words of each document that lie in a window of a test item, and the items.
 
-    The item windows are broadcast while there are at most ``broadcast_rows``, and joined by shuffle beyond.
+    The item windows are broadcast while they take no more than ``broadcast_rows`` do with 24 bytes of id, and joined by shuffle beyond.
     A null text has no words; repeated ids give a row each; items with a null id are left out; an empty table of
     items hits nothing. Items with the same text all count.
     """
@@ -79,7 +79,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 def hits(d: DataFrame, windows: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """``d``: ``_row, _id, _words`` (word hashes). Adds up hits; ``_spans`` has the covered windows, in words."""
     windows = written(windows, "windows")
-    small = windows.count() <= broadcast_rows
+    size = windows.agg(F.sum(F.octet_length(F.col("item").cast("string")) + 24)).first()[0] or 0
+    small = size <= 48 * broadcast_rows  # bytes: windows of items with ids of usual length
     sized = F.broadcast if small else lambda x: x
     short = sorted(r["n"] for r in windows.filter(F.col("n") < WINDOW).select("n").distinct().collect())  # nine at most
     every = F.concat(F.col("_runs"), short_grams(d, short)) if short else F.col("_runs")

@@ -160,9 +160,11 @@ def feature_batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([ids.slice(at, len(part)), goods.slice(at, len(part)), pa.array(cells, pa.binary()), pa.array(weights, pa.binary())], ["_id", "good", "x", "weight"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 3000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 3000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_chars: int = 200_000) -> Model:
     """Model of at most ``max_docs`` labelled documents that aren't held out, those with the smallest hashes of their ids.
 
+    Of these, texts of more than ``max_chars`` characters aren't learned from, which bounds what the driver holds.
+
     Rows with a null id or label are left out. Without both labels the scores are the share of good rows.
     """
     spark = docs.sparkSession
@@ -172,7 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 3000, id_col: str =
     if not chosen:
         return Model(np.zeros(3 * FEATURES), np.zeros((2, 2)), 1.0, 0.0)
     small = spark.createDataFrame(chosen, named.schema)
-    rows = text_rows(docs, id_col, text_col).join(F.broadcast(small), "_id").dropDuplicates(["_id"]).select("_id", "good", "_text")
+    rows = text_rows(docs, id_col, text_col).join(F.broadcast(small), "_id").filter(F.length("_text") <= max_chars).dropDuplicates(["_id"]).select("_id", "good", "_text")
     kind = rows.schema["_id"].dataType.simpleString()
     rows = sorted(rows.mapInArrow(feature_batches, f"_id {kind}, good int, x binary, weight binary").collect(), key=lambda r: r["_id"])
     if len({r["good"] for r in rows}) < 2:

@@ -90,6 +90,9 @@ def beta_prior(n: int, k: int, variance: float, inverse: float) -> tuple[float,
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_rate: float = 0.5) -> DataFrame:
     """Measures, rule failures and verdict of every document.
 
+    A host is rejected when its shrunk rate of failing one rule is above ``max_rate``. One half is where a document of the host
+    is more likely to break that rule than to keep it.
+
     ``base_failed``: fewer than 20 words, or over 30 % of the words in repeated 8-word windows. ``kept``: not
     ``base_failed`` and the host isn't rejected. Documents without a host are judged alone; null text fails as
     empty; repeated ids give a row each; an empty table gives an empty one.
