@@ -5,12 +5,15 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Largest table, in rows, that these operators broadcast. Callers count first; past it Spark joins by shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Paths of tables that this driver has written.
+_written: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -36,9 +39,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written_alone(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """``make()``, written like above; the tables that were written to make it are removed then."""
+    first = len(_written)
+    out = written(make(), name)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    for p in _written[first:-1]:
+        path(p).getFileSystem(spark._jsc.hadoopConfiguration()).delete(path(p), True)
+    del _written[first:-1]
+    return out
+
+
 def text_rows(docs: DataFrame, id_col: str, text_col: str, **more: str) -> DataFrame:
     """Only the columns an operator needs, under internal names, so that other columns can't clash. Null text is empty."""
     return docs.select(
