@@ -2,16 +2,18 @@
 
 Each stage reads all that its predecessor kept: quality rules, one document of each group of near copies (five-word
 shingles, similarity 0.8), no benchmark passages, personal data replaced, best-fit packing. Every result is written
-and read again, so a lost executor costs the stage it hits at most.
+and read again, so a lost executor costs the stage it hits at most; what a stage wrote on the way is removed after it.
 """
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lapreplay.llm import decontaminate, pack, pii, prefix_join, quality_rules
-from lapreplay.llm.common import written
+from lapreplay.llm.common import written_alone
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,5 +54,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the table ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = written_alone(spark, partial(stage, spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)
