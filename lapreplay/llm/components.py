@@ -11,15 +11,15 @@ from lapreplay.llm.common import written
 def components(links: DataFrame) -> DataFrame:
     """``links`` has long ``a, b``. Returns ``node, root`` (the component's smallest node) for every linked node.
 
-    A round ranks the nodes at random, maps each to the lowest of itself and its neighbours, and keeps the links between
-    different results. Ranks are new in each round, so a path or star of any order shrinks by a constant share and the
-    rounds grow with the logarithm of the nodes. Minima combine before the shuffle, so a node may have any number of links.
-    Links to itself are ignored.
+    A round maps each node to the lowest of itself and its neighbours by a random rank, and keeps the links between
+    different results. Ranks are hashes, so that a path shrinks by a constant share whatever the order of its nodes, and a star
+    is done in two rounds. Minima combine before the shuffle, so a node may have any number of links. Links to itself are
+    ignored.
     """
     edges = written(links.filter("a <> b").select("a", "b").distinct(), "links")
     maps = []
     while not edges.isEmpty():
-        ranked = lambda c: F.struct(F.xxhash64(c, F.lit(len(maps))).alias("r"), F.col(c).alias("v"))  # noqa: E731, B023
+        ranked = lambda c: F.struct(F.xxhash64(c).alias("r"), F.col(c).alias("v"))
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min(ranked("b")).alias("m")).select("a", F.least("m", ranked("a"))["v"].alias("m"))
         maps.append(written(least, "least"))

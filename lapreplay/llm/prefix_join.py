@@ -32,7 +32,7 @@ from lapreplay.llm.common import BROADCAST_ROWS, text_rows, written
 from lapreplay.llm.components import components
 
 #: Words that a worker remembers hashes of; it then starts afresh.
-REMEMBERED = 800_000
+REMEMBERED = 400_000
 FREQUENT_LIMIT = 1_000_000
 BLOCK = 512
 SKETCH = 512
@@ -108,7 +108,7 @@ def sketch(tokens: np.ndarray, bits: int = SKETCH) -> bytes:
 def set_batches(rows: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     """Sets of the documents; ``key`` names the set."""
     shingles = Shingler(n)
-    for batch in rows:
+    for batch in parts_of(rows):
         sizes, keys, tokens = [], [], []
         for text in batch.column("_text").to_pylist():
             x = shingles(text)
@@ -118,10 +118,17 @@ def set_batches(rows: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("h"), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(tokens, pa.binary())], ["_id", "h", "n", "key", "tokens"])
 
 
+def parts_of(rows: Iterator[pa.RecordBatch], size: int = 500) -> Iterator[pa.RecordBatch]:
+    """Batches in slices: their sets, as Python objects, take more memory than the batch itself."""
+    for batch in rows:
+        for at in range(0, batch.num_rows, size):
+            yield batch.slice(at, size)
+
+
 def once(rows: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     """Rows with a set, one for each key that the task meets."""
     seen: set[int] = set()
-    for batch in rows:
+    for batch in parts_of(rows):
         for r in batch.to_pylist():
             if r["n"] and r["key"] not in seen:
                 if len(seen) > 1_000_000:
@@ -368,7 +375,7 @@ def chunk_pairs(rows: DataFrame) -> DataFrame:
 
 def closer(rows: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
     """The pairs that their long sketches allow. The longer one is folded to the length of the other."""
-    for batch in rows:
+    for batch in parts_of(rows):
         keep = []
         for r in batch.to_pylist():
             x, y = np.frombuffer(r["x"], "u1"), np.frombuffer(r["y"], "u1")
@@ -383,7 +390,7 @@ def closer(rows: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.Re
 
 def compare(rows: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
     """The pairs that are similar, by their sets."""
-    for batch in rows:
+    for batch in parts_of(rows):
         keep = []
         for r in batch.to_pylist():
             x, y = unpacked(r["x"]), unpacked(r["y"])
@@ -492,7 +499,7 @@ def hot_tokens(sets: DataFrame, often, num: int, den: int) -> tuple[np.ndarray,
 
 def sketches(rows: Iterator[pa.RecordBatch], scale: int = 0) -> Iterator[pa.RecordBatch]:
     """Sketches of the sets: of 512 bits, or with ``scale`` of the power of two from so many times the size up."""
-    for batch in rows:
+    for batch in parts_of(rows):
         sets = [unpacked(t) for t in batch.column("tokens").to_pylist()]
         found = [sketch(s, max(SKETCH, 1 << (scale * len(s)).bit_length()) if scale else SKETCH) for s in sets]
         yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(found, pa.binary())], ["key", "sketch"])
