@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 
 #: Largest table, in rows, that these operators broadcast. Callers count first; past it Spark joins by shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Whether Spark removes the shuffle files of a query when it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Rows that go to a Python worker at a time.
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Paths of tables that this driver has written.
 _written: list[str] = []
 
@@ -37,8 +41,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
     The folder belongs to the application, whose results may read from it until they are stored: remove it after that.
     """
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    path, conf = scratch(df.sparkSession, name), df.sparkSession.conf
+    before = {k: conf.get(k) for k in (CLEANUP, BATCH_ROWS)}
+    conf.set(CLEANUP, "true")  # nothing reads the shuffles of this write again
+    conf.set(BATCH_ROWS, "1000" if int(before[BATCH_ROWS]) <= 0 else str(min(1000, int(before[BATCH_ROWS]))))  # rows here hold texts and sets
+    try:
+        df.write.parquet(path)
+    finally:
+        for k, v in before.items():
+            conf.set(k, v)
     _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

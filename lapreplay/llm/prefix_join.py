@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lapreplay.llm.common import BROADCAST_ROWS, text_rows, written
+from lapreplay.llm.common import BROADCAST_ROWS, text_rows, written, written_alone
 from lapreplay.llm.components import components
 
 #: Words that a worker remembers hashes of; it then starts afresh.
@@ -432,7 +432,7 @@ def grouped(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col:
     kind = d.schema["_id"].dataType.simpleString()
     d = d.select("_id", F.xxhash64("_text").alias("h"), F.col("_text").cast("binary").alias("_text"))
     sets = written(d.mapInArrow(partial(set_batches, n=n), f"_id {kind}, h long, n long, key long, tokens binary"), "sets")
-    roots = components(class_links(sets, num, den, broadcast_rows))
+    roots = written_alone(docs.sparkSession, lambda: components(class_links(sets, num, den, broadcast_rows)), "roots")
     keys = sets.filter("n > 0").groupBy("key").agg(F.min("_id").alias("least"))
     keys = keys.join(roots, keys["key"] == roots["node"], "left").select("key", "least", F.coalesce("root", "key").alias("root"))
     return sets, written(keys, "keys")
@@ -511,13 +511,18 @@ def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_c
     Documents without words stay. Of rows that repeat an id and a text one stays; rows that repeat an id with different
     texts are told apart. A null id counts as the largest, and as equal to other null ids.
     """
-    sets, keys = grouped(docs, n, num, den, id_col, text_col)
+    keep = written_alone(docs.sparkSession, lambda: kept_rows(*grouped(docs, n, num, den, id_col, text_col)), "kept")
+    digest = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    # Keys without nulls: the join and what follows then share one shuffle.
+    out = docs.select(F.struct(*docs.columns).alias("_doc"), F.col(id_col).isNull().alias("_none"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("_name"), digest.alias("_h"))
+    out = out.join(keep, ["_none", "_name", "_h"], "left_semi").dropDuplicates(["_none", "_name", "_h"])
+    return out.select(*[F.col("_doc")[c].alias(c) for c in docs.columns])
+
+
+def kept_rows(sets: DataFrame, keys: DataFrame) -> DataFrame:
+    """``_none, _name`` (of the id) and ``_h`` of the row that stays of each group, and of all rows without words."""
     rows = sets.select("_id", "h", "n", "key").join(keys.select("key", "root"), "key", "left")
     first = F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), "h")).alias("first")
-    groups = rows.filter("n > 0").groupBy("root").agg(first).select(F.col("first.id").alias("_kept"), F.col("first.h").alias("_hash"))
-    empty = rows.filter("n = 0").select(F.col("_id").alias("_kept"), F.col("h").alias("_hash")).distinct()
-    keep = groups.unionByName(empty)
-    digest = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    out = docs.select(F.struct(*docs.columns).alias("_doc"), F.col(id_col).alias("_id"), digest.alias("_h"))
-    out = out.join(keep, out["_id"].eqNullSafe(keep["_kept"]) & (out["_h"] == keep["_hash"]), "left_semi")
-    return out.dropDuplicates(["_id", "_h"]).select(*[F.col("_doc")[c].alias(c) for c in docs.columns])
+    groups = rows.filter("n > 0").groupBy("root").agg(first).select(F.col("first.id").alias("_id"), F.col("first.h").alias("_h"))
+    every = groups.unionByName(rows.filter("n = 0").select("_id", F.col("h").alias("_h")))
+    return every.select(F.col("_id").isNull().alias("_none"), F.coalesce(F.col("_id").cast("string"), F.lit("")).alias("_name"), "_h").distinct()
