@@ -9,7 +9,7 @@ from functools import wraps
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from lapreplay.llm import compaction, decontaminate, html_text, pack, pii, prefix_join, quality_crf, quality_rules, token_counts, token_files
+from lapreplay.llm import align_tokens, compaction, decontaminate, html_text, lm_score, pack, pii, prefix_join, quality_crf, quality_rules, ranked_search, token_counts, token_files
 
 
 def vocabulary(name: str) -> str:
@@ -62,6 +62,18 @@ def op10_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compaction.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.lm_scores(table(spark, sf_dir, "documents"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_align_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokens.align(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
 def importable(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     """``query``, whose tasks find this package where the driver has it, whatever the working directory."""
 
@@ -76,7 +88,7 @@ def importable(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spa
     return run
 
 
-_ALL = (op1_quality_rules, op2_token_files, op3_html_text, op4_decontaminate, op5_pii, op6_prefix_join, op7_token_counts, op8_quality_crf, op9_pack, op10_compaction)
+_ALL = (op1_quality_rules, op2_token_files, op3_html_text, op4_decontaminate, op5_pii, op6_prefix_join, op7_token_counts, op8_quality_crf, op9_pack, op10_compaction, op11_lm_scores, op12_ranked_search, op13_align_tokens)
 QUERIES = {f.__name__: importable(f) for f in _ALL} | {"pipeline": importable(corpus_pipeline.run)}
 
-SQL = {"op1_quality_rules": quality_rules.SQL, "op4_decontaminate": decontaminate.SQL}
+SQL = {"op1_quality_rules": quality_rules.SQL, "op4_decontaminate": decontaminate.SQL, "op12_ranked_search": ranked_search.SQL}
