@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,8 +18,9 @@ BROADCAST_ROWS = 1_000_000
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Rows that go to a Python worker at a time.
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
-#: Paths of tables that this driver has written.
-_written: list[str] = []
+#: Paths of tables that the current ``written_alone`` has written, by thread.
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
+_settings = threading.RLock()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -41,27 +44,62 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
     The folder belongs to the application, whose results may read from it until they are stored: remove it after that.
     """
-    path, conf = scratch(df.sparkSession, name), df.sparkSession.conf
-    before = {k: conf.get(k) for k in (CLEANUP, BATCH_ROWS)}
-    conf.set(CLEANUP, "true")  # nothing reads the shuffles of this write again
-    conf.set(BATCH_ROWS, "1000" if int(before[BATCH_ROWS]) <= 0 else str(min(1000, int(before[BATCH_ROWS]))))  # rows here hold texts and sets
+    path = scratch(df.sparkSession, name)
+    out = store(df, path)
+    made = _made.get()
+    if made is not None:
+        made.append(path)
+    return out
+
+
+def store(df: DataFrame, path: str) -> DataFrame:
+    """Write ``df`` to ``path`` and read it back. The shuffle files of the write go when it has ended."""
+    conf = df.sparkSession.conf
+    with _settings:  # of a session that several threads may share: each setting is put back by the one that changed it
+        _writers[0] += 1
+        if _writers[0] == 1:
+            _before.update({k: conf.get(k) for k in (CLEANUP, BATCH_ROWS)})
+            conf.set(CLEANUP, "true")  # nothing reads the shuffles of this write again
+            conf.set(BATCH_ROWS, "1000" if int(_before[BATCH_ROWS]) <= 0 else str(min(1000, int(_before[BATCH_ROWS]))))  # rows here hold texts and sets
     try:
         df.write.parquet(path)
     finally:
-        for k, v in before.items():
-            conf.set(k, v)
-    _written.append(path)
+        with _settings:
+            _writers[0] -= 1
+            if not _writers[0]:
+                for k, v in _before.items():
+                    conf.set(k, v)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Writes under way, and what the settings were before the first of them.
+_writers = [0]
+_before: dict[str, str] = {}
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def forget(df: DataFrame) -> None:
+    """Remove a written table that nothing reads any more."""
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        remove(df.sparkSession, path)
+
+
 def written_alone(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
     """``make()``, written like above; the tables that were written to make it are removed then."""
-    first = len(_written)
-    out = written(make(), name)
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    for p in _written[first:-1]:
-        path(p).getFileSystem(spark._jsc.hadoopConfiguration()).delete(path(p), True)
-    del _written[first:-1]
+    before, mine = _made.get(), []
+    _made.set(mine)
+    try:
+        out = written(make(), name)
+    finally:
+        _made.set(before)
+    for p in mine[:-1]:
+        remove(spark, p)
+    if before is not None:
+        before.append(mine[-1])
     return out
 
 

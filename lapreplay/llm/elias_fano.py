@@ -8,12 +8,6 @@ import numpy as np
 
 #: Steps of a quantised probability to a factor of two.
 STEPS = 1024
-_SIGN = np.uint64(1 << 63)
-
-
-def ordered(hashes: np.ndarray) -> np.ndarray:
-    """Signed 64-bit hashes as unsigned ones of the same order."""
-    return hashes.view("u8") ^ _SIGN
 
 
 def packed(arrays: Sequence[np.ndarray]) -> bytes:
@@ -120,7 +114,7 @@ def runs(keys: np.ndarray) -> np.ndarray:
 
 
 def build(words: np.ndarray, v: np.ndarray, u: np.ndarray, w: np.ndarray, c: np.ndarray, discount: float, whole: tuple[np.ndarray, ...] | None = None) -> bytes:
-    """A trie of the trigrams ``u v w`` (places in ``words``, sorted distinct hashes) that ``c`` documents hold each.
+    """A trie of the trigrams ``u v w`` (places in ``words``, ascending distinct numbers) that ``c`` documents hold each.
 
     Levels: the words; the contexts ``v``; the followers ``w`` of each with the discounted probability after it; the words
     ``u`` before each; and below each pair ``u v`` its followers, named by their place among the followers of ``v``. A pointer
@@ -162,7 +156,7 @@ def build(words: np.ndarray, v: np.ndarray, u: np.ndarray, w: np.ndarray, c: np.
     n1, each = len(contexts), np.repeat(np.arange(len(contexts)), kinds)
     level = lambda values, top: encode(values, max(int(top), 1))
     return packed([
-        *encode(ordered(words), 1 << 64), *level(contexts, d), *level(each * d + key2 % d, n1 * d), *level(follow, len(key2) + 1), *level(node_of * d + u[node], n1 * d), *level(before, len(node) + 1),
+        *level(words, words[-1] + 1 if len(words) else 1), *level(contexts, d), *level(each * d + key2 % d, n1 * d), *level(follow, len(key2) + 1), *level(node_of * d + u[node], n1 * d), *level(before, len(node) + 1),
         *level(np.repeat(base, kinds3) + place, int(base[-1] + kinds[node_of[-1]]) if len(node) else 1),
         quantised(discount * kinds / total), quantised((c2 - discount) / np.repeat(total, kinds)), quantised(discount * kinds3 / total3), quantised((c - discount) / np.repeat(total3, kinds3)),
     ])
@@ -183,8 +177,9 @@ class Trie:
         self.value = np.exp2(-np.arange(65536) / STEPS)
 
     def probabilities(self, words: np.ndarray, floor: np.ndarray, v: np.ndarray, u: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """Of each ``w`` after ``u v``, which are places in ``words`` (hashes); ``floor`` has the words' own probabilities."""
-        name, known = self.words.find(ordered(words))
+        """Of each ``w`` after ``u v``, which are places in ``words`` (numbers, -1 for none); ``floor`` has the words' own probabilities."""
+        name, known = self.words.find(np.maximum(words, 0))
+        known &= words >= 0
         context, seen = self.contexts.find(np.where(known, name, 0))
         seen &= known
         p = floor[w]

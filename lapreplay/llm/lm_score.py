@@ -4,7 +4,8 @@ Documents become blocks of word numbers once. Words are counted over all trainin
 block and dealt by their middle word to shards, of which each becomes a trie (see ``elias_fano``). The words of all
 documents are dealt the same way, so that a task opens one trie, maps it, and finds all it needs there.
 
-Words are known by 64-bit hashes. Probabilities interpolate three levels: a discount, taken off the documents that hold an
+Words are told apart by 64-bit hashes, and numbered once they are counted; a word that no training text has is number -1.
+Probabilities interpolate three levels: a discount, taken off the documents that hold an
 n-gram, goes to the level below, and the lowest one is the contract's own ``(c + 1) / (N + V + 1)``. Counting documents, not
 places, keeps a text that repeats itself from vouching for its own words.
 """
@@ -20,16 +21,17 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lapreplay.llm.common import scratch, text_rows, written
+from lapreplay.llm.common import forget, scratch, store, text_rows, written
 from lapreplay.llm.decontaminate import lower_ascii
 from lapreplay.llm.elias_fano import Trie, build, packed, runs, unpacked
 
 #: The end of a text, and what stands before its first word. Sorts before every hash.
 END = -(1 << 63)
-BLOCK = "block long, rows binary, lengths binary, held binary, words binary, seq binary"
+BLOCK = "block long, ids array<{}>, rows binary, lengths binary, held binary, words binary, seq binary"
+WORDS = "word long, n long, part int, place long"
 PIECE = "shard int, salt int, tokens long, payload binary"
 
 
@@ -49,42 +51,57 @@ def hashed_words(text) -> F.Column:
     return F.transform(words, lambda w: F.xxhash64(lower_ascii(w)))
 
 
+def squeezed(columns: list[np.ndarray]) -> bytes:
+    """Numbers below 2**32, compressed: all first bytes of a column, then all second ones, and so on."""
+    raw = packed([np.ascontiguousarray(c.astype("<u4").view("u1").reshape(-1, 4).T).ravel() for c in columns])
+    return np.array([len(raw)], "i8").tobytes() + pa.compress(raw, "zstd", asbytes=True)
+
+
+def opened(payload: bytes) -> list[np.ndarray]:
+    """The columns of ``squeezed``."""
+    raw = unpacked(pa.decompress(payload[8:], int(np.frombuffer(payload, "i8", 1)[0]), "zstd", asbytes=True))
+    return [np.ascontiguousarray(c.reshape(4, -1).T).view("<u4").ravel().astype("i8") for c in raw]
+
+
 def to_blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """Blocks of ``size`` words, of which the last may be longer by half. A longer text is cut, and each cut begins with the two words before it."""
+    """Blocks of at most ``size`` words. A longer text is cut, and each cut begins with the two words before it."""
     part, number = TaskContext.get().partitionId(), 0
-    held, rows, seqs, n = [], [], [], 0
+    held, names, rows, seqs, n, kind = [], [], [], [], 0, None
 
     def block() -> pa.RecordBatch:
         nonlocal number
         words, seq = np.unique(np.concatenate(seqs), return_inverse=True)
-        cells = [np.array(rows, "i8"), np.array([len(x) for x in seqs], "u4"), np.array(held, "u1"), words, seq.astype("u4" if len(words) > 65536 else "u2")]
+        cells = [np.array(rows, "i8"), np.array([len(x) for x in seqs], "u4"), np.array(held, "u1"), words]
         number += 1
-        return pa.RecordBatch.from_arrays([pa.array([(part << 32) + number]), *[pa.array([x.tobytes()], pa.binary()) for x in cells]], [f.split()[0] for f in BLOCK.split(", ")])
+        return pa.RecordBatch.from_arrays([pa.array([(part << 32) + number]), pa.array([names], pa.list_(kind)), *[pa.array([x.tobytes()], pa.binary()) for x in cells], pa.array([squeezed([seq])], pa.binary())], [f.split()[0] for f in BLOCK.split(", ")])
 
     for batch in batches:
-        ids, held_out, lists = batch.column("_row").to_pylist(), batch.column("held_out").to_pylist(), batch.column("_words")
+        ids, own, held_out, lists = (batch.column(c) for c in ("_row", "_id", "held_out", "_words"))
+        ids, own, held_out, kind = ids.to_pylist(), own.to_pylist(), held_out.to_pylist(), own.type
         ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
         for k, row in enumerate(ids):
             text = np.concatenate([[END, END], flat[ends[k] : ends[k + 1]], [END]]).astype("i8", copy=False)
             for at in range(2, len(text), size):
+                cut = text[at - 2 : at + size]
+                if n and n + len(cut) - 2 > size:
+                    yield block()
+                    held, names, rows, seqs, n = [], [], [], [], 0
                 rows.append(row)
+                names.append(own[k])
                 held.append(held_out[k])
-                seqs.append(text[at - 2 : at + size])
-                n += len(seqs[-1]) - 2
-                if n >= size:
-                    yield block()
-                    held, rows, seqs, n = [], [], [], 0
+                seqs.append(cut)
+                n += len(cut) - 2
     if seqs:
         yield block()
 
 
 class Block:
-    """A stored block. ``v``, ``u``, ``w``: of each word its place in ``words``, the word before it and the one before that; ``of``: its text."""
+    """A stored block. ``v``, ``u``, ``w``: of each word its place in the block's list, the word before it and the one before that; ``of``: its text."""
 
     def __init__(self, row: dict):
-        self.rows, self.words, self.held = np.frombuffer(row["rows"], "i8"), np.frombuffer(row["words"], "i8"), np.frombuffer(row["held"], "u1") > 0
+        self.rows, self.held = np.frombuffer(row["rows"], "i8"), np.frombuffer(row["held"], "u1") > 0
         lengths = np.frombuffer(row["lengths"], "u4").astype("i8")
-        seq = np.frombuffer(row["seq"], "u4" if len(self.words) > 65536 else "u2").astype("i8")
+        (seq,) = opened(row["seq"])
         inner = np.ones(len(seq), bool)
         first = np.cumsum(lengths) - lengths
         inner[first] = inner[first + 1] = False
@@ -109,65 +126,71 @@ def each_block(f: Callable[[dict], Iterator[pa.RecordBatch]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
-                yield from f({k: v[0] for k, v in batch.slice(i, 1).to_pydict().items()})
+                yield from f({k: v[0] for k, v in batch.slice(i, 1).to_pydict().items()} | {"schema": batch.schema})
 
     return run
 
 
 def block_words(row: dict) -> Iterator[pa.RecordBatch]:
     """Each word of a block with its places in training texts."""
-    b = Block(row)
-    n = np.bincount(b.w[~b.held[b.of]], minlength=len(b.words))
-    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), row["block"])), pa.array(b.words), pa.array(n)], ["block", "word", "n"])
+    b, words = Block(row), np.frombuffer(row["words"], "i8")
+    n = np.bincount(b.w[~b.held[b.of]], minlength=len(words))
+    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), row["block"])), pa.array(words), pa.array(n)], ["block", "word", "n"])
+
+
+def mixed(number: np.ndarray) -> np.ndarray:
+    """Numbers that say nothing of the order of ``number``."""
+    x = number.astype("u8") * np.uint64(0x9E3779B97F4A7C15)
+    return (x ^ (x >> np.uint64(29))) >> np.uint64(8)
 
 
-def spread(words: np.ndarray, v: np.ndarray, u: np.ndarray, shards: int, heavy: dict[int, int]) -> np.ndarray:
+def spread(number: np.ndarray, v: np.ndarray, u: np.ndarray, shards: int, heavy: dict[int, int]) -> np.ndarray:
     """The shard of each pair: that of ``v``; pairs of a heavy ``v`` are spread by ``u`` over the shards that follow."""
-    home = (words.view("u8") % np.uint64(shards)).astype("i8")
-    wide = np.array([heavy.get(h, 1) for h in words.tolist()], "i8") if heavy else np.ones(len(words), "i8")
-    other = ((words.view("u8") >> np.uint64(20)) % np.uint64(1 << 30)).astype("i8")
+    x = mixed(number)
+    home = (x % np.uint64(shards)).astype("i8")
+    wide = np.ones(len(number), "i8")
+    for h, n in heavy.items():
+        wide[number == h] = n
+    other = ((x >> np.uint64(20)) % np.uint64(1 << 30)).astype("i8")
     return (home[v] + other[u] % wide[v]) % shards
 
 
-def pieces(shard: np.ndarray, n: int, columns: list[np.ndarray], names: int, words: np.ndarray, more: list[np.ndarray], tokens: np.ndarray, salt: Callable[[int], int]) -> Iterator[pa.RecordBatch]:
-    """What goes to each shard: the first ``names`` columns name words, of which a piece has its own list with the arrays ``more``."""
+def pieces(shard: np.ndarray, n: int, v: np.ndarray, u: np.ndarray, w: np.ndarray, words: list[np.ndarray], more: np.ndarray, tokens: np.ndarray, salt: Callable[[int], int]) -> Iterator[pa.RecordBatch]:
+    """What goes to each shard. ``words``: the block's numbers, and more about each; a piece has its own ascending list of those it needs."""
     order = np.argsort(shard, kind="stable")
     ends = np.cumsum(np.bincount(shard, minlength=n))
+    by_number = np.argsort(words[0], kind="stable")
     for s in np.flatnonzero(np.diff(np.append(0, ends))).tolist():
         mine = order[(ends[s - 1] if s else 0) : ends[s]]
-        used = np.zeros(len(words), bool)
-        for c in columns[:names]:
+        used = np.zeros(len(by_number), bool)
+        for c in (v, u, w):
             used[c[mine]] = True
-        kept = np.flatnonzero(used)
-        new = np.cumsum(used) - 1
-        parts = [words[kept], *[m[kept] for m in more], *[new[c[mine]].astype("u4") for c in columns[:names]], *[c[mine] for c in columns[names:]]]
-        raw = packed(parts)
-        payload = np.array([len(raw)], "i8").tobytes() + pa.compress(raw, "zstd", asbytes=True)
+        kept = by_number[used[by_number]]
+        new = np.zeros(len(by_number), "i8")
+        new[kept] = np.arange(len(kept))
+        first, *rest = [x[kept] for x in words]
+        payload = squeezed([np.diff(first + 1, prepend=0), *rest, *[new[c[mine]] for c in (v, u, w)], more[mine]])  # -1 is a number too
         yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([salt(s)], pa.int32()), pa.array([int(tokens[mine].sum())]), pa.array([payload], pa.binary())], ["shard", "salt", "tokens", "payload"])
 
 
-def opened(payload: bytes) -> list[np.ndarray]:
-    return unpacked(pa.decompress(payload[8:], int(np.frombuffer(payload, "i8", 1)[0]), "zstd", asbytes=True))
-
-
 def train_pieces(row: dict, shards: int, heavy: dict[int, int]) -> Iterator[pa.RecordBatch]:
-    b = Block(row)
+    b, number = Block(row), np.array(row["number"], "i8")
     v, u, w, c, n = b.trained()
     if len(v):
-        yield from pieces(spread(b.words, v, u, shards, heavy), shards, [v, u, w, c.astype("u4")], 3, b.words, [], n, lambda s: 0)
+        yield from pieces(spread(number, v, u, shards, heavy), shards, v, u, w, [number], c, n, lambda s: 0)
 
 
 def heavy_pairs(row: dict, heavy: dict[int, int]) -> Iterator[pa.RecordBatch]:
     """The followers of heavy words."""
-    b = Block(row)
+    b, number = Block(row), np.array(row["number"], "i8")
     v, _, w, c, _ = b.trained()
-    mine = np.isin(v, np.flatnonzero(np.isin(b.words, np.array([*heavy], "i8"))))
-    key = v[mine] * len(b.words) + w[mine]
+    mine = np.isin(v, np.flatnonzero(np.isin(number, np.array([*heavy], "i8"))))
+    key = v[mine] * len(number) + w[mine]
     order = np.argsort(key)
     at = runs(key[order])
     total = np.add.reduceat(c[mine][order], at) if len(at) else key
     key = key[order][at]
-    yield pa.RecordBatch.from_arrays([pa.array(b.words[key // len(b.words)]), pa.array(b.words[key % len(b.words)]), pa.array(total.astype("i8"))], ["v", "w", "c"])
+    yield pa.RecordBatch.from_arrays([pa.array(number[key // len(number)]), pa.array(number[key % len(number)]), pa.array(total.astype("i8"))], ["v", "w", "c"])
 
 
 def grown(table: pa.Table, whole: pa.Table, discount: float) -> pa.Table:
@@ -176,96 +199,87 @@ def grown(table: pa.Table, whole: pa.Table, discount: float) -> pa.Table:
     rest = [whole.column(k).to_numpy() for k in "vwc"] if len(whole) else [np.zeros(0, "i8")] * 3
     if not got:
         return pa.table({"shard": pa.array([], pa.int32()), "tokens": pa.array([], pa.int64()), "trie": pa.array([], pa.binary())})
-    words = np.unique(np.concatenate([*[x[0] for x in got], *rest[:2]]))
-    places = [np.searchsorted(words, x[0]) for x in got]
+    numbers = [np.cumsum(x[0]) - 1 for x in got]
+    words = np.unique(np.concatenate([*numbers, *rest[:2]]))
+    places = [np.searchsorted(words, x) for x in numbers]
     v, u, w = (np.concatenate([p[x[k]] for p, x in zip(places, got, strict=True)]) for k in (1, 2, 3))
-    c = np.concatenate([x[4] for x in got]).astype("i8")
+    c = np.concatenate([x[4] for x in got])
     trie = build(words, v, u, w, c, discount, (np.searchsorted(words, rest[0]), np.searchsorted(words, rest[1]), rest[2]))
     return pa.table({"shard": table.column("shard").slice(0, 1), "tokens": pa.array([sum(table.column("tokens").to_pylist())]), "trie": pa.array([trie], pa.binary())})
 
 
-def token_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out=None, block_tokens: int = 500_000) -> tuple[DataFrame, DataFrame]:
-    """``docs`` as written blocks of word numbers, and the rows' ids. ``held_out``: a condition on ``docs`` for texts that don't train."""
+def token_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out=None, block_tokens: int = 1 << 20) -> DataFrame:
+    """``docs`` as written blocks of word numbers. ``held_out``: a condition on ``docs`` for texts that don't train."""
     if not 0 < block_tokens <= 1 << 20:
         raise ValueError("block_tokens must be in 1..1048576")
     held = F.lit(False) if held_out is None else F.coalesce(held_out, F.lit(False))
     d = text_rows(docs.withColumn("_held_out", held), id_col, text_col, held_out="_held_out")
-    named = written(d.select(F.monotonically_increasing_id().alias("_row"), "_id", "held_out", hashed_words(F.col("_text")).alias("_words")).mapInArrow(partial(named_blocks, size=block_tokens), f"_row long, _id {d.schema['_id'].dataType.simpleString()}, held_out boolean, {BLOCK}"), "token-blocks")
-    return named.filter("block is not null").select("block", "rows", "lengths", "held", "words", "seq"), named.filter("block is null").select("_row", "_id", "held_out")
+    d = d.select(F.monotonically_increasing_id().alias("_row"), "_id", "held_out", hashed_words(F.col("_text")).alias("_words"))
+    return written(d.mapInArrow(partial(to_blocks, size=block_tokens), BLOCK.format(d.schema["_id"].dataType.simpleString())), "token-blocks")
 
 
-def named_blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """Blocks, and beside them each row's id."""
-    names = [f.split()[0] for f in BLOCK.split(", ")]
-    kinds = [pa.int64(), *[pa.binary()] * (len(names) - 1)]
-    id_type = None
-    waiting: list[pa.RecordBatch] = []
-
-    def seen() -> Iterator[pa.RecordBatch]:
-        nonlocal id_type
-        for b in batches:
-            id_type = b.schema.field("_id").type
-            waiting.append(pa.RecordBatch.from_arrays([b.column("_row"), b.column("_id"), b.column("held_out"), *[pa.nulls(len(b), k) for k in kinds]], ["_row", "_id", "held_out", *names]))
-            yield b
-
-    for block in to_blocks(seen(), size):
-        yield from waiting
-        waiting.clear()
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, id_type), pa.nulls(1, pa.bool_()), *block.columns], ["_row", "_id", "held_out", *names])
-    yield from waiting
+def word_counts(blocks: DataFrame, path: str) -> DataFrame:
+    """Counts of the words of training texts, stored below ``path``. ``part`` and ``place`` number them once they are."""
+    counted = blocks.mapInArrow(each_block(block_words), "block long, word long, n long").filter("n > 0").groupBy("word").agg(F.sum("n").alias("n"))
+    placed = counted.select("word", "n", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("place"))
+    return store(placed, f"{path}/words")
+
+
+def counted_blocks(blocks: DataFrame, path: str) -> DataFrame:
+    """``blocks`` with the count and number of each of their words in a model's training texts, instead of its hash; written."""
+    words = blocks.sparkSession.read.schema(WORDS).parquet(f"{path}/words")
+    sizes = words.groupBy("part").agg(F.count("*").alias("size"))  # as few rows as the table has files
+    before = F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    words = words.join(F.broadcast(sizes.select("part", before.alias("before"))), "part").select("word", "n", (F.col("before") + F.col("place")).alias("number"))
+    mine = blocks.mapInArrow(each_block(block_words), "block long, word long, n long").select("block", "word")
+    cells = F.struct("word", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("number", F.lit(-1)).alias("number"))
+    known = mine.join(words, "word", "left").groupBy("block").agg(F.sort_array(F.collect_list(cells)).alias("known"))
+    known = known.select("block", F.col("known.n").alias("n"), F.col("known.number").alias("number"))
+    return written(blocks.drop("words").join(known, "block"), "counted-blocks")
 
 
-def word_counts(blocks: DataFrame, path: str) -> DataFrame:
-    """Counts of words in training texts, stored below ``path``."""
-    counted = blocks.mapInArrow(each_block(block_words), "block long, word long, n long").filter("n > 0")
-    counted.groupBy("word").agg(F.sum("n").alias("n")).write.parquet(f"{path}/words")
-    return blocks.sparkSession.read.schema("word long, n long").parquet(f"{path}/words")
+def train(blocks: DataFrame, path: str | None = None, **more) -> Model:
+    """A model of the training texts of ``blocks``, written below ``path`` (a fresh shared folder when None). More: see ``grow``."""
+    path = path or scratch(blocks.sparkSession, "lm")
+    word_counts(blocks, path)
+    return grow(counted_blocks(blocks, path), path, **more)
 
 
-def train(blocks: DataFrame, path: str | None = None, shard_tokens: int = 2_000_000, discount: float = 0.9) -> Model:
-    """Count the blocks' training texts and write the tries of all their trigrams below ``path`` (a fresh shared folder when None).
+def grow(counted: DataFrame, path: str, shard_tokens: int = 2_000_000, discount: float = 0.9) -> Model:
+    """Write the tries of all trigrams of the blocks' training texts below ``path``, where the words' counts are.
 
     A shard has some ``shard_tokens`` tokens. Words with more than that have their pairs spread over as many shards as it takes, and
     their followers are counted before. ``discount`` (below 1) is what each n-gram leaves to the level below. Nothing is pruned.
     """
-    spark = blocks.sparkSession
-    path = path or scratch(spark, "lm")
-    words = word_counts(blocks, path)
+    spark = counted.sparkSession
+    words = spark.read.schema(WORDS).parquet(f"{path}/words")
     tokens, kinds = (int(x or 0) for x in words.agg(F.sum("n"), F.count("*")).first())
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // shard_tokens))
-    heavy = {r["word"]: min(shards, -(-r["n"] * shards // max(tokens, 1))) for r in words.filter(F.col("n") > max(1, tokens // shards)).collect()}  # fewer than there are shards
-    dealt = blocks.mapInArrow(each_block(partial(train_pieces, shards=shards, heavy=heavy)), PIECE)
+    often = counted.select(F.explode(F.arrays_zip("number", "n")).alias("w")).filter(F.col("w.n") > max(1, tokens // shards)).select("w.number", "w.n").distinct()
+    heavy = {r["number"]: min(shards, -(-r["n"] * shards // max(tokens, 1))) for r in often.collect()}  # fewer than there are shards
+    dealt = counted.mapInArrow(each_block(partial(train_pieces, shards=shards, heavy=heavy)), PIECE)
+    pairs = spark.createDataFrame([], "shard int, v long, w long, c long")
     if heavy:
-        pairs = blocks.mapInArrow(each_block(partial(heavy_pairs, heavy=heavy)), "v long, w long, c long").groupBy("v", "w").agg(F.sum("c").alias("c"))
-        pairs = written(pairs, "heavy-pairs")
-        homes = [(h, (h % (1 << 64)) % shards, n) for h, n in heavy.items()]
-        homes = F.broadcast(spark.createDataFrame(homes, "v long, home long, n long"))
-        pairs = pairs.join(homes, "v").select(((F.col("home") + F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))) % shards).cast("int").alias("shard"), "v", "w", "c")
-    else:
-        pairs = spark.createDataFrame([], "shard int, v long, w long, c long")
+        homes = [(h, int(mixed(np.array([h]))[0]) % shards, n) for h, n in heavy.items()]
+        pairs = counted.mapInArrow(each_block(partial(heavy_pairs, heavy=heavy)), "v long, w long, c long").groupBy("v", "w").agg(F.sum("c").alias("c"))
+        pairs = written(pairs, "heavy-pairs").join(F.broadcast(spark.createDataFrame(homes, "v long, home long, n long")), "v")
+        pairs = pairs.select(((F.col("home") + F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))) % shards).cast("int").alias("shard"), "v", "w", "c")
     tries = dealt.groupBy("shard").cogroup(pairs.groupBy("shard")).applyInArrow(partial(grown, discount=discount), "shard int, tokens long, trie binary")
-    tries.write.parquet(f"{path}/tries")
-    sizes = spark.read.parquet(f"{path}/tries").filter(F.col("tokens") > 2 * shard_tokens).select("shard", "tokens").collect()  # fewer than there are shards
+    tries = store(tries, f"{path}/tries")
+    sizes = tries.filter(F.col("tokens") > 2 * shard_tokens).select("shard", "tokens").collect()  # fewer than there are shards
     return Model(path, tokens, kinds, shards, heavy, {r["shard"]: -(-r["tokens"] // (2 * shard_tokens)) for r in sizes})
 
 
 def asked(row: dict, model: Model) -> Iterator[pa.RecordBatch]:
-    """A block's words for the shards that score them, each with the probability of the word alone."""
-    b = Block(row)
-    alone = (counts_of(row, b) + 1) / (model.tokens + model.kinds + 1)
-    key = (b.v << 42) | (b.u << 21) | b.w
-    order = np.argsort(key)
+    """A block's words for the shards that score them, with the words' counts."""
+    b, number, n = Block(row), np.array(row["number"], "i8"), np.array(row["n"], "i8")
+    order = np.argsort((b.v << 42) | (b.u << 21) | b.w)
     v, u, w, of = (x[order] for x in (b.v, b.u, b.w, b.of))
-    columns = [v, u, w, of.astype("u4")]
-    for out in pieces(spread(b.words, v, u, model.shards, model.heavy), model.shards, columns, 3, b.words, [alone], np.ones(len(v), "i8"), lambda s: row["block"] % model.salts.get(s, 1)):
+    for out in pieces(spread(number, v, u, model.shards, model.heavy), model.shards, v, u, w, [number, np.minimum(n, (1 << 32) - 1)], of, np.ones(len(v), "i8"), lambda s: row["block"] % model.salts.get(s, 1)):
         yield out.append_column("rows", pa.array([row["rows"]], pa.binary()))
 
 
-def counts_of(row: dict, b: Block) -> np.ndarray:
-    return np.array(row["counts"], "f8") if row["counts"] is not None else np.zeros(len(b.words))
-
-
-def answered(pieces: pa.Table, tries: pa.Table) -> pa.Table:
+def answered(pieces: pa.Table, tries: pa.Table, total: int) -> pa.Table:
     """Sums of log probabilities by row and piece. The trie is mapped from an unnamed file, gone when the task is done with it."""
     rows, sums = [], []
     with tempfile.TemporaryFile() as f:
@@ -275,41 +289,42 @@ def answered(pieces: pa.Table, tries: pa.Table) -> pa.Table:
             f.flush()
             trie = Trie(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
         for payload, names in zip(pieces.column("payload"), pieces.column("rows"), strict=True):
-            words, alone, v, u, w, of = opened(payload.as_py())
-            p = trie.probabilities(words, alone, v, u, w) if trie else alone[w]
+            number, n, v, u, w, of = opened(payload.as_py())
+            alone = (n + 1) / total
+            p = trie.probabilities(np.cumsum(number) - 1, alone, v, u, w) if trie else alone[w]
             names = np.frombuffer(names.as_py(), "i8")
-            total = np.bincount(of, np.log10(p), len(names))
             at = np.flatnonzero(np.bincount(of, minlength=len(names)))
             rows.append(names[at])
-            sums.append(total[at])
+            sums.append(np.bincount(of, np.log10(p), len(names))[at])
     return pa.table({"_row": pa.array(np.concatenate(rows) if rows else np.zeros(0, "i8")), "score": pa.array(np.concatenate(sums) if sums else np.zeros(0))})
 
 
 def alone(row: dict, model: Model) -> Iterator[pa.RecordBatch]:
     """Tokens, known tokens and base score of each text."""
-    b = Block(row)
-    c = counts_of(row, b)
-    logs = np.log10((c + 1) / (model.tokens + model.kinds + 1))
-    n = np.bincount(b.of, minlength=len(b.rows))
-    sums = [np.bincount(b.of, x[b.w], len(b.rows)) for x in (c > 0, logs)]
-    yield pa.RecordBatch.from_arrays([pa.array(b.rows), pa.array(n), pa.array(sums[0].astype("i8")), pa.array(sums[1])], ["_row", "n_tokens", "n_known", "base_score"])
+    b, n = Block(row), np.array(row["n"], "i8")
+    logs = np.log10((n + 1) / (model.tokens + model.kinds + 1))
+    known, base = (np.bincount(b.of, x[b.w], len(b.rows)) for x in (n > 0, logs))
+    ids = pa.array(row["ids"], row["schema"].field("ids").type.value_type)
+    yield pa.RecordBatch.from_arrays([pa.array(b.rows), ids, pa.array(b.held), pa.array(np.bincount(b.of, minlength=len(b.rows))), pa.array(known.astype("i8")), pa.array(base)], ["_row", "doc_id", "held_out", "n_tokens", "n_known", "base_score"])
 
 
-def score(blocks: DataFrame, ids: DataFrame, model: Model) -> DataFrame:
+def score(blocks: DataFrame, model: Model) -> DataFrame:
     """The log10 probability of each text of ``blocks``, in all and by its words alone."""
-    spark: SparkSession = blocks.sparkSession
-    words = spark.read.schema("word long, n long").parquet(f"{model.path}/words")
-    mine = blocks.mapInArrow(each_block(block_words), "block long, word long, n long").select("block", "word")
-    known = mine.join(words, "word", "left").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("word", F.coalesce("n", F.lit(0)).alias("n")))).alias("known"))
-    numbered = written(blocks.join(known.select("block", F.col("known.n").alias("counts")), "block"), "counted-blocks")
-    base = numbered.mapInArrow(each_block(partial(alone, model=model)), "_row long, n_tokens long, n_known long, base_score double")
-    dealt = numbered.mapInArrow(each_block(partial(asked, model=model)), PIECE + ", rows binary")
+    return scored(counted_blocks(blocks, model.path), model)
+
+
+def scored(counted: DataFrame, model: Model) -> DataFrame:
+    spark: SparkSession = counted.sparkSession
+    kind = counted.schema["ids"].dataType.elementType.simpleString()
+    base = counted.mapInArrow(each_block(partial(alone, model=model)), f"_row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double")
+    dealt = counted.mapInArrow(each_block(partial(asked, model=model)), PIECE + ", rows binary")
     tries = spark.read.parquet(f"{model.path}/tries").select("shard", "trie")
     salts = F.broadcast(spark.createDataFrame([*model.salts.items()], "shard int, salts int"))  # fewer than there are shards
     tries = tries.join(salts, "shard", "left").select("shard", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"), "trie")
-    sums = dealt.groupBy("shard", "salt").cogroup(tries.groupBy("shard", "salt")).applyInArrow(answered, "_row long, score double")
-    every = ids.unionByName(base, allowMissingColumns=True).unionByName(sums, allowMissingColumns=True).groupBy("_row")
-    return every.agg(F.max("_id").alias("doc_id"), F.max("held_out").alias("held_out"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
+    total = model.tokens + model.kinds + 1
+    sums = dealt.groupBy("shard", "salt").cogroup(tries.groupBy("shard", "salt")).applyInArrow(partial(answered, total=total), "_row long, score double")
+    every = base.unionByName(sums, allowMissingColumns=True).groupBy("_row")
+    return every.agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
 
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_fold: int = 2) -> DataFrame:
@@ -319,6 +334,10 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     an empty table gives an empty one.
     """
     held = F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(folds)) == held_fold
-    blocks, ids = token_blocks(docs, id_col, text_col, held)
-    model = train(blocks)
-    return score(blocks, ids, model).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    blocks = token_blocks(docs, id_col, text_col, held)
+    path = scratch(docs.sparkSession, "lm")
+    word_counts(blocks, path)
+    counted = counted_blocks(blocks, path)
+    forget(blocks)
+    model = grow(counted, path)
+    return scored(counted, model).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
