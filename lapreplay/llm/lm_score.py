@@ -263,7 +263,7 @@ def grow(counted: DataFrame, path: str, shard_tokens: int = 2_000_000, discount:
         homes = [(h, int(mixed(np.array([h]))[0]) % shards, n) for h, n in heavy.items()]
         pairs = counted.mapInArrow(each_block(partial(heavy_pairs, heavy=heavy)), "v long, w long, c long").groupBy("v", "w").agg(F.sum("c").alias("c"))
         pairs = written(pairs, "heavy-pairs").join(F.broadcast(spark.createDataFrame(homes, "v long, home long, n long")), "v")
-        pairs = pairs.select(((F.col("home") + F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1))) % shards).cast("int").alias("shard"), "v", "w", "c")
+        pairs = pairs.select(F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda i: ((F.col("home") + i) % shards).cast("int"))).alias("shard"), "v", "w", "c")
     tries = dealt.groupBy("shard").cogroup(pairs.groupBy("shard")).applyInArrow(partial(grown, discount=discount), "shard int, tokens long, trie binary")
     tries = store(tries, f"{path}/tries")
     sizes = tries.filter(F.col("tokens") > 2 * shard_tokens).select("shard", "tokens").collect()  # fewer than there are shards
