@@ -123,11 +123,11 @@ def build(words: np.ndarray, v: np.ndarray, u: np.ndarray, w: np.ndarray, c: np.
     """
     d = max(len(words), 1)
     pair = v * d + u
-    order = np.argsort(pair, kind="stable")
+    order = np.argsort(pair)
     rank = np.zeros(len(pair), "i8")
     rank[order] = np.cumsum(np.append(0, pair[order][1:] != pair[order][:-1])) if len(pair) else 0
     key = rank * d + w
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     key, v, u, w, c = key[order], v[order], u[order], w[order], c[order]
     at = runs(key)
     c = np.add.reduceat(c, at) if len(at) else c
@@ -137,7 +137,7 @@ def build(words: np.ndarray, v: np.ndarray, u: np.ndarray, w: np.ndarray, c: np.
         rest = ~np.isin(v, whole[0])
         v2, w2, c2 = (np.append(a[rest], b) for a, b in zip((v, w, c), whole, strict=True))
     key2 = v2 * d + w2
-    order = np.argsort(key2, kind="stable")
+    order = np.argsort(key2)
     key2, v2, c2 = key2[order], v2[order], c2[order]
     at = runs(key2)
     c2 = np.add.reduceat(c2, at) if len(at) else c2

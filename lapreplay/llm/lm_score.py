@@ -108,9 +108,9 @@ class Block:
         at = np.flatnonzero(inner)
         self.w, self.v, self.u, self.of = seq[at], seq[at - 1], seq[at - 2], np.repeat(np.arange(len(lengths)), lengths - 2)
 
-    def trained(self) -> tuple[np.ndarray, ...]:
-        """The training texts' trigrams ``v, u, w``, the texts that hold each, and its places."""
-        mine = np.flatnonzero(~self.held[self.of])
+    def trained(self, some: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+        """The training texts' trigrams ``v, u, w`` (with ``some`` only those of such ``v``), the texts that hold each, and its places."""
+        mine = np.flatnonzero(~self.held[self.of] if some is None else ~self.held[self.of] & some[self.v])
         key = (self.v[mine] << 42) | (self.u[mine] << 21) | self.w[mine]
         order = np.argsort(key)
         key, of = key[order], self.of[mine][order]
@@ -138,6 +138,11 @@ def block_words(row: dict) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), row["block"])), pa.array(words), pa.array(n)], ["block", "word", "n"])
 
 
+def listed(row: dict) -> Iterator[pa.RecordBatch]:
+    words = np.frombuffer(row["words"], "i8")
+    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), row["block"])), pa.array(words)], ["block", "word"])
+
+
 def mixed(number: np.ndarray) -> np.ndarray:
     """Numbers that say nothing of the order of ``number``."""
     x = number.astype("u8") * np.uint64(0x9E3779B97F4A7C15)
@@ -156,7 +161,7 @@ def spread(number: np.ndarray, v: np.ndarray, u: np.ndarray, shards: int, heavy:
 
 
 def pieces(shard: np.ndarray, n: int, v: np.ndarray, u: np.ndarray, w: np.ndarray, words: list[np.ndarray], more: np.ndarray, tokens: np.ndarray, salt: Callable[[int], int]) -> Iterator[pa.RecordBatch]:
-    """What goes to each shard. ``words``: the block's numbers, and more about each; a piece has its own ascending list of those it needs."""
+    """What goes to each shard, of triples in ascending order. ``words``: the block's numbers, and more about each; a piece has its own list of those it needs."""
     order = np.argsort(shard, kind="stable")
     ends = np.cumsum(np.bincount(shard, minlength=n))
     by_number = np.argsort(words[0], kind="stable")
@@ -169,10 +174,17 @@ def pieces(shard: np.ndarray, n: int, v: np.ndarray, u: np.ndarray, w: np.ndarra
         new = np.zeros(len(by_number), "i8")
         new[kept] = np.arange(len(kept))
         first, *rest = [x[kept] for x in words]
-        payload = squeezed([np.diff(first + 1, prepend=0), *rest, *[new[c[mine]] for c in (v, u, w)], more[mine]])  # -1 is a number too
+        steps = [np.diff(x, prepend=0) & 0xFFFFFFFF for x in (first + 1, new[v[mine]], new[u[mine]])]  # small ones, of sorted columns; -1 is a number too
+        payload = squeezed([steps[0], *rest, *steps[1:], new[w[mine]], more[mine]])
         yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([salt(s)], pa.int32()), pa.array([int(tokens[mine].sum())]), pa.array([payload], pa.binary())], ["shard", "salt", "tokens", "payload"])
 
 
+def piece(payload: bytes) -> list[np.ndarray]:
+    """The columns of a piece: its words' numbers, more about each, ``v, u, w`` (places among the words) and more about each triple."""
+    first, *rest, v, u, w, more = opened(payload)
+    return [np.cumsum(first) - 1, *rest, *[np.cumsum(x) & 0xFFFFFFFF for x in (v, u)], w, more]
+
+
 def train_pieces(row: dict, shards: int, heavy: dict[int, int]) -> Iterator[pa.RecordBatch]:
     b, number = Block(row), np.array(row["number"], "i8")
     v, u, w, c, n = b.trained()
@@ -183,29 +195,28 @@ def train_pieces(row: dict, shards: int, heavy: dict[int, int]) -> Iterator[pa.R
 def heavy_pairs(row: dict, heavy: dict[int, int]) -> Iterator[pa.RecordBatch]:
     """The followers of heavy words."""
     b, number = Block(row), np.array(row["number"], "i8")
-    v, _, w, c, _ = b.trained()
-    mine = np.isin(v, np.flatnonzero(np.isin(number, np.array([*heavy], "i8"))))
-    key = v[mine] * len(number) + w[mine]
+    v, _, w, c, _ = b.trained(np.isin(number, np.array([*heavy], "i8")))
+    key = v * len(number) + w
     order = np.argsort(key)
     at = runs(key[order])
-    total = np.add.reduceat(c[mine][order], at) if len(at) else key
+    total = np.add.reduceat(c[order], at) if len(at) else key
     key = key[order][at]
     yield pa.RecordBatch.from_arrays([pa.array(number[key // len(number)]), pa.array(number[key % len(number)]), pa.array(total.astype("i8"))], ["v", "w", "c"])
 
 
 def grown(table: pa.Table, whole: pa.Table, discount: float) -> pa.Table:
     """The trie of one shard."""
-    got = [opened(p) for p in table.column("payload").to_pylist()]
+    got = [piece(p) for p in table.column("payload").to_pylist()]
     rest = [whole.column(k).to_numpy() for k in "vwc"] if len(whole) else [np.zeros(0, "i8")] * 3
     if not got:
         return pa.table({"shard": pa.array([], pa.int32()), "tokens": pa.array([], pa.int64()), "trie": pa.array([], pa.binary())})
-    numbers = [np.cumsum(x[0]) - 1 for x in got]
+    numbers = [x[0] for x in got]
     words = np.unique(np.concatenate([*numbers, *rest[:2]]))
     places = [np.searchsorted(words, x) for x in numbers]
     v, u, w = (np.concatenate([p[x[k]] for p, x in zip(places, got, strict=True)]) for k in (1, 2, 3))
     c = np.concatenate([x[4] for x in got])
     trie = build(words, v, u, w, c, discount, (np.searchsorted(words, rest[0]), np.searchsorted(words, rest[1]), rest[2]))
-    return pa.table({"shard": table.column("shard").slice(0, 1), "tokens": pa.array([sum(table.column("tokens").to_pylist())]), "trie": pa.array([trie], pa.binary())})
+    return pa.table({"shard": table.column("shard").slice(0, 1), "tokens": pa.array([sum(table.column("tokens").to_pylist())]), "trie": pa.array([np.array([len(trie)], "i8").tobytes() + pa.compress(trie, "zstd", asbytes=True)], pa.binary())})
 
 
 def token_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out=None, block_tokens: int = 1 << 20) -> DataFrame:
@@ -231,7 +242,7 @@ def counted_blocks(blocks: DataFrame, path: str) -> DataFrame:
     sizes = words.groupBy("part").agg(F.count("*").alias("size"))  # as few rows as the table has files
     before = F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     words = words.join(F.broadcast(sizes.select("part", before.alias("before"))), "part").select("word", "n", (F.col("before") + F.col("place")).alias("number"))
-    mine = blocks.mapInArrow(each_block(block_words), "block long, word long, n long").select("block", "word")
+    mine = blocks.select("block", "words").mapInArrow(each_block(listed), "block long, word long")
     cells = F.struct("word", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("number", F.lit(-1)).alias("number"))
     known = mine.join(words, "word", "left").groupBy("block").agg(F.sort_array(F.collect_list(cells)).alias("known"))
     known = known.select("block", F.col("known.n").alias("n"), F.col("known.number").alias("number"))
@@ -276,7 +287,7 @@ def asked(row: dict, model: Model) -> Iterator[pa.RecordBatch]:
     order = np.argsort((b.v << 42) | (b.u << 21) | b.w)
     v, u, w, of = (x[order] for x in (b.v, b.u, b.w, b.of))
     for out in pieces(spread(number, v, u, model.shards, model.heavy), model.shards, v, u, w, [number, np.minimum(n, (1 << 32) - 1)], of, np.ones(len(v), "i8"), lambda s: row["block"] % model.salts.get(s, 1)):
-        yield out.append_column("rows", pa.array([row["rows"]], pa.binary()))
+        yield out.append_column("rows", pa.array([np.diff(b.rows, prepend=0).tobytes()], pa.binary()))
 
 
 def answered(pieces: pa.Table, tries: pa.Table, total: int) -> pa.Table:
@@ -285,14 +296,16 @@ def answered(pieces: pa.Table, tries: pa.Table, total: int) -> pa.Table:
     with tempfile.TemporaryFile() as f:
         trie = None
         if len(tries):
-            f.write(tries.column("trie")[0].as_buffer())
+            raw = tries.column("trie")[0].as_py()
+            f.write(pa.decompress(raw[8:], int(np.frombuffer(raw, "i8", 1)[0]), "zstd"))
+            del raw
             f.flush()
             trie = Trie(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
         for payload, names in zip(pieces.column("payload"), pieces.column("rows"), strict=True):
-            number, n, v, u, w, of = opened(payload.as_py())
+            number, n, v, u, w, of = piece(payload.as_py())
             alone = (n + 1) / total
-            p = trie.probabilities(np.cumsum(number) - 1, alone, v, u, w) if trie else alone[w]
-            names = np.frombuffer(names.as_py(), "i8")
+            p = trie.probabilities(number, alone, v, u, w) if trie else alone[w]
+            names = np.cumsum(np.frombuffer(names.as_py(), "i8"))
             at = np.flatnonzero(np.bincount(of, minlength=len(names)))
             rows.append(names[at])
             sums.append(np.bincount(of, np.log10(p), len(names))[at])
