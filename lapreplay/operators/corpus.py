@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lapreplay.functions import coerce
@@ -58,7 +58,7 @@ def validate_race_corpus(corpus: DataFrame) -> None:
 
 
 def combine_race_datasets(datasets: Sequence[DataFrame], check: bool = True) -> DataFrame:
-    """One corpus of the datasets, ordered by season, round and snapshot within partitions of whole rounds.
+    """One corpus of the datasets, in ranges of its order that are sorted within.
 
     All must have the contract's columns in its order and equal types. No race may be in two of them.
     """
@@ -77,13 +77,20 @@ def combine_race_datasets(datasets: Sequence[DataFrame], check: bool = True) ->
     return sorted_for_storage(corpus)
 
 
+def storage_order() -> list[Column]:
+    return [F.col(c) for c in ORDER] + [F.col("Position").asc_nulls_last(), F.col("Driver")]
+
+
 def sorted_for_storage(corpus: DataFrame) -> DataFrame:
-    """Whole rounds to a partition, sorted within: the order of ``sort_corpus`` without one global sort of rows."""
-    return corpus.repartitionByRange("Season", "RoundNumber").sortWithinPartitions(*ORDER, F.col("Position").asc_nulls_last(), "Driver")
+    """The order of ``sort_corpus`` in ranges of the whole key, whose bounds Spark samples: a round or snapshot with most rows has several.
+
+    Files written from it are in order, one after the other.
+    """
+    return corpus.repartitionByRange(*storage_order()).sortWithinPartitions(*storage_order())
 
 
 def sort_corpus(corpus: DataFrame) -> DataFrame:
-    return corpus.orderBy(*ORDER, F.col("Position").asc_nulls_last(), "Driver")
+    return corpus.orderBy(*storage_order())
 
 
 def corpus_summary(corpus: DataFrame) -> DataFrame:

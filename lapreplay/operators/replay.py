@@ -1,20 +1,24 @@
 """Replay: what was known of each driver when the leader had finished lap N.
 
-Leader laps are numbered in each race. A lap row holds from its lap up to the driver's next one, which is an interval of
-these numbers; it is expanded, so the as-of join is one hash join on (race, number), linear in its output however far
-apart the laps are. Running totals, the next lap and the totals' gaps share one shuffle on (race, driver).
+The as-of join is a merge. One grouped pass gathers each race's drivers and leader laps; every driver then has its own rows
+and a row for each leader lap in one stream, sorted by lap, in which the latest row and the running totals are
+carried forward. Laps are shuffled once, by race and driver; leader laps are expanded after that shuffle, so the work is linear in the
+output, however far apart the laps are, and no race has to fit into one task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lapreplay.functions import coerce
-from lapreplay.operators.rules import Rule, enforce, repeated, violations
+from lapreplay.operators.rules import Rule, repeated, violations
 from lapreplay.schemas import RACE, REPLAY, REPLAY_INPUT, ReplayError, positive_int, require_columns
+from lapreplay.sources.staging import Checks
 
 
 def prepared_laps(laps: DataFrame, race_keys: Sequence[str] = RACE) -> DataFrame:
@@ -27,8 +31,8 @@ def prepared_laps(laps: DataFrame, race_keys: Sequence[str] = RACE) -> DataFrame
     )
 
 
-def check_input(laps: DataFrame, race_keys: Sequence[str] = RACE, row_id: str | None = None) -> DataFrame:
-    """Rules that the laps of a replay must keep, broken ones per race."""
+def input_rules(laps: DataFrame, race_keys: Sequence[str] = RACE) -> list[Rule]:
+    """Rules that each row of a replay's laps must keep."""
     c, rules, kinds = F.col, [], {f.name: f.dataType for f in laps.schema.fields}
     for n, required in (("LapNumber", True), ("Position", False), ("Stint", False)):
         x = coerce.number(c(n), kinds[n])
@@ -43,11 +47,18 @@ def check_input(laps: DataFrame, race_keys: Sequence[str] = RACE, row_id: str |
         Rule("missing_Driver", "error", "no driver is named", driver.isNull()),
         Rule("negative_TyreLife", "error", "TyreLife is below zero", coerce.number(c("TyreLife"), kinds["TyreLife"]) < 0),
         Rule("non_positive_LapTimeSeconds", "error", "LapTimeSeconds is zero or less", coerce.number(c("LapTimeSeconds"), kinds["LapTimeSeconds"]) <= 0),
-        Rule("duplicate_driver_lap", "error", "a driver has a lap more than once", c("_copies")),
         *[Rule(f"missing_{k}", "error", f"{k} is missing", c(k).isNull()) for k in race_keys],
     ]
-    marked = laps.withColumns({"_driver": driver, "_lap": coerce.whole(c("LapNumber"), kinds["LapNumber"])}).withColumn("_copies", repeated(*race_keys, "_driver", "_lap"))
-    return violations(marked, rules, race_keys, row_id)
+    return rules
+
+
+def check_input(laps: DataFrame, race_keys: Sequence[str] = RACE, row_id: str | None = None) -> DataFrame:
+    """Rules that the laps of a replay must keep, broken ones per race."""
+    kinds = {f.name: f.dataType for f in laps.schema.fields}
+    key = {"_driver": coerce.text(F.col("Driver"), upper=True), "_lap": coerce.whole(F.col("LapNumber"), kinds["LapNumber"])}
+    marked = laps.withColumns(key).withColumn("_copies", repeated(*race_keys, "_driver", "_lap"))
+    again = Rule("duplicate_driver_lap", "error", "a driver has a lap more than once", F.col("_copies"))
+    return violations(marked, [*input_rules(laps, race_keys), again], race_keys, row_id)
 
 
 def _nan(df: DataFrame, name: str) -> Column:
@@ -64,58 +75,96 @@ def running(laps: DataFrame, race_keys: Sequence[str] = RACE) -> DataFrame:
     return out.withColumn("CumulativeLapTimeSeconds", F.when(F.col("MissingLapTimes") == 0, F.col("_sum"))).drop("_sum")
 
 
-def snapshot_spine(laps: DataFrame, race_keys: Sequence[str] = RACE, start_lap: int = 1, end_lap: int | None = None) -> DataFrame:
-    """The laps that a leader finished, within the range."""
+def leads(start_lap: int = 1, end_lap: int | None = None) -> Column:
+    """Whether a row is a leader's, of a lap within the range."""
     positive_int(start_lap, "start_lap", ReplayError)
     if end_lap is not None and positive_int(end_lap, "end_lap", ReplayError) < start_lap:
         raise ReplayError("end_lap is before start_lap")
-    leader = laps.filter((F.col("Position") == 1) & F.col("LapNumber").isNotNull() & (F.col("LapNumber") >= start_lap))
-    if end_lap is not None:
-        leader = leader.filter(F.col("LapNumber") <= end_lap)
-    return leader.select(*race_keys, F.col("LapNumber").alias("SnapshotLap")).distinct()
+    out = (F.col("Position") == 1) & F.col("LapNumber").isNotNull() & (F.col("LapNumber") >= start_lap)
+    return out if end_lap is None else out & (F.col("LapNumber") <= end_lap)
 
 
-def snapshot_asof_join(running_laps: DataFrame, spine: DataFrame, race_keys: Sequence[str] = RACE) -> DataFrame:
+def snapshot_spine(laps: DataFrame, race_keys: Sequence[str] = RACE, start_lap: int = 1, end_lap: int | None = None) -> DataFrame:
+    """The laps that a leader finished, within the range."""
+    return laps.filter(leads(start_lap, end_lap)).select(*race_keys, F.col("LapNumber").alias("SnapshotLap")).distinct()
+
+
+def snapshot_asof_join(laps: DataFrame, spine: DataFrame, race_keys: Sequence[str] = RACE) -> DataFrame:
     """For each snapshot lap and driver the latest row at or before it. Drivers without one are absent."""
-    below = spine_numbers(running_laps, spine, race_keys)
-    held = running_laps.join(below, [*race_keys, "LapNumber"])
-    until = F.lead("_below").over(Window.partitionBy(*race_keys, "Driver").orderBy("LapNumber"))
-    held = held.withColumn("_last", F.coalesce(until, F.col("_all")) - 1).filter(F.col("_below") <= F.col("_last"))
-    held = held.withColumn("_number", F.explode(F.sequence("_below", "_last"))).drop("_below", "_last", "_all")
-    named = below.filter("_leader").select(*race_keys, F.col("_below").alias("_number"), F.col("LapNumber").alias("SnapshotLap"))
-    return held.join(named, [*race_keys, "_number"]).drop("_number")
+    mine = laps.select(*race_keys, F.struct("Driver").alias("_driver"), F.lit(None).cast("long").alias("_snapshot"))
+    both = mine.unionByName(spine.select(*race_keys, F.lit(None).cast(mine.schema["_driver"].dataType).alias("_driver"), F.col("SnapshotLap").cast("long").alias("_snapshot")))
+    races = both.groupBy(*race_keys).agg(F.collect_set("_driver").alias("_drivers"), F.collect_set("_snapshot").alias("_spine"))
+    return latest(merged(laps, races, race_keys))
+
 
+def race_spines(laps: DataFrame, race_keys: Sequence[str] = RACE, start_lap: int = 1, end_lap: int | None = None) -> DataFrame:
+    """Of each race its drivers, its leader laps in the range, and how many rows lead (``_leaders``): one grouped pass, combined before its shuffle."""
+    lead = leads(start_lap, end_lap)
+    rows = laps.select(*race_keys, F.struct("Driver").alias("_driver"), F.when(lead, F.col("LapNumber")).cast("long").alias("_snapshot"))
+    return rows.groupBy(*race_keys).agg(F.collect_set("_driver").alias("_drivers"), F.collect_set("_snapshot").alias("_spine"), F.count("_snapshot").alias("_leaders"))
 
-def spine_numbers(laps: DataFrame, spine: DataFrame, race_keys: Sequence[str] = RACE) -> DataFrame:
-    """For each distinct lap of a race: ``_below``, how many leader laps come before it, ``_leader``, whether it is one, and ``_all``.
 
-    A race's distinct laps are few next to its rows.
+#: Kinds of rows in a merged stream, in their order at one lap.
+LABEL, LAP, SNAPSHOT = 0, 1, 2
+
+
+def merged(laps: DataFrame, races: DataFrame, race_keys: Sequence[str] = RACE, carried: Sequence[str] = (), labels: DataFrame | None = None) -> DataFrame:
+    """The sorted stream of each driver: ``_kind``, ``_at`` (a lap), ``_lap`` (the lap row), ``_label`` and the race's ``carried`` columns on snapshot rows.
+
+    ``_last``: the latest lap row so far; ``_told``: the label, of which ``labels`` has the driver's; ``_again``: whether the row
+    before is of the same kind and lap. Rows without a race are left out.
     """
-    every = laps.select(*race_keys, "LapNumber", F.lit(False).alias("_leader")).unionByName(spine.select(*race_keys, F.col("SnapshotLap").alias("LapNumber"), F.lit(True).alias("_leader")))
-    every = every.groupBy(*race_keys, "LapNumber").agg(F.max("_leader").alias("_leader"))
-    race = Window.partitionBy(*race_keys)
-    before = race.orderBy("LapNumber").rowsBetween(Window.unboundedPreceding, -1)
-    return every.withColumns({"_below": F.count_if("_leader").over(before), "_all": F.count_if("_leader").over(race)})
+    kinds = {c: races.schema[c].dataType for c in carried}
+    here = reduce(and_, [F.col(k).isNotNull() for k in race_keys])
+    cells = F.struct(*[c for c in laps.columns if c not in (*race_keys, "Driver")]).alias("_lap")
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    empty = [none("array<long>", "_spine"), *[none(k, c) for c, k in kinds.items()]]
+    rows = laps.filter(here).select(*race_keys, "Driver", F.lit(LAP).alias("_kind"), cells, none("boolean", "_label"), *empty)
+    asks = races.filter(here).select(*race_keys, F.explode("_drivers").alias("_d"), "_spine", *carried)
+    rows = rows.unionByName(asks.select(*race_keys, "_d.Driver", F.lit(SNAPSHOT).alias("_kind"), none(rows.schema["_lap"].dataType, "_lap"), none("boolean", "_label"), "_spine", *carried))
+    if labels is not None:
+        rows = rows.unionByName(labels.filter(here).select(*race_keys, "Driver", F.lit(LABEL).alias("_kind"), none(rows.schema["_lap"].dataType, "_lap"), F.col("_label"), *empty))
+    rows = rows.repartition(*race_keys, "Driver").withColumn("_snapshot", F.explode_outer("_spine")).drop("_spine").filter((F.col("_kind") != SNAPSHOT) | F.col("_snapshot").isNotNull())
+    rows = rows.withColumn("_at", F.coalesce("_snapshot", F.col("_lap.LapNumber").cast("long")))
+    w = Window.partitionBy(*race_keys, "Driver").orderBy(F.col("_at").asc_nulls_first(), "_kind")
+    so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.withColumns({
+        "_last": F.last(F.when(F.col("_lap.LapNumber").isNotNull(), F.col("_lap")), ignorenulls=True).over(so_far), "_told": F.max("_label").over(so_far),
+        "_missing": F.count_if((F.col("_kind") == LAP) & F.col("_lap")["LapTimeSeconds"].isNull()).over(so_far) if "LapTimeSeconds" in laps.columns else F.lit(0).cast("long"),
+        "_sum": F.sum("_lap.LapTimeSeconds").over(so_far) if "LapTimeSeconds" in laps.columns else F.lit(None).cast("double"),
+        "_again": (F.lag("_kind").over(w) == F.col("_kind")) & F.lag("_at").over(w).eqNullSafe(F.col("_at")),
+    })
 
 
-def snapshot_columns(joined: DataFrame, race_keys: Sequence[str] = RACE) -> DataFrame:
+def latest(stream: DataFrame) -> DataFrame:
+    """The stream's snapshot rows of drivers who are on track, with the columns of their latest laps."""
+    own = [c for c in stream.columns if not c.startswith("_")]
+    return stream.filter((F.col("_kind") == SNAPSHOT) & F.col("_last").isNotNull()).select(*own, "_last.*", F.col("_snapshot").alias("SnapshotLap"))
+
+
+def snapshot_cells(race_keys: Sequence[str] = RACE) -> list[Column | str]:
+    """The columns of a replay, of a snapshot beside the lap row that holds at it."""
     behind = F.col("SnapshotLap") - F.col("LapNumber")
-    return joined.select(
+    return [
         *race_keys, "SnapshotLap", "Driver", "Position", F.col("LapNumber").alias("CompletedLaps"), behind.alias("LapsBehindLeader"), "Stint", "Compound", "TyreLife", "TrackStatus",
         F.col("LapTimeSeconds").alias("LastLapTimeSeconds"), "CumulativeLapTimeSeconds", ((F.col("Position") == 1) & (behind == 0)).alias("IsLeader"), F.col("SnapshotLap").alias("DataAvailableThroughLap"),
-    )
+    ]
 
 
-def check_replay(replay: DataFrame, race_keys: Sequence[str] = RACE) -> DataFrame:
-    """Rules that a replay must keep, broken ones per race. Unknown laps don't break the cutoff or the deficit."""
+def row_rules() -> list[Rule]:
+    """Rules that each row of a replay must keep. Unknown laps don't break the cutoff or the deficit."""
     c = F.col
-    rules = [
-        Rule("duplicate_snapshot_driver", "error", "a driver is in a snapshot more than once", c("_copies")),
+    return [
         Rule("completed_beyond_snapshot", "error", "a driver has more laps than the snapshot", c("CompletedLaps") > c("SnapshotLap")),
         Rule("negative_deficit", "error", "a driver is ahead of the leader", c("LapsBehindLeader") < 0),
         Rule("availability_mismatch", "error", "the availability isn't the snapshot's lap", F.coalesce(c("DataAvailableThroughLap") != c("SnapshotLap"), F.lit(True))),
     ]
-    rows = violations(replay.withColumn("_copies", repeated(*race_keys, "SnapshotLap", "Driver")), rules, race_keys)
+
+
+def check_replay(replay: DataFrame, race_keys: Sequence[str] = RACE) -> DataFrame:
+    """Rules that a replay must keep, broken ones per race."""
+    again = Rule("duplicate_snapshot_driver", "error", "a driver is in a snapshot more than once", F.col("_copies"))
+    rows = violations(replay.withColumn("_copies", repeated(*race_keys, "SnapshotLap", "Driver")), [again, *row_rules()], race_keys)
     return rows.unionByName(leader_count_check(replay, race_keys))
 
 
@@ -130,22 +179,45 @@ def one_each(df: DataFrame, flag: str, code: str, message: str, race_keys: Seque
     return violations(per, [Rule(code, "error", message, F.col("_n") != 1)], race_keys)
 
 
+def replay_rows(stream: DataFrame, race_keys: Sequence[str] = RACE, more: Sequence[str] = ()) -> DataFrame:
+    """The replay of a merged stream."""
+    rows = stream.filter((F.col("_kind") == SNAPSHOT) & F.col("_last").isNotNull()).select(
+        *race_keys, "Driver", "_last.*", F.col("_snapshot").alias("SnapshotLap"), F.when(F.col("_missing") == 0, F.col("_sum")).alias("CumulativeLapTimeSeconds"), *more)
+    return rows.select(*snapshot_cells(race_keys), *more)
+
+
+def watched_laps(checks: Checks, laps: DataFrame, race_keys: Sequence[str] = RACE) -> DataFrame:
+    return checks.watch(laps, [(r.code, r.message, r.breaks) for r in input_rules(laps, race_keys)], ReplayError, "the lap table is empty")
+
+
+def watched_races(checks: Checks, races: DataFrame) -> DataFrame:
+    """A race has one leader a snapshot where no more rows lead than there are leader laps, and one at least."""
+    none = F.size("_spine") == 0
+    return checks.watch(races, [("no_leader", "no leader lap is in the range", none & (F.size("_drivers") > 0)), ("leader_count", "snapshots haven't exactly one leader", F.col("_leaders") != F.size("_spine"))], ReplayError)
+
+
+def watched_stream(checks: Checks, stream: DataFrame) -> DataFrame:
+    return checks.watch(stream, [
+        ("duplicate_driver_lap", "a driver has a lap more than once", F.col("_again") & (F.col("_kind") == LAP)), ("duplicate_snapshot_driver", "a driver is in a snapshot more than once", F.col("_again") & (F.col("_kind") == SNAPSHOT)),
+    ], ReplayError)
+
+
 def build_race_replay(laps: DataFrame, race_keys: Sequence[str] = RACE, start_lap: int = 1, end_lap: int | None = None, check: bool = True) -> DataFrame:
-    """One row per race, leader lap and driver. ``check`` raises on broken rules of the laps or the result; without it the plan is lazy."""
+    """One row per race, leader lap and driver. Without ``check`` the plan is lazy.
+
+    ``check`` runs it once, into a draft in the shared folder, and raises on broken rules of the laps or the result.
+    """
     require_columns(laps, [*race_keys, *REPLAY_INPUT], ReplayError, "lap table")
-    if check:
-        if laps.isEmpty():
-            raise ReplayError("the lap table is empty")
-        enforce(check_input(laps, race_keys), ReplayError)
     ready = prepared_laps(laps, race_keys)
-    spine = snapshot_spine(ready, race_keys, start_lap, end_lap)
-    replay = snapshot_columns(snapshot_asof_join(running(ready, race_keys), spine, race_keys), race_keys)
-    if check:
-        bare = ready.select(*race_keys).distinct().join(spine, list(race_keys), "left_anti").limit(1).collect()
-        if bare:
-            raise ReplayError(f"no leader lap is in the range for {tuple(bare[0])}")
-        enforce(check_replay(replay, race_keys), ReplayError)
-    return replay
+    races = race_spines(ready, race_keys, start_lap, end_lap)
+    if not check:
+        return replay_rows(merged(ready, races, race_keys), race_keys)
+    checks = Checks()
+    ready = prepared_laps(watched_laps(checks, laps, race_keys), race_keys)
+    races = watched_races(checks, races)
+    replay = replay_rows(watched_stream(checks, merged(ready, races, race_keys)), race_keys)
+    replay = checks.watch(replay, [(r.code, r.message, r.breaks) for r in row_rules()], ReplayError)
+    return checks.staged(replay, "replay")
 
 
 def sort_replay(replay: DataFrame, race_keys: Sequence[str] = RACE) -> DataFrame:

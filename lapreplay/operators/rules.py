@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from lapreplay.schemas import RACE, RaceDataError
 
 ISSUES = ("code", "severity", "message", "affected_rows")
+#: As ``row_id``: rows are known by the file that holds them and their place in it.
+STORED = "_metadata"
+PLACE = "_place"
 
 
 class Rule(NamedTuple):
@@ -40,6 +43,12 @@ def violations(df: DataFrame, rules: Sequence[Rule], keys: Sequence[str] = RACE,
     return out.join(listed, same, "left").select(*keys, *ISSUES, "sample_rows")
 
 
+def with_stored_place(df: DataFrame) -> DataFrame:
+    """Adds ``_place``, file name and row number, to rows that come from files, in whatever order: texts that sort as the rows are stored."""
+    place = F.concat_ws(":", F.element_at(F.split("_metadata.file_path", "/"), -1), F.lpad(F.col("_metadata.row_index").cast("string"), 12, "0"))
+    return df.select("*", place.alias(PLACE))
+
+
 def enforce(issues: DataFrame, error: type[RaceDataError]) -> None:
     """Raise ``error`` naming the first broken rules of severity error; warnings never raise."""
     found = issues.filter("severity = 'error'").limit(5).collect()

@@ -28,18 +28,24 @@ def prepared_results(results: DataFrame, race_keys: Sequence[str] = RACE) -> Dat
     return results.select(*race_keys, coerce.text(F.col(name), upper=True).alias("Driver"), F.col("Position").alias("_raw"), coerce.number(F.col("Position")).alias("_n"), coerce.whole(F.col("Position")).alias("FinalPosition"))
 
 
+def result_rules(results: DataFrame) -> list[Rule]:
+    """Rules that each row of results must keep: a driver and a positive whole position."""
+    n = coerce.number(F.col("Position"))
+    return [
+        Rule("missing_driver", "error", "no driver is named", coerce.text(F.col(driver_column(results))).isNull()),
+        Rule("missing_position", "error", "the final position is missing or no number", n.isNull()),
+        Rule("non_positive_position", "error", "the final position is zero or less", n <= 0),
+        Rule("fractional_position", "error", "the final position isn't whole", coerce.fractional(n)),
+    ]
+
+
 def check_results(results: DataFrame, race_keys: Sequence[str] = RACE) -> DataFrame:
     """Broken rules of results: every driver once with a positive whole position, one winner a race."""
-    df = prepared_results(results, race_keys).withColumn("_copies", repeated(*race_keys, "Driver"))
+    df = prepared_results(results, race_keys)
+    marked = results.withColumn("_driver", coerce.text(F.col(driver_column(results)), upper=True)).withColumn("_copies", repeated(*race_keys, "_driver"))
+    again = Rule("duplicate_driver", "error", "a driver is classified more than once", F.col("_driver").isNotNull() & F.col("_copies"))
     c = F.col
-    rules = [
-        Rule("missing_driver", "error", "no driver is named", c("Driver").isNull()),
-        Rule("missing_position", "error", "the final position is missing or no number", c("_n").isNull()),
-        Rule("non_positive_position", "error", "the final position is zero or less", c("_n") <= 0),
-        Rule("fractional_position", "error", "the final position isn't whole", coerce.fractional(c("_n"))),
-        Rule("duplicate_driver", "error", "a driver is classified more than once", c("Driver").isNotNull() & c("_copies")),
-    ]
-    return violations(df, rules, race_keys).unionByName(winners(df, c("FinalPosition") == 1, race_keys))
+    return violations(marked, [*result_rules(results), again], race_keys).unionByName(winners(df, c("FinalPosition") == 1, race_keys))
 
 
 def winners(df: DataFrame, flag, race_keys: Sequence[str] = RACE) -> DataFrame:

@@ -6,22 +6,26 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lapreplay.functions import coerce
-from lapreplay.operators.rules import Rule, enforce, repeated, violations
+from lapreplay.operators.rules import PLACE, STORED, Rule, duplicate_keys, enforce, repeated, violations, with_stored_place
 from lapreplay.schemas import LAP_COLUMNS, RACE, LapValidationError
 
 
+def copies_rule() -> Rule:
+    return Rule("duplicate_driver_lap_rows", "error", "a driver has a lap more than once", F.col("_copies"))
+
+
 def lap_rules(df: DataFrame) -> list[Rule]:
-    """Rules for the columns that ``df`` has; it needs ``_copies`` and ``_drivers`` where it has drivers."""
+    """Rules for the columns that ``df`` has; it needs ``_drivers`` where it has drivers."""
     kinds, c = {f.name: f.dataType for f in df.schema.fields}, F.col
     have = lambda *names: all(n in kinds for n in names)
     blank = lambda n: F.coalesce(coerce.trimmed(c(n)) == "", F.lit(True))
     out = []
-    if have("Driver", "LapNumber"):
-        out.append(Rule("duplicate_driver_lap_rows", "error", "a driver has a lap more than once", c("_copies")))
+    if have("_copies"):
+        out.append(copies_rule())
     if have("Driver"):
         out += [
             Rule("missing_driver", "error", "no driver is named", blank("Driver")),
@@ -60,36 +64,48 @@ def lap_rules(df: DataFrame) -> list[Rule]:
 
 
 def validate_laps(laps: DataFrame, race_keys: Sequence[str] = RACE, row_id: str | None = None) -> DataFrame:
-    """Broken rules of each race. An empty table, absent columns and names used twice are reported for the table, under null keys.
+    """Broken rules of each race; with ``row_id`` (a column, or STORED for rows read from files) also the first rows that break each.
+ An empty table, names used twice and absent columns are reported for the table, under null keys.
 
-    Rows without race keys are a race of their own. Laps shuffle once, on race and driver, for the copies; drivers are
-    counted from the same partitions.
+    An empty table has no other issue, nor has one with a name used twice; both of those and absent columns affect all rows of
+    the table. Rows without race keys are a race of their own. Copies are counted from the keys alone, unless samples of rows
+    are asked for.
     """
-    spark = laps.sparkSession
-    kinds = ", ".join(f"{k} string" for k in race_keys)
-    row = lambda code, message, n: spark.createDataFrame([(*[None] * len(race_keys), code, "error", message, n)], f"{kinds}, code string, severity string, message string, affected_rows long")
+    whole = laps.agg(F.count(F.lit(1)).alias("affected_rows")).filter("affected_rows > 0")
+    note = lambda code, message: whole.select(*table_keys(laps, race_keys), F.lit(code).alias("code"), F.lit("error").alias("severity"), F.lit(message).alias("message"), "affected_rows")
     twice = sorted({x for x in laps.columns if laps.columns.count(x) > 1})
     if twice:
-        return row("duplicate_column_names", f"columns appear twice: {', '.join(twice)}", laps.count())
+        return note("duplicate_column_names", f"columns appear twice: {', '.join(twice)}").unionByName(empty_table(laps, race_keys))
     missing = [x for x in LAP_COLUMNS if x not in laps.columns]
-    df = laps
+    if row_id == STORED:
+        laps, row_id = with_stored_place(laps), PLACE
+    df, key = laps, [*race_keys, "Driver", "LapNumber"]
+    keyed = all(k in laps.columns for k in key)
     if "Driver" in df.columns:
-        if "LapNumber" in df.columns:
-            df = df.withColumn("_copies", repeated(*race_keys, "Driver", "LapNumber"))
+        if keyed and row_id is not None:
+            df = df.withColumn("_copies", repeated(*key))
         drivers = laps.groupBy(*[F.col(k).alias(f"_of_{k}") for k in race_keys]).agg(F.countDistinct("Driver").alias("_drivers"))
         df = df.join(drivers, reduce(and_, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in race_keys]), "left")
     out = violations(df, lap_rules(df), race_keys, row_id).unionByName(empty_table(laps, race_keys), allowMissingColumns=True)
+    if keyed and row_id is None:
+        rule = copies_rule()
+        copies = duplicate_keys(laps, key).groupBy(*race_keys).agg(F.sum("copies").alias("affected_rows"))
+        out = out.unionByName(copies.select(*race_keys, *[F.lit(getattr(rule, x)).alias(x) for x in ("code", "severity", "message")], "affected_rows"))
     if missing:
-        note = row("missing_required_columns", f"columns are absent: {', '.join(missing)}", 0)
-        out = out.unionByName(note, allowMissingColumns=True)
+        out = out.unionByName(note("missing_required_columns", f"columns are absent: {', '.join(missing)}"), allowMissingColumns=True)
     return out
 
 
+def table_keys(laps: DataFrame, race_keys: Sequence[str]) -> list[Column]:
+    """Null race keys, of the table's types."""
+    kind = lambda k: laps.schema[k].dataType if laps.columns.count(k) == 1 else "string"
+    return [F.lit(None).cast(kind(k)).alias(k) for k in race_keys]
+
+
 def empty_table(laps: DataFrame, race_keys: Sequence[str] = RACE) -> DataFrame:
     """One row under null keys where the whole table is empty; at most one row of each partition is read."""
     any_row = laps.select(F.lit(1).alias("_any")).limit(1).agg(F.count("*").alias("affected_rows")).filter("affected_rows = 0")
-    keys = [F.lit(None).cast(laps.schema[k].dataType if k in laps.columns else "string").alias(k) for k in race_keys]
-    return any_row.select(*keys, F.lit("empty_lap_table").alias("code"), F.lit("error").alias("severity"), F.lit("there are no laps").alias("message"), "affected_rows")
+    return any_row.select(*table_keys(laps, race_keys), F.lit("empty_lap_table").alias("code"), F.lit("error").alias("severity"), F.lit("there are no laps").alias("message"), "affected_rows")
 
 
 def column_report(df: DataFrame, needed: Sequence[str], race_keys: Sequence[str] = RACE) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lapreplay.operators.clean import clean_laps
-from lapreplay.operators.dataset import build_race_dataset
+from lapreplay.operators.dataset import planned_dataset
 from lapreplay.operators.rules import enforce
 from lapreplay.operators.validate import empty_tables
 from lapreplay.schemas import RaceDataError
@@ -25,12 +25,12 @@ def prepare_race_data(laps: DataFrame, sessions: DataFrame, output: str, overwri
 
 
 def build_and_save_race_dataset(laps: DataFrame, results: DataFrame, sessions: DataFrame, output: str, start_lap: int = 1, end_lap: int | None = None, overwrite: bool = False) -> DataFrame:
-    """Clean, replay, label and identify all races, check the result once, write it; returns the manifests."""
+    """Clean, replay, label and identify all races, checked while they are written; returns the manifests."""
     for table in (laps, results):
         enforce(empty_tables(sessions, table), RaceDataError)
     cleaned = clean_laps(laps).laps
-    dataset = build_race_dataset(cleaned, results, sessions, start_lap, end_lap, check=True)
-    return io.write_race_dataset(dataset, output, overwrite, check=False)
+    dataset, checks = planned_dataset(cleaned, results, sessions, start_lap, end_lap)
+    return io.write_race_dataset(dataset, output, overwrite, check=False, checks=checks)
 
 
 def load_corpus(spark: SparkSession, *paths: str) -> DataFrame:

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -18,6 +15,7 @@ from lapreplay.operators import clean, corpus, dataset, profile, replay, rules,
 from lapreplay.plans import flows
 from lapreplay.schemas import DATASET, LAP_COLUMNS, METADATA, REPLAY
 from lapreplay.sources import io
+from lapreplay.sources.staging import folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -35,16 +33,6 @@ def query(sql: str | None = None, more: str = ""):
     return add
 
 
-def folder(spark: SparkSession, name: str) -> str:
-    """A fresh path that the driver and all executors see. Only a driver without executors may use its own folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = f"file://{tempfile.mkdtemp(prefix='lapreplay-')}"
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def cols(*names: str) -> str:
     return ", ".join(f'"{n}"' for n in names)
 
@@ -79,12 +67,20 @@ def the_dataset(spark, sf_dir):
 @query(f"""SELECT {cols("RaceId", "Driver", "LapNumber", "Position")} FROM laps WHERE "RaceId" IN (SELECT "RaceId" FROM sessions WHERE "Season" = 2024 AND "RoundNumber" = 3)""")
 def scan_session(spark, sf_dir):
     root = folder(spark, "landed")
-    for name, df in (("laps", fixtures.laps(spark, sf_dir)), ("results", fixtures.results(spark, sf_dir))):
-        df.write.parquet(f"{root}/{name}")
+    io.land_tables({"laps": fixtures.laps(spark, sf_dir), "results": fixtures.results(spark, sf_dir)}, fixtures.sessions(spark, sf_dir), root)
     chosen = io.session_selection(fixtures.sessions(spark, sf_dir), 2024, 3, seasons=(2023, 2024))
     return io.scan_session(spark, root, chosen, weather=False, messages=False)["laps"].select("RaceId", "Driver", "LapNumber", "Position")
 
 
+@query(f"""SELECT {cols("RaceId", "Driver", "LapNumber", "Position")} FROM laps WHERE "RaceId" IN (SELECT "RaceId" FROM sessions WHERE "Season" = 2023)""")
+def scan_season(spark, sf_dir):
+    """More sessions than a filter on partitions may name: the join prunes."""
+    root, s = folder(spark, "landed"), fixtures.sessions(spark, sf_dir)
+    io.land_tables({"laps": fixtures.laps(spark, sf_dir)}, s, root)
+    chosen = io.session_selection(s, 2023, seasons=(2023, 2024))
+    return io.scan_session(spark, root, chosen, ["laps"], most=3)["laps"].select("RaceId", "Driver", "LapNumber", "Position")
+
+
 @query(f"""SELECT {cols(*METADATA)} FROM sessions WHERE "Season" = 2023 AND "EventName" = 'Day 2024-01-05'""")
 def session_selection(spark, sf_dir):
     return io.session_selection(fixtures.sessions(spark, sf_dir), None, " Day 2024-01-05 ", seasons=(2023, 2024), default_season=2023).select(*METADATA)
@@ -196,6 +192,30 @@ def atomic_commit(spark, sf_dir):
     return manifest.join(now, "race_id").select("race_id", "row_count", "replaced")
 
 
+@query("""SELECT "RaceId" AS race_id, "RoundNumber" <> 5 AS same FROM sessions""")
+def tree_checksum(spark, sf_dir):
+    """Trees of digests of all files, of a dataset and of one in which a label of the fifth round is changed."""
+    paths = [stored(spark, sf_dir), folder(spark, "other")]
+    other = the_dataset(spark, sf_dir).withColumn("TyreLife", F.when(F.col("RoundNumber") == 5, F.col("TyreLife") + 1).otherwise(F.col("TyreLife")))
+    io.write_race_dataset(other, paths[1], check=False)
+    a, b = (io.race_checksums(spark, p, whole=0, leaf=1 << 14).select("race_id", F.col("dataset_sha256").alias(n)) for p, n in zip(paths, "ab", strict=True))
+    return a.join(b, "race_id").select("race_id", (F.col("a") == F.col("b")).alias("same"))
+
+
+@query("""SELECT "RaceId" AS race_id, count(*) AS row_count, "Season" = 2024 AS replaced FROM data GROUP BY 1, "Season" """, DATA)
+def recovered_publication(spark, sf_dir):
+    """A writer has noted that it publishes one season's races, and died before it moved any: the next reader moves them."""
+    path, d = stored(spark, sf_dir), the_dataset(spark, sf_dir)
+    new = d.filter("Season = 2024").withColumn("EventName", F.concat(F.lit("New "), "EventName"))
+    draft = f"{path}-draft-lost"
+    io.write_draft(new, path, draft, check=False)
+    io.noted(spark, io._folder(spark, path)[0], path, draft)
+    io.recover(spark, path, lease=0)
+    manifest = io.read_manifest(spark, path).join(io.verify_checksum(spark, path).filter("verified"), "race_id")
+    now = io.read_race_dataset(spark, path, check=False).groupBy(F.col("RaceId").alias("race_id")).agg(F.min(F.col("EventName").startswith("New ")).alias("replaced"))
+    return manifest.join(now, "race_id").select("race_id", "row_count", "replaced")
+
+
 @query("SELECT * FROM data", DATA)
 def overwrite_guard(spark, sf_dir):
     path = stored(spark, sf_dir)
@@ -559,6 +579,18 @@ def sample_rows(spark, sf_dir):
     return found.select("RaceId", "code", F.concat_ws(",", "sample_rows").alias("samples"))
 
 
+@query(_SAMPLES)
+def sample_stored_rows(spark, sf_dir):
+    """The rows are known by their files; the laps are stored in the order of their events and read in another."""
+    path = folder(spark, "laps")
+    fixtures.laps_raw(spark, sf_dir).coalesce(1).sortWithinPartitions("event_id").write.parquet(path)
+    laps = spark.read.parquet(path)
+    found = validate.validate_laps(laps, row_id=rules.STORED).filter("code = 'negative_tyre_life'").select("RaceId", "code", F.explode("sample_rows").alias(rules.PLACE))
+    events = rules.with_stored_place(laps).select(rules.PLACE, "event_id")
+    found = found.join(events, rules.PLACE).groupBy("RaceId", "code").agg(F.transform(F.array_sort(F.collect_list("event_id")), lambda x: x.cast("string")).alias("s"))
+    return found.select("RaceId", "code", F.concat_ws(",", "s").alias("samples"))
+
+
 @query(_SAMPLES.replace("<= 5", "<= 2"))
 def top5_sample(spark, sf_dir):
     bad = [rules.Rule("negative_tyre_life", "error", "below zero", coerce.number(F.col("TyreLife")) < 0)]
@@ -665,6 +697,26 @@ def empty_lap_table(spark, sf_dir):
     return validate.validate_laps(fixtures.laps_raw(spark, sf_dir).filter("Stint = '-9'")).select("RaceId", "code", "affected_rows")
 
 
+@query("""SELECT NULL::VARCHAR AS "RaceId", 'duplicate_column_names' AS code, count(*) AS affected_rows FROM laps_raw""")
+def duplicate_column_names(spark, sf_dir):
+    """Nothing else is looked at in a table that has a name twice."""
+    return validate.validate_laps(fixtures.laps_raw(spark, sf_dir).select("*", "Stint").drop("Compound")).select("RaceId", "code", "affected_rows")
+
+
+@query("""SELECT "RaceId", code, affected_rows FROM issues WHERE code NOT IN ('missing_tyre_compound', 'invalid_stint_number') UNION ALL SELECT NULL, 'missing_required_columns', count(*) FROM laps_raw""", _RULES)
+def missing_required_columns(spark, sf_dir):
+    """Two columns are absent: all rows are affected, and the other columns' rules still count."""
+    return validate.validate_laps(fixtures.laps_raw(spark, sf_dir).drop("Compound", "Stint")).select("RaceId", "code", "affected_rows")
+
+
+@query("""SELECT "RaceId", code, count(*) AS affected_rows FROM (SELECT "RaceId", 'missing_target' AS code FROM results WHERE "Position" % 7 = 0 UNION ALL SELECT "RaceId", 'duplicate_driver' FROM results, (VALUES (1), (2)) WHERE "Position" = 2 UNION ALL SELECT DISTINCT "RaceId", 'winner_count' FROM results WHERE "RaceId" LIKE '2024%') GROUP BY ALL""")
+def check_winner_targets(spark, sf_dir):
+    """Some labels are missing, some drivers have two, and one season's races have no winner."""
+    t = targets.build_winner_targets(fixtures.results(spark, sf_dir), check=False).join(fixtures.results(spark, sf_dir).select("RaceId", F.col("Abbreviation").alias("Driver"), "Position"), ["RaceId", "Driver"])
+    t = t.withColumn("WonRace", F.when(F.col("Position") % 7 != 0, F.col("WonRace") & ~F.col("RaceId").startswith("2024")))
+    return targets.check_targets(t.unionByName(t.filter("Position = 2"))).select("RaceId", "code", "affected_rows")
+
+
 @query("""SELECT "RaceId", code, count(*) AS affected_rows FROM (SELECT CASE WHEN "RaceId" LIKE '2023%' THEN "RaceId" END AS "RaceId", unnest(CASE WHEN "TyreLife" = '-2' THEN ['negative_tyre_life'] ELSE [] END || CASE WHEN trim("Driver") = '' THEN ['missing_driver'] ELSE [] END) AS code FROM laps_raw) GROUP BY 1, 2""")
 def laps_without_race(spark, sf_dir):
     """Laps of one season have lost their race; their broken rules still count."""

@@ -1,21 +1,27 @@
 """Landed tables in, datasets and their manifests out.
 
-Tables are folders of Parquet below one root. A dataset and its manifests are written beside their place, checked against
-each other, and moved there race by race; a move that fails puts back what was there.
+Tables are folders of Parquet below one root, by season and round. A dataset and its manifests are written beside their place, checked
+there, and moved into it race by race under a note that says so: a move that fails is undone, and one that was never made is
+made by the next reader.
 """
 
 from __future__ import annotations
 
+import json
+import time
 import uuid
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lapreplay.functions import coerce
 from lapreplay.operators.corpus import sorted_for_storage
-from lapreplay.operators.dataset import require_sessions, validate_race_dataset
+from lapreplay.operators.dataset import require_schema, require_sessions, validate_race_dataset
 from lapreplay.schemas import DATASET, DATASET_SCHEMA, METADATA, SESSION_TYPES, TARGET, ArtifactError, RaceDataError
+from lapreplay.sources.staging import Checks
 
 SCHEMA_VERSION = 1
 MANIFEST = (
@@ -61,10 +67,43 @@ def main_races(sessions: DataFrame) -> DataFrame:
     return sessions.filter(session_type(F.col("SessionType")) == "R")
 
 
-def scan_session(spark: SparkSession, root: str, chosen: DataFrame, tables: Sequence[str] = ("laps", "results", "weather", "messages"), **wanted: bool) -> dict[str, DataFrame]:
-    """The tables of the chosen sessions, each read only if wanted (``laps=False`` leaves laps out). Semi-joins prune races."""
+def land_tables(tables: Mapping[str, DataFrame], sessions: DataFrame, root: str, overwrite: bool = False) -> None:
+    """Write tables below ``root``, a folder for each season and round, so that a scan of some sessions opens these alone.
+
+    Rows of races that no session knows are an error: they have no place.
+    """
+    places = sessions.select("RaceId", F.col("Season").cast("int").alias("_season"), F.col("RoundNumber").cast("int").alias("_round"))
+    for name, df in tables.items():
+        overwrite_guard(df.sparkSession, [f"{root}/{name}"], overwrite)
+        require_sessions(df, sessions, ArtifactError)
+        write = df.join(places, "RaceId").write.partitionBy("_season", "_round").option("partitionOverwriteMode", "dynamic")
+        write.mode("overwrite" if overwrite else "errorifexists").parquet(f"{root}/{name}")
+
+
+def in_places(places: Sequence[tuple[int, int]]) -> Column:
+    """A filter on partitions: the given seasons and rounds."""
+    seasons: dict[int, list[int]] = {}
+    for season, number in places:
+        seasons.setdefault(season, []).append(number)
+    return reduce(or_, [(F.col("_season") == s) & F.col("_round").isin(sorted(n)) for s, n in seasons.items()], F.lit(False))
+
+
+def scan_session(spark: SparkSession, root: str, chosen: DataFrame, tables: Sequence[str] = ("laps", "results", "weather", "messages"), most: int = 10_000, **wanted: bool) -> dict[str, DataFrame]:
+    """The tables of the chosen sessions, each read only if wanted (``laps=False`` leaves laps out).
+
+    Of tables landed by season and round only the folders of the chosen sessions are listed in the plan and read: up to ``most``
+    sessions by a filter on partitions, more by a join on them, which Spark turns into such a filter when it runs. A semi-join on the
+    race keeps other races of a folder out.
+    """
     names = [t for t in tables if wanted.get(t, True)]
-    return {t: spark.read.parquet(f"{root}/{t}").join(chosen.select("RaceId"), "RaceId", "left_semi") for t in names}
+    keys = chosen.select("RaceId", *[F.col(c).cast("int").alias(n) for c, n in (("Season", "_season"), ("RoundNumber", "_round")) if c in chosen.columns])
+    found = {t: spark.read.parquet(f"{root}/{t}") for t in names}
+    landed = [t for t, df in found.items() if len(keys.columns) == 3 and {"_season", "_round"} <= {*df.columns}]
+    places = keys.select("_season", "_round").distinct().limit(most + 1).collect() if landed else []
+    for t in landed:
+        if len(places) <= most:
+            found[t] = found[t].filter(in_places([tuple(p) for p in places]))
+    return {t: df.join(keys, keys.columns if t in landed else "RaceId", "left_semi").select(*[c for c in df.columns if c not in ("_season", "_round")]) for t, df in found.items()}
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -107,44 +146,91 @@ def cleaning_report(cleaned: DataFrame, before: DataFrame, after: DataFrame, ses
     return out.withColumns({"columns": F.array(*[F.lit(f.name) for f in fields]), "dtypes": dtypes})
 
 
-def write_race_dataset(dataset: DataFrame, path: str, overwrite: bool = False, check: bool = True) -> DataFrame:
+def write_race_dataset(dataset: DataFrame, path: str, overwrite: bool = False, check: bool = True, checks: Checks | None = None) -> DataFrame:
     """Write datasets by season and round, with their manifests below ``<path>-manifest``; returns the manifests.
 
-    All is written and read back beside ``path`` first. Overwriting replaces the written races, data and manifest, and leaves
-    others. What fails on the way leaves both folders as they were.
+    All is written to a draft beside ``path``, checked there (``checks``: rules that the write itself measures) and published as a
+    whole. Overwriting replaces the written races, data and manifest, and leaves others. What fails on the way leaves both folders as
+    they were; what dies while it publishes is finished by whoever opens the dataset next.
     """
     spark = dataset.sparkSession
+    recover(spark, path)
     overwrite_guard(spark, [path, f"{path}-manifest"], overwrite)
     if check:
-        validate_race_dataset(dataset)
+        require_schema(dataset)
     draft = f"{path}-draft-{uuid.uuid4().hex}"
     try:
-        stored = dataset.withColumns({"_season": F.col("Season"), "_round": F.col("RoundNumber")})
-        sorted_for_storage(stored).write.partitionBy("_season", "_round").parquet(f"{draft}/data")
-        manifest = dataset_manifest(read_race_dataset(spark, f"{draft}/data", check=False), path).drop("dataset_sha256")
-        sums = race_checksums(spark, f"{draft}/data")
-        manifest = manifest.join(sums, "race_id").select(*[f.name for f in spark.createDataFrame([], MANIFEST).schema], "_season", "_round")
-        manifest.repartition("_season", "_round").write.partitionBy("_season", "_round").json(f"{draft}/manifest")
-        publish(spark, [(f"{draft}/data", path), (f"{draft}/manifest", f"{path}-manifest")], f"{draft}/replaced")
+        write_draft(dataset, path, draft, check, checks)
+        publish(spark, path, draft)
     finally:
         _folder(spark, draft)[0].delete(_folder(spark, draft)[1], True)
     return read_manifest(spark, path)
 
 
+def write_draft(dataset: DataFrame, path: str, draft: str, check: bool = True, checks: Checks | None = None) -> None:
+    """Write what is to be published at ``path`` to ``draft``: ``data`` and ``manifest`` by season and round. Raises on broken rules."""
+    spark = dataset.sparkSession
+    stored = dataset.withColumns({"_season": F.col("Season"), "_round": F.col("RoundNumber")})
+    sorted_for_storage(stored).write.partitionBy("_season", "_round").parquet(f"{draft}/data")
+    if checks:
+        checks.enforce()
+    written = spark.read.schema(DATASET_SCHEMA).parquet(f"{draft}/data").select(*DATASET)
+    if check:
+        validate_race_dataset(written)
+    manifest = dataset_manifest(written, path).drop("dataset_sha256")
+    sums = race_checksums(spark, f"{draft}/data")
+    manifest = manifest.join(sums, "race_id").select(*[f.name for f in spark.createDataFrame([], MANIFEST).schema], "_season", "_round")
+    manifest.repartition("_season", "_round").write.partitionBy("_season", "_round").json(f"{draft}/manifest")
+
+
 def _folder(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
-def publish(spark: SparkSession, moves: Sequence[tuple[str, str]], replaced: str) -> None:
-    """Move each season's rounds from a draft to its place; what was there waits in ``replaced`` and comes back on failure.
+#: Seconds after which a note of a publication belongs to a writer that has died.
+LEASE = 600
+
 
-    Only folders are renamed, two a race; a driver that dies midway leaves whole races of one or the other state and the
-    replaced ones in the draft.
+def publish(spark: SparkSession, path: str, draft: str) -> None:
+    """Move a draft's races, data and manifests, to their place.
+
+    A note in ``<path>-publish`` comes first: from then on the draft is the dataset's next state, and whoever finds the note
+    after its writer has died makes the moves that are left. Only folders are renamed, two a race. Where a move fails, all are
+    undone and the note is removed.
     """
-    fs, _ = _folder(spark, replaced)
-    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs, hadoop = _folder(spark, path)[0], spark._jvm.org.apache.hadoop.fs.Path
+    note = noted(spark, fs, path, draft)
     done: list[tuple] = []
+    try:
+        moved(spark, fs, path, draft, done)
+    except Exception:
+        for a, b in reversed(done):
+            fs.rename(b, a)
+        fs.delete(note, False)
+        for folder in (note.getParent(), hadoop(path), hadoop(f"{path}-manifest")):
+            _forget_empty(fs, folder)
+        raise
+    fs.delete(note, False)
+    _forget_empty(fs, note.getParent())
+
+
+def noted(spark: SparkSession, fs, path: str, draft: str):
+    """The note of a publication: written in the draft and renamed, so that it is there as a whole or not at all."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    note = hadoop(f"{path}-publish/{uuid.uuid4().hex}")
+    out = fs.create(hadoop(f"{draft}/note"), False)
+    out.write(bytearray(json.dumps({"draft": draft}).encode()))
+    out.close()
+    fs.mkdirs(note.getParent())
+    if not fs.rename(hadoop(f"{draft}/note"), note):
+        raise ArtifactError(f"the publication of {draft} can't be noted")
+    return note
+
+
+def moved(spark: SparkSession, fs, path: str, draft: str, done: list[tuple]) -> None:
+    """Make the moves of a publication that are left to make. What was in a race's place goes to the draft's ``replaced`` first."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
 
     def move(a, b) -> None:
         fs.mkdirs(b.getParent())
@@ -152,22 +238,37 @@ def publish(spark: SparkSession, moves: Sequence[tuple[str, str]], replaced: str
             raise ArtifactError(f"{a} can't be moved to {b}")
         done.append((a, b))
 
-    try:
-        for k, (source, target) in enumerate(moves):
-            for season in fs.listStatus(path(source)):
-                if not season.isDirectory():
-                    continue
-                for part in fs.listStatus(season.getPath()):
-                    tail = f"{season.getPath().getName()}/{part.getPath().getName()}"
-                    if fs.exists(path(f"{target}/{tail}")):
-                        move(path(f"{target}/{tail}"), path(f"{replaced}/{k}/{tail}"))
-                    move(part.getPath(), path(f"{target}/{tail}"))
-    except Exception:
-        for a, b in reversed(done):
-            fs.rename(b, a)
-        for _, target in moves:
-            _forget_empty(fs, path(target))
-        raise
+    for kind, target in (("data", path), ("manifest", f"{path}-manifest")):
+        if not fs.exists(hadoop(f"{draft}/{kind}")):
+            continue
+        for season in fs.listStatus(hadoop(f"{draft}/{kind}")):
+            if not season.isDirectory():
+                continue
+            for part in fs.listStatus(season.getPath()):
+                tail = f"{season.getPath().getName()}/{part.getPath().getName()}"
+                if fs.exists(hadoop(f"{target}/{tail}")):
+                    move(hadoop(f"{target}/{tail}"), hadoop(f"{draft}/replaced/{kind}/{tail}"))
+                move(part.getPath(), hadoop(f"{target}/{tail}"))
+
+
+def recover(spark: SparkSession, path: str, lease: float | None = None) -> None:
+    """Finish publications whose writers have died, so that what is read is one whole state.
+
+    A note younger than ``lease`` seconds (``LEASE`` by default) may have a living writer: it is waited for.
+    """
+    lease = LEASE if lease is None else lease
+    fs, notes = _folder(spark, f"{path}-publish")
+    while fs.exists(notes) and (found := list(fs.listStatus(notes))):
+        for note in sorted(found, key=lambda f: f.getModificationTime()):
+            if time.time() - note.getModificationTime() / 1000 < lease:
+                time.sleep(0.2)
+                break
+            text = spark.read.text(note.getPath().toString(), wholetext=True).first()
+            draft = json.loads(text[0])["draft"]
+            moved(spark, fs, path, draft, [])
+            fs.delete(note.getPath(), False)
+            fs.delete(spark._jvm.org.apache.hadoop.fs.Path(draft), True)
+    _forget_empty(fs, notes)
 
 
 def _forget_empty(fs, folder) -> None:
@@ -183,6 +284,7 @@ def _forget_empty(fs, folder) -> None:
 
 def read_race_dataset(spark: SparkSession, path: str, check: bool = True) -> DataFrame:
     """Datasets of all races below ``path``."""
+    recover(spark, path)
     if not exists(spark, path):
         raise ArtifactError(f"there is no dataset at {path}")
     out = spark.read.schema(DATASET_SCHEMA).parquet(path).select(*DATASET)
@@ -197,13 +299,13 @@ def content_hash(df: DataFrame, key: str = "RaceId") -> DataFrame:
     return df.groupBy(key).agg(F.concat_ws(":", F.hex(F.bit_xor(row)), F.sum(row.cast("decimal(38,0)")).cast("string"), F.count("*").cast("string")).alias("content_hash"))
 
 
-def race_checksums(spark: SparkSession, path: str) -> DataFrame:
+def race_checksums(spark: SparkSession, path: str, **more: int) -> DataFrame:
     """``race_id, dataset_sha256, _season, _round`` of stored races: SHA-256 of the race's file, or of its files' sums where it has several.
 
     A folder holds one race; ``race_id`` comes from its rows.
     """
     at = lambda c, name: F.regexp_extract(c, rf"/{name}=(-?\d+)/", 1).cast("int").alias(f"{name}")
-    sums = file_checksums(spark, path).select(at("path", "_season"), at("path", "_round"), F.struct(F.element_at(F.split("path", "/"), -1), "sha256").alias("f"))
+    sums = file_checksums(spark, path, **more).select(at("path", "_season"), at("path", "_round"), F.struct(F.element_at(F.split("path", "/"), -1), "sha256").alias("f"))
     sums = sums.groupBy("_season", "_round").agg(F.transform(F.sort_array(F.collect_list("f")), lambda f: f["sha256"]).alias("sums"))
     sums = sums.select("_season", "_round", F.when(F.size("sums") == 1, F.get("sums", F.lit(0))).otherwise(F.sha2(F.concat_ws(",", "sums"), 256)).alias("dataset_sha256"))
     races = spark.read.schema(DATASET_SCHEMA).parquet(path).groupBy("RaceId", F.col("Season").alias("_season"), F.col("RoundNumber").alias("_round")).agg(F.lit(1).alias("_one")).drop("_one")
@@ -226,6 +328,7 @@ def dataset_manifest(dataset: DataFrame, path: str = "") -> DataFrame:
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """Manifests of the datasets at ``path``; anything that isn't such an object raises when read."""
+    recover(spark, path)
     if not exists(spark, f"{path}-manifest"):
         raise ArtifactError(f"there is no manifest at {path}-manifest")
     out = spark.read.schema(MANIFEST).option("mode", "FAILFAST").json(f"{path}-manifest")
@@ -234,15 +337,40 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 def verify_checksum(spark: SparkSession, path: str) -> DataFrame:
     """Whether the files of each race in the manifests still are what these say, by SHA-256. Files that are gone aren't."""
+    recover(spark, path)
     now = race_checksums(spark, path).select("race_id", F.col("dataset_sha256").alias("_now"))
     out = read_manifest(spark, path).join(now, "race_id", "left")
     return out.select("race_id", F.coalesce(F.col("_now") == F.col("dataset_sha256"), F.lit(False)).alias("verified"))
 
 
-def file_checksums(spark: SparkSession, path: str) -> DataFrame:
-    """SHA-256 of every Parquet file below ``path``. A task holds one file at a time, so files must fit its memory."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
-    return files.select("path", F.sha2("content", 256).alias("sha256"))
+def file_checksums(spark: SparkSession, path: str, whole: int = 64 << 20, leaf: int = 4 << 20) -> DataFrame:
+    """SHA-256 of every Parquet file below ``path``, ``path, sha256``: of its bytes up to ``whole`` bytes, of a tree of digests beyond.
+
+    No task holds a file: larger ones are read as lines, in as many pieces as Spark likes. A line's digest belongs to the stretch
+    of ``leaf`` bytes that it begins in, a stretch's digest is made of those of its lines in order, and the file's of its stretches' and its
+    length. So the digest depends on the bytes alone, not on how they were dealt. Digests of either kind differ in their first letter.
+    """
+    named = lambda r: r.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet")
+    small = named(spark.read.format("binaryFile")).load(path).filter(F.col("length") <= whole).select("path", F.sha2("content", 256).alias("sha256"))
+    return small.unionByName(tree_checksums(named(spark.read.option("lineSep", "\n")).text(path).filter(F.col("_metadata.file_size") > whole), leaf))
+
+
+def tree_checksums(lines: DataFrame, leaf: int) -> DataFrame:
+    """Digests of files that were read as lines: see ``file_checksums``."""
+    m = F.col("_metadata")
+    d = lines.select(
+        m["file_path"].alias("path"), m["file_size"].alias("length"), m["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("line"), (F.octet_length("value") + 1).cast("long").alias("bytes"),
+        F.sha2(F.col("value").cast("binary"), 256).alias("sum"),
+    )
+    inside = Window.partitionBy("path", "block").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumn("at", F.coalesce(F.sum("bytes").over(inside), F.lit(0)))
+    blocks = d.groupBy("path", "block").agg(F.sum("bytes").alias("size"))
+    earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each piece of a file
+    blocks = blocks.select("path", "block", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("before"))
+    d = d.join(blocks, ["path", "block"]).withColumn("at", F.col("at") + F.col("before"))
+    inner = lambda key, cells: F.sha2(F.concat_ws("", F.transform(F.sort_array(F.collect_list(F.struct(key, "sum"))), lambda x: x["sum"]), *cells), 256)
+    leaves = d.groupBy("path", "length", F.floor(F.col("at") / leaf).alias("leaf")).agg(inner("at", []).alias("sum"))
+    return leaves.groupBy("path", "length").agg(F.concat(F.lit("t"), inner("leaf", [F.first("length").cast("string")])).alias("sha256")).select("path", "sha256")
 
 
 def write_inventory(inventory: DataFrame, path: str, overwrite: bool = False) -> None:
