@@ -219,7 +219,7 @@ def grown(table: pa.Table, whole: pa.Table, discount: float) -> pa.Table:
     return pa.table({"shard": table.column("shard").slice(0, 1), "tokens": pa.array([sum(table.column("tokens").to_pylist())]), "trie": pa.array([np.array([len(trie)], "i8").tobytes() + pa.compress(trie, "zstd", asbytes=True)], pa.binary())})
 
 
-def token_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out=None, block_tokens: int = 1 << 20) -> DataFrame:
+def token_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out=None, block_tokens: int = 1 << 19) -> DataFrame:
     """``docs`` as written blocks of word numbers. ``held_out``: a condition on ``docs`` for texts that don't train."""
     if not 0 < block_tokens <= 1 << 20:
         raise ValueError("block_tokens must be in 1..1048576")
