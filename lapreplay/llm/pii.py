@@ -8,6 +8,7 @@ The same rows, kept out of the fit, calibrate a threshold for each kind of span.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 import numpy as np
@@ -26,7 +27,7 @@ PATTERNS = {
     "ip": r"(?:(?<![0-9])|\G)[0-9]++(?:\.[0-9]+){3}",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "contact": rf"(?:(?<![^\s@])|\G)(?:(?!{_AT})[^\s@])++(?:@|\x20?{_AT}\x20?(?:[^\s@]{{1,254}}+@)?)[^\s@]{{1,255}}",
+    "contact": rf"(?:(?<![^\s@])|\G)(?:(?!{_AT})[^\s@])++(?:@|\x20?{_AT}\x20?(?:[^\s@]++@)?)[^\s@]++",
     "key": r"(?:(?<![A-Za-z0-9_/+=-])|\G)[A-Za-z0-9_/+=-]{16,}+",
     "number": r"[0-9](?:[\x20().-]{0,2}[0-9])++",
 }
@@ -53,15 +54,52 @@ def matches(d: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
     gaps = [F.when(F.size(f"_m_{k}") > 0, F.split(text, PATTERNS[k], -1)).alias(f"_g_{k}") for k in kinds]
     d = d.select("*", *gaps)
 
+    # Lengths of each match with the gap before it, and where it ends.
+    gap = lambda k, i: F.coalesce(F.get(F.col(f"_g_{k}"), i), F.lit(""))
+    length = lambda k: lambda m, i: F.length(gap(k, i)) + F.length(m)
+    none = F.array().cast("array<int>")
+    d = d.select("*", *[F.coalesce(F.transform(f"_m_{k}", length(k)), none).alias(f"_l_{k}") for k in kinds])
+    d = d.select("*", *[running(F.col(f"_l_{k}")).alias(f"_e_{k}") for k in kinds])
+
     def placed(k: str) -> Column:
-        gap = lambda i: F.coalesce(F.get(F.col(f"_g_{k}"), i), F.lit(""))
-        part = lambda m, i: F.struct(F.length(gap(i)).alias("g"), m.alias("m"), F.right(gap(i), F.lit(30)).alias("before"), F.left(gap(i + 1), F.lit(1)).alias("after"))
-        empty = F.struct(F.lit(0).alias("p"), F.array().cast(SPAN).alias("out"))
-        span = lambda a, x: F.struct((a["p"] + x["g"]).alias("s"), (a["p"] + x["g"] + F.length(x["m"])).alias("e"), x["m"].alias("m"), x["before"].alias("before"), x["after"].alias("after"))
-        add = lambda a, x: F.struct((a["p"] + x["g"] + F.length(x["m"])).alias("p"), F.concat(a["out"], F.array(span(a, x))).alias("out"))
-        return F.coalesce(F.aggregate(F.transform(f"_m_{k}", part), empty, add, lambda a: a["out"]), F.array().cast(SPAN))
+        end = lambda i: F.coalesce(at_place(F.col(f"_e_{k}"), i), F.lit(0))
+        span = lambda m, i: F.struct((end(i) - F.length(m)).alias("s"), end(i).alias("e"), m.alias("m"), F.right(gap(k, i), F.lit(30)).alias("before"), F.left(gap(k, i + 1), F.lit(1)).alias("after"))
+        return F.coalesce(F.transform(f"_m_{k}", span), F.array().cast(SPAN))
+
+    return d.select("*", *[placed(k).alias(f"_f_{k}") for k in kinds]).drop(*[f"_{x}_{k}" for k in kinds for x in "mgle"])
+
+
+#: Items that a sweep takes at a time. Appending to an array copies it, so outputs are gathered by chunks: linear for any length.
+CHUNK = 256
+
+
+def swept(items: Column, state: Column, step: Callable[[Column, Column], tuple[Column, Column]], kind: str) -> Column:
+    """What a sweep over an array puts out, an array for each chunk of items. ``step``: from state and item to the next state and an array.
+
+    ``items`` is a plain column: it is named twice, so Spark makes it once, before.
+    """
+    none, several = F.array().cast(f"array<{kind}>"), F.array().cast(f"array<array<{kind}>>")
+    chunks = F.transform(F.sequence(F.lit(0), F.greatest(F.size(items) - 1, F.lit(0)), F.lit(CHUNK)), lambda i: F.slice(items, i + 1, CHUNK))
+
+    def one(a: Column, x: Column) -> Column:
+        then, out = step(a["st"], x)
+        return F.struct(then.alias("st"), F.concat(a["out"], out).alias("out"))
+
+    def chunk(a: Column, x: Column) -> Column:
+        inner = F.aggregate(x, F.struct(a["st"].alias("st"), none.alias("out")), one)
+        return F.get(F.transform(F.array(inner), lambda r: F.struct(r["st"].alias("st"), F.concat(a["out"], F.array(r["out"])).alias("out"))), F.lit(0))
+
+    return F.aggregate(chunks, F.struct(state.alias("st"), several.alias("out")), chunk, lambda a: a["out"])
+
+
+def running(lengths: Column) -> Column:
+    """Sums of an array of numbers up to each, by chunks."""
+    return swept(lengths, F.lit(0), lambda a, x: (a + x, F.array(a + x)), "int")
 
-    return d.select("*", *[placed(k).alias(f"_f_{k}") for k in kinds]).drop(*[f"_{x}_{k}" for k in kinds for x in "mg"])
+
+def at_place(chunks: Column, i: Column) -> Column:
+    """The element at ``i`` of what a sweep with one output for each item has put out."""
+    return F.get(F.get(chunks, (i / CHUNK).cast("int")), i % CHUNK)
 
 
 def luhn(digits: Column) -> Column:
@@ -258,32 +296,55 @@ def margin(c: Column, model: Trees) -> Column:
     return z - cut
 
 
-def chosen(model: Trees) -> Column:
-    """All spans to redact: the fixed formats, and beside them the candidates that the trees choose.
+def with_chosen(d: DataFrame, model: Trees) -> DataFrame:
+    """Adds ``_chosen``, all spans to redact: the fixed formats, and beside them the candidates that the trees choose.
 
     Chosen candidates that overlap make one span, of the kind of the longest; of equally long ones, of the kind that passes
     its threshold by most.
     """
     if not model.thresholds:
-        return F.col("_base")
-    beside = lambda c: ~F.exists("_base", lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"]))
-    judged = F.filter(F.transform("_cands", lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), c["k"].alias("k"), margin(c, model).alias("z"))), lambda c: (c["z"] >= 0) & beside(c))
+        return d.withColumn("_chosen", F.col("_base"))
+    judged = F.filter(F.transform("_cands", lambda c: F.struct(c["s"].alias("s"), F.lit(1).alias("c"), c["e"].alias("e"), c["k"].alias("k"), margin(c, model).alias("z"))), lambda c: c["z"] >= 0)
     span = lambda k, s, e: F.struct(k.alias("k"), s.alias("s"), e.alias("e"))
-    none = F.struct(F.array().cast("array<struct<k:int,s:int,e:int>>").alias("out"), F.lit(0).alias("k"), F.lit(0).alias("s"), F.lit(0).alias("e"), F.lit(0).alias("n"), F.lit(0.0).alias("z"))
-    done = lambda a: F.when(a["e"] > 0, F.concat(a["out"], F.array(span(a["k"], a["s"], a["e"])))).otherwise(a["out"])
+    none = F.struct(F.lit(0).alias("k"), F.lit(0).alias("s"), F.lit(0).alias("e"), F.lit(0).alias("n"), F.lit(0.0).alias("z"))
+    empty = F.array().cast("array<struct<k:int,s:int,e:int>>")
 
-    def add(a: Column, c: Column) -> Column:
+    def add(a: Column, c: Column) -> tuple[Column, Column]:
         touch = c["s"] < a["e"]
         pick = lambda x, y: F.when(touch, x).otherwise(y)
         size = c["e"] - c["s"]
         better = (size > a["n"]) | ((size == a["n"]) & (c["z"] > a["z"]))
         best = lambda x, y: pick(F.when(better, x).otherwise(y), x)
-        return F.struct(
-            pick(a["out"], done(a)).alias("out"), best(c["k"], a["k"]).alias("k"), pick(a["s"], c["s"]).alias("s"), pick(F.greatest(a["e"], c["e"]), c["e"]).alias("e"),
-            best(size, a["n"]).alias("n"), best(c["z"], a["z"]).alias("z"),
+        then = F.struct(
+            best(c["k"], a["k"]).alias("k"), pick(a["s"], c["s"]).alias("s"), pick(F.greatest(a["e"], c["e"]), c["e"]).alias("e"), best(size, a["n"]).alias("n"), best(c["z"], a["z"]).alias("z"),
         )
+        return then, F.when(touch | (a["e"] == 0), empty).otherwise(F.array(span(a["k"], a["s"], a["e"])))
+
+    last = F.array(F.struct(F.lit(END).alias("s"), F.lit(1).alias("c"), F.lit(END).alias("e"), F.lit(0).alias("k"), F.lit(0.0).alias("z")))  # it brings out the one before it
+    d = with_free(d.withColumn("_judged", judged)).withColumn("_free", F.concat(F.sort_array("_free"), last))
+    d = d.withColumn("_chosen", F.concat("_base", F.flatten(swept(F.col("_free"), none, add, "struct<k:int,s:int,e:int>"))))
+    return d.drop("_judged", "_free")
+
+
+#: Beyond all places in a text.
+END = (1 << 31) - 1
 
-    return F.concat("_base", F.aggregate(F.sort_array(judged), none, add, done))
+
+def with_free(d: DataFrame) -> DataFrame:
+    """Adds ``_free``: of the candidates in ``_judged`` those that no base span overlaps.
+
+    Both are swept in order of their starts, once to meet base spans that begin before a candidate, and back to meet those that
+    begin in it.
+    """
+    kind = "struct<s:int,c:int,e:int,k:int,z:double>"
+    empty = F.array().cast(f"array<{kind}>")
+    marks = F.transform("_base", lambda b: F.struct(b["s"].alias("s"), F.lit(0).alias("c"), b["e"].alias("e"), b["k"].alias("k"), F.lit(0.0).alias("z")))
+    ahead = lambda a, x: (F.when(x["c"] == 0, F.greatest(a, x["e"])).otherwise(a), F.when((x["c"] == 0) | (x["s"] >= a), F.array(x)).otherwise(empty))
+    back = lambda a, x: (F.when(x["c"] == 0, x["s"]).otherwise(a), F.when((x["c"] == 1) & (x["e"] <= a), F.array(x)).otherwise(empty))
+    alone = (F.size("_base") == 0) | (F.size("_judged") == 0)
+    d = d.withColumn("_both", F.when(alone, empty).otherwise(F.sort_array(F.concat(marks, F.col("_judged")))))
+    d = d.withColumn("_both", F.reverse(F.flatten(swept(F.col("_both"), F.lit(0), ahead, kind))))
+    return d.withColumn("_free", F.when(alone, F.col("_judged")).otherwise(F.flatten(swept(F.col("_both"), F.lit(END), back, kind)))).drop("_both")
 
 
 def as_text(spans: Column) -> Column:
@@ -300,27 +361,45 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ma
     """
     d = text_rows(docs, id_col, text_col)
     model = fit(d, max_docs)
-    d = with_spans(d)
+    d = with_chosen(with_spans(d), model)
     count = lambda k: F.size(F.filter("_base", lambda x: x["k"] == k)).cast("long")
     return d.select(
         F.col("_id").alias("doc_id"), *[count(i).alias(f"n_{k}") for i, k in enumerate(KINDS[:4])],
-        F.sha2(as_text(F.col("_base")), 256).alias("base_sha256"), as_text(chosen(model)).alias("spans"),
+        F.sha2(as_text(F.col("_base")), 256).alias("base_sha256"), as_text(F.col("_chosen")).alias("spans"),
     )
 
 
+#: Code points in a part of a text. A place in a string is found by counting from its start, so a long one is cut, and each cut again.
+PART = 1024
+
+
+def parts_of(text: Column) -> Column:
+    cut = lambda t, size, step: F.transform(F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0)), F.lit(step)), lambda i: F.substring(t, i + 1, F.lit(step)))
+    return F.flatten(F.transform(cut(text, F.length(text), 64 * PART), lambda t: cut(t, F.lit(64 * PART), PART)))
+
+
+def between(parts: Column, start: Column, end: Column) -> Column:
+    """The code points ``start`` to ``end`` of a text in parts."""
+    first = (start / PART).cast("int")
+    return F.substring(F.concat_ws("", F.slice(parts, first + 1, (end / PART).cast("int") - first + 1)), start % PART + 1, end - start)
+
+
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_docs: int = 400) -> DataFrame:
     """``docs`` with every span replaced by its kind in capitals and brackets, all other columns as they were.
 
-    Spans that touch or overlap are replaced as one, by the kind of the first. Null texts stay null.
+    Spans that touch or overlap are replaced as one, by the kind of the first. Null texts stay null; rows that repeat others are
+    redacted each; an empty table gives an empty one.
     """
     model = fit(text_rows(docs, id_col, text_col), max_docs)
     names = docs.columns
     d = docs.select(F.struct(*[F.col(c) for c in names]).alias("_row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
-    d = with_spans(d).withColumn("_all", F.sort_array(F.transform(chosen(model), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["k"].alias("k")))))
-    kinds = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
-    state = F.struct(F.lit(0).alias("p"), F.array().cast("array<string>").alias("out"))
-    piece = lambda a, x: F.array(F.substring(F.col("_text"), a["p"] + 1, x["s"] - a["p"]), F.get(kinds, x["k"]))
-    add = lambda a, x: F.struct(F.greatest(a["p"], x["e"]).alias("p"), F.when((x["s"] < a["p"]) & (a["p"] > 0), a["out"]).otherwise(F.concat(a["out"], piece(a, x))).alias("out"))
-    whole = F.aggregate("_all", state, add, lambda a: F.concat_ws("", a["out"], F.substring(F.col("_text"), a["p"] + 1, F.length("_text"))))
+    d = with_chosen(with_spans(d), model).withColumn("_all", F.sort_array(F.transform("_chosen", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["k"].alias("k")))))
+    kinds = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS], F.lit(""))
+    d = d.withColumn("_parts", parts_of(F.col("_text")))
+    piece = lambda p, x: F.array(between(F.col("_parts"), p, x["s"]), F.get(kinds, x["k"]))
+    add = lambda p, x: (F.greatest(p, x["e"]), F.when((x["s"] < p) & (p > 0), F.array().cast("array<string>")).otherwise(piece(p, x)))
+    last = F.array(F.struct(F.length("_text").alias("s"), F.length("_text").alias("e"), F.lit(len(KINDS)).alias("k")))  # of no kind: it brings the rest of the text
+    d = d.withColumn("_items", F.concat("_all", last))
+    whole = F.concat_ws("", F.flatten(swept(F.col("_items"), F.lit(0), add, "string")))
     text = F.when(F.col(f"_row.{text_col}").isNull(), None).when(F.size("_all") == 0, F.col("_text")).otherwise(whole)
     return d.select(*[text.alias(c) if c == text_col else F.col(f"_row.{c}").alias(c) for c in names])

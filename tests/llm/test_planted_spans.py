@@ -55,7 +55,7 @@ def test_overlaps_become_one(spark):
     zero = ", ".join(f"0 as {f}" for f in pii.FEATURES)
     d = spark.createDataFrame(rows, "id int, b array<struct<k:int,s:int,e:int>>, c array<struct<k:int,s:int,e:int>>")
     d = d.select("id", F.col("b").alias("_base"), F.expr(f"transform(c, x -> struct(x.k as k, x.s as s, x.e as e, {zero}))").alias("_cands"))
-    got = {r.id: [tuple(x) for x in r.out] for r in d.select("id", pii.chosen(always).alias("out")).collect()}
+    got = {r.id: [tuple(x) for x in r.out] for r in pii.with_chosen(d, always).select("id", F.col("_chosen").alias("out")).collect()}
     assert got == {1: [(0, 5, 9), (6, 0, 3), (5, 10, 25), (6, 30, 40)], 2: [], 3: [(6, 3, 4), (6, 4, 5)]}
 
 
