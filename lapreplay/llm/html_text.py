@@ -3,9 +3,10 @@
 A page becomes a tree of its block elements. Trees of a host's pages are aligned by simple tree matching into
 one template, in which neighbours of one shape are one repeated node. A template node counts the text and the link
 text that its pages put there. Nodes whose text is the same on nearly all pages are constant, and lists of links are
-menus; the others are slots. The main part of a template is the node below which the slots have their text. A page is
-then aligned to its host's template: what fills the slots of the main part is its text. Tags that name an article
-decide the main part where a page has them; names of furniture drop a block wherever it is.
+menus; the others are slots. The main part of a template is the node that names an article and has a share of the slots' text, or else
+the one below which the slots have most of it. A page is then aligned to its host's template (a page alone to its own tree):
+what fills the main part is its text. Inside it constant blocks go, but for headings and the like, and names of furniture count
+only where they say nothing else; outside it such names drop a block, and so do menus.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ _ATTRIBUTE = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 _MAY_HIDE = re.compile(r"hidden|display", re.IGNORECASE)
 _ANY_ATTRIBUTE = re.compile(r"([^\s>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]*)))?")
 _NOT_SHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.IGNORECASE)
-RAW = frozenset("script style noscript template textarea title iframe svg math canvas object select option button xmp".split())
+RAW = frozenset("script style noscript template textarea title iframe svg canvas object select option button xmp".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 FURNITURE = frozenset("head nav footer aside form menu dialog fieldset".split())
 #: Words in class, id or role of elements that aren't main text.
@@ -38,6 +39,14 @@ NAMES = frozenset(
     "ad ads advert advertisement advertising adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notification alert sidebar menu menubar nav navbar navigation "
     "breadcrumb breadcrumbs comment comments disqus reply replies respond discussion share sharing social related recommended newsletter subscribe signup popup modal overlay login search pagination pager footer masthead skip toolbar widget".split()
 )
+#: Of these names the ones that sections of an article have as ids.
+SECTIONS = frozenset("discussion related notice search sharing social login signup respond reply replies notification promotion overlay skip".split())
+#: Words beside a name of furniture that leave it one.
+BESIDE = frozenset("area bar block body box button buttons container content form group inner item items label left link links list main outer panel post posts right row section title top bottom wrap wrapper".split())
+#: Constant blocks that belong to a text all the same.
+KEPT = frozenset("h1 h2 h3 h4 h5 h6 th dt caption figcaption legend summary".split())
+#: A named article is the main part if it has such a share of the slots' text.
+NAMED = 0.1
 CLOSES_P = BLOCKS - frozenset("caption tbody td tfoot th thead tr legend summary html body head".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
@@ -66,6 +75,18 @@ def names_of(attributes: str) -> tuple[str, ...]:
     return tuple(dict.fromkeys(w.lower() for w in re.split(r"[^A-Za-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", found)) if w))
 
 
+def furniture(attributes: str) -> bool:
+    """Whether a block inside an article is furniture by one of its names: a class, role or id of which every word says so."""
+    for m in _ATTRIBUTE.finditer(attributes):
+        own_id = m[0][:2].lower() == "id"
+        for token in (m[1] or m[2] or m[3] or "").split():
+            words = [w.lower() for w in re.split(r"[^A-Za-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", token)) if w]
+            said = [w for w in words if w in NAMES and not (own_id and w in SECTIONS)]
+            if said and all(w in NAMES or w in BESIDE for w in words):
+                return True
+    return False
+
+
 def hidden(attributes: str) -> bool:
     """Whether an element has the attribute hidden, aria-hidden of true, or display:none in its style."""
     if not _MAY_HIDE.search(attributes):
@@ -147,7 +168,8 @@ def parse(page: str) -> Block:
             if tag in SIBLINGS:
                 close(SIBLINGS[tag], SCOPES[tag])
             names = names_of(m[3]) if "=" in m[3] else ()
-            skip = tag in FURNITURE or tag == "header" and not (count["article"] or count["main"]) or tag not in ("html", "body", "article", "main") and (any(n in NAMES for n in names) or hidden(m[3]))
+            inside = count["article"] or count["main"]
+            skip = tag in FURNITURE or tag == "header" and not inside or tag not in ("html", "body", "article", "main") and ((furniture(m[3]) if inside else any(n in NAMES for n in names)) or hidden(m[3]))
             block = Block(tag, " ".join((tag, *names)), skip)
             stack[-1].items.append(block)
             stack.append(block)
@@ -330,11 +352,26 @@ def main_place(root: Place) -> Place:
 def placed(template: list) -> Place:
     """The template as pages use it."""
     root = Place(guarded(template))
-    part = main_place(root)
-    part.main = True
+    for part in named_places(root) or [main_place(root)]:
+        part.main = True
     return root
 
 
+def named_places(root: Place) -> list[Place]:
+    """The outermost nodes of the first kind of ``article`` and ``main`` that has a share of the slots' text."""
+    for tag in ("article", "main"):
+        found, todo = [], [root]
+        while todo:
+            p = todo.pop()
+            if p.tag() == tag:
+                found.append(p)
+            else:
+                todo += p.kids
+        if found and sum(p.mass for p in found) > NAMED * root.mass:
+            return found
+    return []
+
+
 def guarded(node: list) -> list:
     """Where a main part has few slots, or a whole page hardly any text in some, the pages are copies: nothing in it is constant."""
     tag = node[LABEL].split(" ")[0]
@@ -354,12 +391,37 @@ def forget(node: list) -> list:
 def extract(page: str, template: Place | None) -> str:
     """Main text of a page, blocks joined by line feeds."""
     root = parse(page)
-    named = find(root, ("article",)) or find(root, ("main",))
-    text = lines(root, template, {id(b) for b in named})
-    if not text:
-        # No template, or a page that its host's template doesn't fit: all but furniture.
-        text = lines(root, None, {id(b) for b in named or find(root, ("body",)) or [root]})
-    return "\n".join(text)
+    own = None
+    for place in (template, False):
+        if place is False:  # no template, or one that the page doesn't fit: its own tree
+            place = own = placed(shape(root))
+        if place is not None:
+            parts = main_parts(root, place)
+            named = find(root, ("article",)) or find(root, ("main",))
+            if parts and named and not all(any(b is x for p in parts for x in walk(p)) for b in named):
+                continue  # the template's main part isn't where the page itself has one
+            text = lines(root, place, {id(b) for b in parts})
+            if text:
+                return "\n".join(text)
+    # Nothing stands out: all but furniture.
+    named = find(root, ("article",)) or find(root, ("main",)) or find(root, ("body",)) or [root]
+    return "\n".join(lines(root, own if find(root, ("article", "main")) else None, {id(b) for b in named}) or lines(root, None, {id(b) for b in named}))
+
+
+def main_parts(root: Block, template: Place) -> list[Block]:
+    """The page's blocks that are aligned to the template's main part."""
+    out, todo = [], [(root, template)]
+    while todo:
+        item, place = todo.pop()
+        if item.skip or place is None or place.menu and not place.main:
+            continue
+        if place.main:
+            out.append(item)
+            continue
+        kids = [x for x in item.items if not isinstance(x, str)]
+        places = places_of(kids, place) if kids else {}
+        todo += [(x, places.get(id(x))) for x in reversed(kids)]
+    return out
 
 
 def find(root: Block, tags: tuple[str, ...]) -> list[Block]:
@@ -389,20 +451,20 @@ def any_text(block: Block) -> bool:
     return False
 
 
-def lines(root: Block, template: Place | None, named: set[int]) -> list[str]:
-    """Text of the blocks ``named``, else of the template's main part, that isn't constant on the page's places in the template."""
+def lines(root: Block, template: Place | None, main: set[int]) -> list[str]:
+    """Text of the blocks ``main`` that isn't constant on the page's places in the template."""
     out, todo = [], [(root, template, False)]
     while todo:
         item, place, inside = todo.pop()
         if isinstance(item, str):
             out.append(item)
             continue
-        if item.skip or not named and place is not None and place.menu:
+        if item.skip:
             continue
-        inside = inside or id(item) in named or not named and place is not None and place.main
+        inside = inside or id(item) in main
         kids = [x for x in item.items if not isinstance(x, str)]
         places = places_of(kids, place) if place is not None and kids else {}
-        shown = inside and not (place is not None and place.drop)
+        shown = inside and not (place is not None and place.drop and item.tag not in KEPT)
         todo += [(x, places.get(id(x)), inside) for x in reversed(item.items) if shown or not isinstance(x, str)]
     return out
 

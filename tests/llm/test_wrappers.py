@@ -100,3 +100,29 @@ def test_templates_stay_small():
 def test_broken_markup(text):
     got = html_text.extract(text, template_of([text]))
     assert got == "\n".join(" ".join(x.split()) for x in got.split("\n")) and html.unescape(got) is not None
+
+
+def test_what_an_article_keeps():
+    """Headings that all pages have, and sections named like furniture, are part of an article; comments and adverts in it aren't."""
+    pages = [f"<html><body><nav><a href=x>Home</a></nav><article><h1>T {i}</h1><p>text {i} one</p><h2>Summary</h2><p>end {i}</p><div>Subscribe now</div></article></body></html>" for i in range(10)]
+    template = template_of(pages)
+    assert html_text.extract(pages[3], template) == "T 3\ntext 3 one\nSummary\nend 3"
+    page = (
+        "<html><body><article><h1>T</h1><section id='discussion'><p>deep</p></section><h2 id='related-work'>Rel</h2><p class='login-steps'>steps</p><div class='comments'><p>c</p></div>"
+        "<div id='comments'>x</div><p class='ad'>buy</p><div class='sidebar-box'>y</div><p>end <math><mi>x</mi></math></p></article></body></html>"
+    )
+    assert html_text.extract(page, None) == "T\ndeep\nRel\nsteps\nend x"
+
+
+def test_templates_decide_on_the_shared_pages():
+    """Each page's main part is where its host's template has it; without templates the pages of one host lose nothing they share."""
+    rows = pq.read_table("/root/testdata/sf0.001/pages.parquet").to_pylist()
+    hosts = {}
+    for r in rows:
+        hosts.setdefault(r["url"].split("/")[2], []).append(r["html"])
+    for pages in hosts.values():
+        template = template_of(pages)
+        for page in pages:
+            root = html_text.parse(page)
+            parts = html_text.main_parts(root, template)
+            assert parts and "\n".join(html_text.lines(root, template, {id(p) for p in parts})) == html_text.extract(page, template)
