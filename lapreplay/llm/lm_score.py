@@ -256,29 +256,120 @@ def train(blocks: DataFrame, path: str | None = None, **more) -> Model:
     return grow(counted_blocks(blocks, path), path, **more)
 
 
-def grow(counted: DataFrame, path: str, shard_tokens: int = 2_000_000, discount: float = 0.9) -> Model:
-    """Write the tries of all trigrams of the blocks' training texts below ``path``, where the words' counts are.
-
-    A shard has some ``shard_tokens`` tokens. Words with more than that have their pairs spread over as many shards as it takes, and
-    their followers are counted before. ``discount`` (below 1) is what each n-gram leaves to the level below. Nothing is pruned.
-    """
+def planned(counted: DataFrame, path: str, shard_tokens: int) -> Model:
+    """Sums, shards and heavy words of a model to be. A shard has some ``shard_tokens`` tokens; words with more are heavy: their pairs are spread over as many shards as it takes."""
     spark = counted.sparkSession
     words = spark.read.schema(WORDS).parquet(f"{path}/words")
     tokens, kinds = (int(x or 0) for x in words.agg(F.sum("n"), F.count("*")).first())
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // shard_tokens))
     often = counted.select(F.explode(F.arrays_zip("number", "n")).alias("w")).filter(F.col("w.n") > max(1, tokens // shards)).select("w.number", "w.n").distinct()
     heavy = {r["number"]: min(shards, -(-r["n"] * shards // max(tokens, 1))) for r in often.collect()}  # fewer than there are shards
-    dealt = counted.mapInArrow(each_block(partial(train_pieces, shards=shards, heavy=heavy)), PIECE)
-    pairs = spark.createDataFrame([], "shard int, v long, w long, c long")
-    if heavy:
-        homes = [(h, int(mixed(np.array([h]))[0]) % shards, n) for h, n in heavy.items()]
-        pairs = counted.mapInArrow(each_block(partial(heavy_pairs, heavy=heavy)), "v long, w long, c long").groupBy("v", "w").agg(F.sum("c").alias("c"))
-        pairs = written(pairs, "heavy-pairs").join(F.broadcast(spark.createDataFrame(homes, "v long, home long, n long")), "v")
-        pairs = pairs.select(F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda i: ((F.col("home") + i) % shards).cast("int"))).alias("shard"), "v", "w", "c")
-    tries = dealt.groupBy("shard").cogroup(pairs.groupBy("shard")).applyInArrow(partial(grown, discount=discount), "shard int, tokens long, trie binary")
+    return Model(path, tokens, kinds, shards, heavy, {})
+
+
+def followers(counted: DataFrame, model: Model) -> DataFrame:
+    """Counts of what follows the heavy words, for each of their shards: ``shard, v, w, c``."""
+    spark, shards = counted.sparkSession, model.shards
+    if not model.heavy:
+        return spark.createDataFrame([], "shard int, v long, w long, c long")
+    homes = [(h, int(mixed(np.array([h]))[0]) % shards, n) for h, n in model.heavy.items()]
+    pairs = counted.mapInArrow(each_block(partial(heavy_pairs, heavy=model.heavy)), "v long, w long, c long").groupBy("v", "w").agg(F.sum("c").alias("c"))
+    pairs = written(pairs, "heavy-pairs").join(F.broadcast(spark.createDataFrame(homes, "v long, home long, n long")), "v")
+    return pairs.select(F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda i: ((F.col("home") + i) % shards).cast("int"))).alias("shard"), "v", "w", "c")
+
+
+def grow(counted: DataFrame, path: str, shard_tokens: int = 2_000_000, discount: float = 0.9) -> Model:
+    """Write the tries of all trigrams of the blocks' training texts below ``path``, where the words' counts are.
+
+    Trigrams are counted by block before they are dealt, and the followers of heavy words before that. ``discount`` (below 1) is what
+    each n-gram leaves to the level below. Nothing is pruned.
+    """
+    model = planned(counted, path, shard_tokens)
+    dealt = counted.mapInArrow(each_block(partial(train_pieces, shards=model.shards, heavy=model.heavy)), PIECE)
+    tries = dealt.groupBy("shard").cogroup(followers(counted, model).groupBy("shard")).applyInArrow(partial(grown, discount=discount), "shard int, tokens long, trie binary")
     tries = store(tries, f"{path}/tries")
     sizes = tries.filter(F.col("tokens") > 2 * shard_tokens).select("shard", "tokens").collect()  # fewer than there are shards
-    return Model(path, tokens, kinds, shards, heavy, {r["shard"]: -(-r["tokens"] // (2 * shard_tokens)) for r in sizes})
+    return model._replace(salts={r["shard"]: -(-r["tokens"] // (2 * shard_tokens)) for r in sizes})
+
+
+def heavy_contexts(row: dict, heavy: dict[int, int]) -> Iterator[pa.RecordBatch]:
+    """How often two heavy words follow each other in a block."""
+    b, number = Block(row), np.array(row["number"], "i8")
+    some = np.isin(number, np.array([*heavy], "i8"))
+    mine = np.flatnonzero(some[b.v] & some[b.u])
+    key, n = np.unique(b.v[mine] * len(number) + b.u[mine], return_counts=True)
+    yield pa.RecordBatch.from_arrays([pa.array(number[key // len(number)]), pa.array(number[key % len(number)]), pa.array(n)], ["v", "u", "n"])
+
+
+def own_scored(counted: DataFrame, path: str, shard_tokens: int = 2_000_000, discount: float = 0.9) -> tuple[DataFrame, Model]:
+    """Scores of the texts that the model is made of, by the same tries as ``grow`` and ``scored`` together, and the model's sums.
+
+    The words that are to be scored hold the training texts' too, so they are dealt once: a task makes its shard's trie and asks it.
+    Where two words follow each other so often that they alone would overfill a shard, the trigrams are counted before they are
+    dealt instead, and the words asked are spread.
+    """
+    model = planned(counted, path, shard_tokens)
+    if model.heavy:
+        pairs = counted.mapInArrow(each_block(partial(heavy_contexts, heavy=model.heavy)), "v long, u long, n long").groupBy("v", "u").agg(F.sum("n").alias("n"))
+        if not pairs.filter(F.col("n") > shard_tokens).isEmpty():
+            return scored(counted, model := grow(counted, path, shard_tokens, discount)), model
+    dealt = counted.mapInArrow(each_block(partial(asked, model=model)), PIECE + ", rows binary, held binary")
+    learn = partial(learned, total=model.tokens + model.kinds + 1, discount=discount)
+    sums = dealt.groupBy("shard").cogroup(followers(counted, model).groupBy("shard")).applyInArrow(learn, "_row long, score double")
+    return summed(counted, sums, model), model
+
+
+def learned(pieces: pa.Table, whole: pa.Table, total: int, discount: float) -> pa.Table:
+    """The trie of one shard, of its training texts, and the sums of log probabilities by row."""
+    got = [piece(p) for p in pieces.column("payload").to_pylist()]
+    if not got:
+        return pa.table({"_row": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+    rest = [whole.column(k).to_numpy() for k in "vwc"] if len(whole) else [np.zeros(0, "i8")] * 3
+    rows = [np.cumsum(np.frombuffer(r, "i8")) for r in pieces.column("rows").to_pylist()]
+    held = np.concatenate([np.frombuffer(h, "u1") for h in pieces.column("held").to_pylist()]) > 0
+    names = np.concatenate(rows)
+    before = np.cumsum([0, *map(len, rows)])
+    words = np.unique(np.concatenate([*[x[0] for x in got], *rest[:2]]))
+    counts = np.zeros(len(words))
+    for x in got:
+        counts[np.searchsorted(words, x[0])] = x[1]
+    v, u, w = (np.concatenate([np.searchsorted(words, x[0])[x[k]] for x in got]) for k in (2, 3, 4))
+    of = np.concatenate([x[5] + n for n, x in zip(before, got, strict=False)])
+    del got
+    mine = np.flatnonzero(~held[of])
+    a, b, c, n = texts_of(v[mine], u[mine], w[mine], of[mine], len(words), len(names))
+    known = words[words >= 0]  # the others are in no training text
+    off = len(words) - len(known)
+    trie = build(known, a - off, b - off, c - off, n, discount, (np.searchsorted(known, rest[0]), np.searchsorted(known, rest[1]), rest[2]))
+    del mine, a, b, c, n
+    with tempfile.TemporaryFile() as f:
+        f.write(trie)
+        f.flush()
+        del trie
+        opened_trie = Trie(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
+        sums = np.zeros(len(names))
+        for at in range(0, len(v), 1 << 18):
+            some = slice(at, at + (1 << 18))
+            p = opened_trie.probabilities(words, (counts + 1) / total, v[some], u[some], w[some])
+            sums += np.bincount(of[some], np.log10(p), len(names))
+    at = np.flatnonzero(np.bincount(of, minlength=len(names)))
+    return pa.table({"_row": pa.array(names[at]), "score": pa.array(sums[at])})
+
+
+def texts_of(v: np.ndarray, u: np.ndarray, w: np.ndarray, of: np.ndarray, words: int, texts: int) -> tuple[np.ndarray, ...]:
+    """The distinct triples, and how many texts hold each."""
+    pair = v * words + u
+    order = np.argsort(pair)
+    rank = np.empty(len(pair), "i8")
+    rank[order] = np.cumsum(np.append(0, pair[order][1:] != pair[order][:-1])) if len(pair) else 0
+    key = rank * words + w
+    order = np.argsort(key)
+    at = runs(key[order])
+    place = np.cumsum(np.bincount(at, minlength=len(key)))[: len(key)] - 1 if len(key) else key
+    held = np.sort(place * texts + of[order])
+    n = np.bincount(held[runs(held)] // texts, minlength=len(at)) if len(at) else key
+    first = order[at]
+    return v[first], u[first], w[first], n
 
 
 def asked(row: dict, model: Model) -> Iterator[pa.RecordBatch]:
@@ -287,7 +378,7 @@ def asked(row: dict, model: Model) -> Iterator[pa.RecordBatch]:
     order = np.argsort((b.v << 42) | (b.u << 21) | b.w)
     v, u, w, of = (x[order] for x in (b.v, b.u, b.w, b.of))
     for out in pieces(spread(number, v, u, model.shards, model.heavy), model.shards, v, u, w, [number, np.minimum(n, (1 << 32) - 1)], of, np.ones(len(v), "i8"), lambda s: row["block"] % model.salts.get(s, 1)):
-        yield out.append_column("rows", pa.array([np.diff(b.rows, prepend=0).tobytes()], pa.binary()))
+        yield out.append_column("rows", pa.array([np.diff(b.rows, prepend=0).tobytes()], pa.binary())).append_column("held", pa.array([row["held"]], pa.binary()))
 
 
 def answered(pieces: pa.Table, tries: pa.Table, total: int) -> pa.Table:
@@ -328,14 +419,19 @@ def score(blocks: DataFrame, model: Model) -> DataFrame:
 
 def scored(counted: DataFrame, model: Model) -> DataFrame:
     spark: SparkSession = counted.sparkSession
-    kind = counted.schema["ids"].dataType.elementType.simpleString()
-    base = counted.mapInArrow(each_block(partial(alone, model=model)), f"_row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double")
-    dealt = counted.mapInArrow(each_block(partial(asked, model=model)), PIECE + ", rows binary")
+    dealt = counted.mapInArrow(each_block(partial(asked, model=model)), PIECE + ", rows binary, held binary")
     tries = spark.read.parquet(f"{model.path}/tries").select("shard", "trie")
     salts = F.broadcast(spark.createDataFrame([*model.salts.items()], "shard int, salts int"))  # fewer than there are shards
     tries = tries.join(salts, "shard", "left").select("shard", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"), "trie")
     total = model.tokens + model.kinds + 1
     sums = dealt.groupBy("shard", "salt").cogroup(tries.groupBy("shard", "salt")).applyInArrow(partial(answered, total=total), "_row long, score double")
+    return summed(counted, sums, model)
+
+
+def summed(counted: DataFrame, sums: DataFrame, model: Model) -> DataFrame:
+    """One row for each text, of what its blocks say of it and the shards' sums."""
+    kind = counted.schema["ids"].dataType.elementType.simpleString()
+    base = counted.mapInArrow(each_block(partial(alone, model=model)), f"_row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double")
     every = base.unionByName(sums, allowMissingColumns=True).groupBy("_row")
     return every.agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
 
@@ -352,5 +448,5 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", f
     word_counts(blocks, path)
     counted = counted_blocks(blocks, path)
     forget(blocks)
-    model = grow(counted, path)
-    return scored(counted, model).select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    out, model = own_scored(counted, path)
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")

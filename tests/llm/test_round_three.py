@@ -85,13 +85,16 @@ def test_lm_scores(spark):
     assert sum(w[2] for w in held) > sum(w[1] for w in held)  # the model tells more than the words alone
 
 
-def test_lm_scores_in_small_parts(spark, monkeypatch):
-    """Texts cut in blocks, words of many shards: sums are those of one block and shard, but for what documents a cut text counts as."""
-    grow = lm_score.grow
-    monkeypatch.setattr(lm_score, "grow", lambda blocks, path: grow(blocks, path, shard_tokens=300))
-    rows = [(i, f"a b a c a d{i} a e{i % 3} a a") for i in range(60)]
+@pytest.mark.parametrize("shard, counts_first", [(300, True), (700, False)])
+def test_lm_scores_in_small_parts(spark, monkeypatch, shard, counts_first):
+    """Words of many shards: pairs of words that would overfill one have their trigrams counted before they are dealt."""
+    own, grow, grown = lm_score.own_scored, lm_score.grow, []
+    monkeypatch.setattr(lm_score, "own_scored", lambda blocks, path: own(blocks, path, shard_tokens=shard))
+    monkeypatch.setattr(lm_score, "grow", lambda *a, **b: grown.append(1) or grow(*a, **b))
+    rows = [(i, f"a b a c a d{i} a e{i % 3} a a " + ("a a a a a a" if counts_first else "")) for i in range(60)]
     got = lm_score.lm_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     same_scores(got, rows)
+    assert bool(grown) == counts_first
 
 
 def test_lm_texts_longer_than_a_block(spark):
