@@ -73,20 +73,74 @@ def line_features(texts: list[str]) -> Lines:
     return Lines(np.concatenate([own, before, after], 1), size, np.array(counts))
 
 
-def marginals(score: np.ndarray, counts: np.ndarray, transition: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Probability that each line is good, and the sum of pair marginals; ``score`` is that of good over bad."""
-    order = np.argsort(-counts, kind="stable")
-    starts = (np.cumsum(counts) - counts)[order]
-    size = counts[order]
+#: Lines of a chain that are taken one after the other. Longer chains are cut into such blocks, which go side by side.
+BLOCK = 512
+
+
+def through(vector: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    """Row vectors times matrices, of logarithms of weights."""
+    return np.logaddexp(vector[:, :1] + matrix[..., 0, :], vector[:, 1:] + matrix[..., 1, :])
+
+
+def marginals(score: np.ndarray, counts: np.ndarray, transition: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
+    """Probability that each line is good, and the sum of pair marginals; ``score`` is that of good over bad.
+
+    Chains are cut into blocks. Each block but a chain's first becomes a matrix, from the label before it to its last line's; going
+    over these from block to block, forth and back, gives what enters each block, and the lines in it follow from that.
+    """
     node = np.stack([np.zeros_like(score), score], 1)
     forward, backward = np.empty_like(node), np.zeros_like(node)
-    active = [int(np.searchsorted(-size, -t, "left")) for t in range(int(size[0]) if len(size) else 0)]  # documents with more than t lines
-    for t, m in enumerate(active):
-        at = starts[:m] + t
-        forward[at] = node[at]
-        if t:
-            last = forward[at - 1]
-            forward[at] += np.logaddexp(last[:, :1] + transition[0], last[:, 1:] + transition[1])
+    parts = -(-counts // block)
+    of = np.repeat(np.arange(len(counts)), parts)
+    turn = np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts)  # a block's number in its chain
+    starts = (np.cumsum(counts) - counts)[of] + turn * block
+    size = np.minimum(counts[of] - turn * block, block)
+    order = np.argsort(-size, kind="stable")
+    starts, size, turn, of = starts[order], size[order], turn[order], of[order]
+    active = [int(np.searchsorted(-size, -t, "left")) for t in range(int(size[0]) if len(size) else 0)]  # blocks with more than t lines
+    later = turn > 0
+    matrix = np.zeros((len(of), 2, 2))
+    if later.any():
+        for t, m in enumerate(active):
+            k = np.flatnonzero(later[:m])
+            here = node[starts[k] + t][:, None, :]
+            matrix[k] = transition + here if not t else np.logaddexp(matrix[k][:, :, :1] + transition[0], matrix[k][:, :, 1:] + transition[1]) + here
+    enter, leave = np.zeros((len(of), 2)), np.zeros((len(of), 2))
+    by_turn = np.argsort(turn, kind="stable")
+    ends = np.cumsum(np.bincount(turn)) if len(turn) else []
+    at_turn = [by_turn[(ends[i - 1] if i else 0) : ends[i]] for i in range(len(ends))]
+    place = np.zeros(len(counts), "i8")  # of each chain's block that was looked at last
+
+    def fill(blocks: np.ndarray) -> None:
+        """The lines of blocks, given what enters them."""
+        some = np.zeros(len(of), bool)
+        some[blocks] = True
+        for t, m in enumerate(active):
+            k = np.flatnonzero(some[:m])
+            at = starts[k] + t
+            forward[at] = node[at]
+            if t:
+                forward[at] += through(forward[at - 1], transition)
+            else:
+                on = later[k]
+                forward[at[on]] += through(enter[k[on]], transition)
+
+    for i, blocks in enumerate(at_turn):
+        if i == 0:
+            fill(blocks)
+            out = forward[starts + size - 1]
+        else:
+            enter[blocks] = out[place[of[blocks]]]
+            out[blocks] = through(enter[blocks], matrix[blocks])
+        place[of[blocks]] = blocks
+    if later.any():
+        fill(np.flatnonzero(later))
+    for i in range(len(at_turn) - 1, 0, -1):  # what a block's last line gets from the lines after it
+        blocks = at_turn[i]
+        before = at_turn[i - 1]
+        place[of[before]] = before
+        leave[place[of[blocks]]] = np.logaddexp(matrix[blocks][:, :, 0] + leave[blocks][:, :1], matrix[blocks][:, :, 1] + leave[blocks][:, 1:])
+    backward[starts + size - 1] = leave
     for t in range(len(active) - 2, -1, -1):
         m = active[t + 1]
         at = starts[:m] + t
@@ -160,10 +214,11 @@ def feature_batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([ids.slice(at, len(part)), goods.slice(at, len(part)), pa.array(cells, pa.binary()), pa.array(weights, pa.binary())], ["_id", "good", "x", "weight"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 3000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_chars: int = 200_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 3000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_chars: int = 200_000, max_lines: int = 2_000) -> Model:
     """Model of at most ``max_docs`` labelled documents that aren't held out, those with the smallest hashes of their ids.
 
-    Of these, texts of more than ``max_chars`` characters aren't learned from, which bounds what the driver holds.
+    Of these, texts of more than ``max_chars`` characters or ``max_lines`` lines aren't learned from, which bounds what the driver
+    holds: 216 bytes a line, 1.3 GB at most.
 
     Rows with a null id or label are left out. Without both labels the scores are the share of good rows.
     """
@@ -174,7 +229,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 3000, id_col: str =
     if not chosen:
         return Model(np.zeros(3 * FEATURES), np.zeros((2, 2)), 1.0, 0.0)
     small = spark.createDataFrame(chosen, named.schema)
-    rows = text_rows(docs, id_col, text_col).join(F.broadcast(small), "_id").filter(F.length("_text") <= max_chars).dropDuplicates(["_id"]).select("_id", "good", "_text")
+    rows = text_rows(docs, id_col, text_col).join(F.broadcast(small), "_id").filter((F.length("_text") <= max_chars) & (F.length("_text") - F.length(F.translate("_text", "\n", "")) < max_lines)).dropDuplicates(["_id"]).select("_id", "good", "_text")
     kind = rows.schema["_id"].dataType.simpleString()
     rows = sorted(rows.mapInArrow(feature_batches, f"_id {kind}, good int, x binary, weight binary").collect(), key=lambda r: r["_id"])
     if len({r["good"] for r in rows}) < 2:
@@ -191,7 +246,7 @@ def held_out(id_col: str):
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_docs: int = 3000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
-    """Score of every document. Null texts count as empty; rows that repeat an id get a row each; null ids aren't held out."""
+    """Score of every document. Null texts count as empty; rows that repeat an id get a row each; null ids aren't held out; an empty table gives an empty one."""
     model = fit(docs, labels, max_docs, id_col, text_col, label_col)
     d = text_rows(docs, id_col, text_col)
     kind = d.schema["_id"].dataType.simpleString()
