@@ -110,6 +110,23 @@ def corpus_summary(corpus: DataFrame) -> DataFrame:
     return whole.unionByName(drivers, allowMissingColumns=True).agg(*[F.max(c).alias(c) for c in names])
 
 
+def summary_parts(corpus: DataFrame) -> DataFrame:
+    """What each race adds to a summary: rows, snapshots and its set of drivers. Parts of races that are stored apart merge by ``merged_summary``."""
+    return corpus.groupBy("RaceId", "Season", "RoundNumber").agg(F.count("*").alias("rows"), F.countDistinct("SnapshotLap").alias("snapshots"), F.collect_set("Driver").alias("drivers"))
+
+
+def merged_summary(parts: DataFrame) -> DataFrame:
+    """``corpus_summary`` of all races that have parts."""
+    place = F.struct("Season", "RoundNumber", "RaceId")
+    whole = parts.agg(
+        F.countDistinct("RaceId").alias("race_count"), F.countDistinct("Season").alias("season_count"), F.coalesce(F.sum("rows"), F.lit(0)).alias("row_count"), F.coalesce(F.sum("snapshots"), F.lit(0)).alias("snapshot_count"),
+        F.min_by("RaceId", place).alias("first_race_id"), F.max_by("RaceId", place).alias("last_race_id"),
+    )
+    drivers = parts.select(F.explode("drivers").alias("Driver")).distinct().agg(F.count("Driver").alias("driver_count"))
+    names = ("race_count", "season_count", "row_count", "snapshot_count", "driver_count", "first_race_id", "last_race_id")
+    return whole.unionByName(drivers, allowMissingColumns=True).agg(*[F.max(c).alias(c) for c in names])
+
+
 def chronological_split(corpus: DataFrame, validation_season: int, last_n_races: int, test_seasons: Sequence[int], check: bool = True) -> DataFrame:
     """The corpus with ``Split``: whole races, validation the last of its season, test whole seasons, train all before validation.
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lapreplay.functions import coerce
-from lapreplay.operators.corpus import sorted_for_storage
+from lapreplay.operators.corpus import merged_summary, sorted_for_storage, summary_parts
 from lapreplay.operators.dataset import require_schema, require_sessions, validate_race_dataset
 from lapreplay.schemas import DATASET, DATASET_SCHEMA, METADATA, SESSION_TYPES, TARGET, ArtifactError, RaceDataError
 from lapreplay.sources.staging import Checks
@@ -147,7 +147,7 @@ def cleaning_report(cleaned: DataFrame, before: DataFrame, after: DataFrame, ses
 
 
 def write_race_dataset(dataset: DataFrame, path: str, overwrite: bool = False, check: bool = True, checks: Checks | None = None) -> DataFrame:
-    """Write datasets by season and round, with their manifests below ``<path>-manifest``; returns the manifests.
+    """Write datasets by season and round, with their manifests below ``<path>-manifest`` and parts of a summary below ``<path>-parts``; returns the manifests.
 
     All is written to a draft beside ``path``, checked there (``checks``: rules that the write itself measures) and published as a
     whole. Overwriting replaces the written races, data and manifest, and leaves others. What fails on the way leaves both folders as
@@ -168,7 +168,7 @@ def write_race_dataset(dataset: DataFrame, path: str, overwrite: bool = False, c
 
 
 def write_draft(dataset: DataFrame, path: str, draft: str, check: bool = True, checks: Checks | None = None) -> None:
-    """Write what is to be published at ``path`` to ``draft``: ``data`` and ``manifest`` by season and round. Raises on broken rules."""
+    """Write what is to be published at ``path`` to ``draft``: ``data``, ``manifest`` and ``parts`` (of a summary) by season and round. Raises on broken rules."""
     spark = dataset.sparkSession
     stored = dataset.withColumns({"_season": F.col("Season"), "_round": F.col("RoundNumber")})
     sorted_for_storage(stored).write.partitionBy("_season", "_round").parquet(f"{draft}/data")
@@ -181,6 +181,8 @@ def write_draft(dataset: DataFrame, path: str, draft: str, check: bool = True, c
     sums = race_checksums(spark, f"{draft}/data")
     manifest = manifest.join(sums, "race_id").select(*[f.name for f in spark.createDataFrame([], MANIFEST).schema], "_season", "_round")
     manifest.repartition("_season", "_round").write.partitionBy("_season", "_round").json(f"{draft}/manifest")
+    parts = summary_parts(written).withColumns({"_season": F.col("Season"), "_round": F.col("RoundNumber")})
+    parts.repartition("_season", "_round").write.partitionBy("_season", "_round").parquet(f"{draft}/parts")
 
 
 def _folder(spark: SparkSession, path: str):
@@ -208,7 +210,7 @@ def publish(spark: SparkSession, path: str, draft: str) -> None:
         for a, b in reversed(done):
             fs.rename(b, a)
         fs.delete(note, False)
-        for folder in (note.getParent(), hadoop(path), hadoop(f"{path}-manifest")):
+        for folder in (note.getParent(), hadoop(path), hadoop(f"{path}-manifest"), hadoop(f"{path}-parts")):
             _forget_empty(fs, folder)
         raise
     fs.delete(note, False)
@@ -238,7 +240,7 @@ def moved(spark: SparkSession, fs, path: str, draft: str, done: list[tuple]) ->
             raise ArtifactError(f"{a} can't be moved to {b}")
         done.append((a, b))
 
-    for kind, target in (("data", path), ("manifest", f"{path}-manifest")):
+    for kind, target in (("data", path), ("manifest", f"{path}-manifest"), ("parts", f"{path}-parts")):
         if not fs.exists(hadoop(f"{draft}/{kind}")):
             continue
         for season in fs.listStatus(hadoop(f"{draft}/{kind}")):
@@ -335,6 +337,15 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return out.drop("_season", "_round")
 
 
+def stored_summary(spark: SparkSession, path: str) -> DataFrame:
+    """``corpus_summary`` of the datasets at ``path``, from what was stored of each race: their rows aren't read."""
+    recover(spark, path)
+    if not exists(spark, f"{path}-parts"):
+        raise ArtifactError(f"there are no parts of a summary at {path}-parts")
+    schema = "RaceId string, Season int, RoundNumber int, rows long, snapshots long, drivers array<string>"
+    return merged_summary(spark.read.schema(schema).parquet(f"{path}-parts"))
+
+
 def verify_checksum(spark: SparkSession, path: str) -> DataFrame:
     """Whether the files of each race in the manifests still are what these say, by SHA-256. Files that are gone aren't."""
     recover(spark, path)

@@ -219,3 +219,13 @@ def test_a_hot_round_is_split(spark):
     sizes = [r.n for r in got]
     assert len(sizes) == 4 and max(sizes) <= 2 * sum(sizes) / len(sizes)
     assert all(tuple(a.hi) <= tuple(b.lo) for a, b in zip(got, got[1:]))
+
+
+def test_a_stored_summary_reads_no_data(spark, tmp_path):
+    path, d = f"file://{tmp_path}/d", the_dataset(spark).unionByName(the_dataset(spark, "2023_02_x", 2023, 2))
+    io.write_race_dataset(d, path)
+    got = io.stored_summary(spark, path)
+    assert tuple(got.first()) == tuple(corpus.corpus_summary(d).first()) == (2, 2, 18, 6, 3, "2023_02_x", "2024_01_test")
+    assert all("/d-parts/" in f for f in got.inputFiles())
+    io.write_race_dataset(the_dataset(spark).filter("Driver <> 'BOT'"), path, overwrite=True)
+    assert io.stored_summary(spark, path).first().row_count == 15
