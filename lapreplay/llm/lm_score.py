@@ -139,8 +139,9 @@ def block_words(row: dict) -> Iterator[pa.RecordBatch]:
 
 
 def listed(row: dict) -> Iterator[pa.RecordBatch]:
+    """Each word of a block with its place in it."""
     words = np.frombuffer(row["words"], "i8")
-    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), row["block"])), pa.array(words)], ["block", "word"])
+    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), row["block"])), pa.array(words), pa.array(np.arange(len(words), dtype="i4"))], ["block", "word", "at"])
 
 
 def mixed(number: np.ndarray) -> np.ndarray:
@@ -219,7 +220,7 @@ def grown(table: pa.Table, whole: pa.Table, discount: float) -> pa.Table:
     return pa.table({"shard": table.column("shard").slice(0, 1), "tokens": pa.array([sum(table.column("tokens").to_pylist())]), "trie": pa.array([np.array([len(trie)], "i8").tobytes() + pa.compress(trie, "zstd", asbytes=True)], pa.binary())})
 
 
-def token_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out=None, block_tokens: int = 1 << 19) -> DataFrame:
+def token_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out=None, block_tokens: int = 3 << 18) -> DataFrame:
     """``docs`` as written blocks of word numbers. ``held_out``: a condition on ``docs`` for texts that don't train."""
     if not 0 < block_tokens <= 1 << 20:
         raise ValueError("block_tokens must be in 1..1048576")
@@ -242,11 +243,34 @@ def counted_blocks(blocks: DataFrame, path: str) -> DataFrame:
     sizes = words.groupBy("part").agg(F.count("*").alias("size"))  # as few rows as the table has files
     before = F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     words = words.join(F.broadcast(sizes.select("part", before.alias("before"))), "part").select("word", "n", (F.col("before") + F.col("place")).alias("number"))
-    mine = blocks.select("block", "words").mapInArrow(each_block(listed), "block long, word long")
-    cells = F.struct("word", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("number", F.lit(-1)).alias("number"))
-    known = mine.join(words, "word", "left").groupBy("block").agg(F.sort_array(F.collect_list(cells)).alias("known"))
-    known = known.select("block", F.col("known.n").alias("n"), F.col("known.number").alias("number"))
-    return written(blocks.drop("words").join(known, "block"), "counted-blocks")
+    mine = blocks.select("block", "words").mapInArrow(each_block(listed), "block long, word long, at int")
+    # A word's place in its block and its number share a long, so that half as much goes back to the blocks.
+    cells = F.struct((F.shiftleft(F.col("at").cast("long"), _PLACE) + F.col("number")).alias("at"), "n")
+    known = written(mine.join(words, "word").groupBy("block").agg(F.collect_list(cells).alias("known")), "known")
+    counted = blocks.withColumn("size", F.expr("octet_length(words) div 8")).drop("words").join(known, "block", "left")
+    kind = blocks.schema["ids"].dataType.simpleString()
+    out = written(counted.mapInArrow(numbered, f"block long, ids {kind}, rows binary, lengths binary, held binary, seq binary, n array<long>, number array<long>"), "counted-blocks")
+    forget(known)
+    return out
+
+
+#: Bits of a word's number beside its place in a block.
+_PLACE = 42
+
+
+def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks with the counts and numbers of their words in order; 0 and -1 of words that no training text has."""
+    for batch in batches:
+        for i in range(len(batch)):
+            part = batch.slice(i, 1)
+            known, n, number = part.column("known"), np.zeros(part.column("size")[0].as_py(), "i8"), np.full(part.column("size")[0].as_py(), -1, "i8")
+            if known.null_count == 0:
+                cells = known.flatten()
+                key = cells.field("at").to_numpy()
+                at = key >> _PLACE
+                n[at], number[at] = cells.field("n").to_numpy(), key & ((1 << _PLACE) - 1)
+            lists = [pa.array([x], pa.list_(pa.int64())) for x in (n, number)]
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("block", "ids", "rows", "lengths", "held", "seq")], *lists], ["block", "ids", "rows", "lengths", "held", "seq", "n", "number"])
 
 
 def train(blocks: DataFrame, path: str | None = None, **more) -> Model:

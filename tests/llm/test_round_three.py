@@ -101,7 +101,7 @@ def test_lm_texts_longer_than_a_block(spark):
     rows = [(i, " ".join(f"w{(i * j) % 7}" for j in range(50))) for i in range(1, 6)]
     d = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
     found = []
-    for size in (7, 1 << 19):
+    for size in (7, 3 << 18):
         blocks = lm_score.token_blocks(d, block_tokens=size)
         model = lm_score.train(blocks)
         got = {r.doc_id: r for r in lm_score.score(blocks, model).collect()}
