@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 
 RACE = ("RaceId",)
 
-# The public column names.
+# Fixed values, down to SESSION_TYPES: the public names of columns and session types.
 LAP_COLUMNS = ("Driver", "LapNumber", "LapTime", "Position", "Stint", "Compound", "TyreLife", "TrackStatus")
 REPLAY_INPUT = ("Driver", "LapNumber", "Position", "Stint", "Compound", "TyreLife", "TrackStatus", "LapTimeSeconds")
 METADATA = ("RaceId", "Season", "RoundNumber", "EventName", "SessionName")
