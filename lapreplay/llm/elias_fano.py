@@ -66,7 +66,7 @@ class EliasFano:
         """The low bits of the elements ``i``."""
         at = i * self.low
         word, off = at >> 6, (at & 63).astype("u8")
-        rest = np.where(off > 0, self.words[word + 1] << ((np.uint64(64) - off) & np.uint64(63)), np.uint64(0))
+        rest = (self.words[word + 1] << np.uint64(1)) << (np.uint64(63) - off)  # nothing where off is 0
         return ((self.words[word] >> off) | rest) & self.mask
 
     def all(self) -> np.ndarray:
@@ -123,12 +123,13 @@ def build(words: np.ndarray, v: np.ndarray, u: np.ndarray, w: np.ndarray, c: np.
     """
     d = max(len(words), 1)
     pair = v * d + u
-    order = np.argsort(pair)
-    rank = np.zeros(len(pair), "i8")
-    rank[order] = np.cumsum(np.append(0, pair[order][1:] != pair[order][:-1])) if len(pair) else 0
-    key = rank * d + w
-    order = np.argsort(key)
-    key, v, u, w, c = key[order], v[order], u[order], w[order], c[order]
+    if (pair[1:] < pair[:-1]).any():
+        order = np.argsort(pair)
+        pair, v, u, w, c = (x[order] for x in (pair, v, u, w, c))
+    key = np.cumsum(np.append(0, pair[1:] != pair[:-1])) * d + w if len(pair) else pair
+    if (key[1:] < key[:-1]).any():
+        order = np.argsort(key)
+        key, v, u, w, c = (x[order] for x in (key, v, u, w, c))
     at = runs(key)
     c = np.add.reduceat(c, at) if len(at) else c
     v, u, w = v[at], u[at], w[at]
@@ -176,24 +177,33 @@ class Trie:
         self.base = np.cumsum(each) - each
         self.value = np.exp2(-np.arange(65536) / STEPS)
 
-    def probabilities(self, words: np.ndarray, floor: np.ndarray, v: np.ndarray, u: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """Of each ``w`` after ``u v``, which are places in ``words`` (numbers, -1 for none); ``floor`` has the words' own probabilities."""
+    def probabilities(self, words: np.ndarray, floor: np.ndarray, v: np.ndarray, u: np.ndarray, w: np.ndarray, step: int = 1 << 18) -> np.ndarray:
+        """Of each ``w`` after ``u v``, which are places in ``words`` (numbers, -1 for none); ``floor`` has the words' own probabilities.
+
+        Words are looked up once, triples in turns of ``step``, and a pair ``u v`` once for all its neighbours.
+        """
         name, known = self.words.find(np.maximum(words, 0))
         known &= words >= 0
         context, seen = self.contexts.find(np.where(known, name, 0))
         seen &= known
         p = floor[w]
-        at = np.flatnonzero(seen[v])
-        context, w, u = context[v[at]], w[at], u[at]
+        for at in range(0, len(v), step):
+            at += np.flatnonzero(seen[v[at : at + step]])
+            p[at] = self._followed(context[v[at]], name, known, u[at], w[at], p[at])
+        return p
+
+    def _followed(self, context: np.ndarray, name: np.ndarray, known: np.ndarray, u: np.ndarray, w: np.ndarray, floor: np.ndarray) -> np.ndarray:
         pair, have = self.followers.find(context * self.d + name[w])
         have &= known[w]
-        low = np.where(have, self.value[self.p2[np.where(have, pair, 0)]], 0) + self.value[self.left2[context]] * p[at]
-        node, there = self.befores.find(context * self.d + name[u])
-        there &= known[u]
-        i = np.flatnonzero(there)
+        p = np.where(have, self.value[self.p2[np.where(have, pair, 0)]], 0) + self.value[self.left2[context]] * floor
+        key = np.where(known[u], context * self.d + name[u], -1)
+        first = runs(key)
+        node, there = self.befores.find(np.maximum(key[first], 0))
+        there &= key[first] >= 0
+        each = np.diff(np.append(first, len(key)))
+        node, i = np.repeat(node, each), np.flatnonzero(np.repeat(there, each))
         node = node[i]
         below, hit = self.trigrams.find(self.base[node] + (pair[i] - self.follow[context[i]]))
         hit &= have[i]
-        low[i] = np.where(hit, self.value[self.p3[np.where(hit, below, 0)]], 0) + self.value[self.left3[node]] * low[i]
-        p[at] = low
+        p[i] = np.where(hit, self.value[self.p3[np.where(hit, below, 0)]], 0) + self.value[self.left3[node]] * p[i]
         return p

@@ -47,8 +47,8 @@ class Model(NamedTuple):
 
 
 def hashed_words(text) -> F.Column:
-    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+", -1), lambda w: w != "")
-    return F.transform(words, lambda w: F.xxhash64(lower_ascii(w)))
+    words = F.filter(F.split(lower_ascii(text), r"[\x20\x09-\x0D]+", -1), lambda w: w != "")
+    return F.transform(words, lambda w: F.xxhash64(w))
 
 
 def squeezed(columns: list[np.ndarray]) -> bytes:
@@ -345,55 +345,64 @@ def own_scored(counted: DataFrame, path: str, shard_tokens: int = 2_000_000, dis
 
 def learned(pieces: pa.Table, whole: pa.Table, total: int, discount: float) -> pa.Table:
     """The trie of one shard, of its training texts, and the sums of log probabilities by row."""
-    got = [piece(p) for p in pieces.column("payload").to_pylist()]
+    got = [small(p.as_py()) for p in pieces.column("payload")]
     if not got:
         return pa.table({"_row": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
     rest = [whole.column(k).to_numpy() for k in "vwc"] if len(whole) else [np.zeros(0, "i8")] * 3
-    rows = [np.cumsum(np.frombuffer(r, "i8")) for r in pieces.column("rows").to_pylist()]
-    held = np.concatenate([np.frombuffer(h, "u1") for h in pieces.column("held").to_pylist()]) > 0
+    rows = [np.cumsum(np.frombuffer(r.as_py(), "i8")) for r in pieces.column("rows")]
+    held = np.concatenate([np.frombuffer(h.as_py(), "u1") for h in pieces.column("held")]) > 0
     names = np.concatenate(rows)
     before = np.cumsum([0, *map(len, rows)])
     words = np.unique(np.concatenate([*[x[0] for x in got], *rest[:2]]))
     counts = np.zeros(len(words))
-    for x in got:
-        counts[np.searchsorted(words, x[0])] = x[1]
-    v, u, w = (np.concatenate([np.searchsorted(words, x[0])[x[k]] for x in got]) for k in (2, 3, 4))
-    of = np.concatenate([x[5] + n for n, x in zip(before, got, strict=False)])
+    v, u, w, of = (np.empty(sum(len(x[5]) for x in got), "i4") for _ in range(4))
+    at = 0
+    for n, x in zip(before.tolist(), got, strict=False):
+        place, some = np.searchsorted(words, x[0]), slice(at, at := at + len(x[5]))
+        counts[place] = x[1]
+        v[some], u[some], w[some], of[some] = place[x[2]], place[x[3]], place[x[4]], x[5] + n
     del got
-    mine = np.flatnonzero(~held[of])
-    a, b, c, n = texts_of(v[mine], u[mine], w[mine], of[mine], len(words), len(names))
+    v, u, w, triple, of = distinct(v, u, w, of, len(words))
+    texts = triple.astype("i8")[~held[of]] * len(names) + of[~held[of]]
+    texts.sort()
+    c = np.bincount(texts[runs(texts)] // len(names), minlength=len(v)) if len(texts) else np.zeros(len(v), "i8")
+    del texts
     known = words[words >= 0]  # the others are in no training text
     off = len(words) - len(known)
-    trie = build(known, a - off, b - off, c - off, n, discount, (np.searchsorted(known, rest[0]), np.searchsorted(known, rest[1]), rest[2]))
-    del mine, a, b, c, n
+    mine = np.flatnonzero(c)
+    trie = build(known, v[mine] - off, u[mine] - off, w[mine] - off, c[mine], discount, (np.searchsorted(known, rest[0]), np.searchsorted(known, rest[1]), rest[2]))
+    del c, mine
     with tempfile.TemporaryFile() as f:
         f.write(trie)
         f.flush()
         del trie
-        opened_trie = Trie(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
-        sums = np.zeros(len(names))
-        for at in range(0, len(v), 1 << 18):
-            some = slice(at, at + (1 << 18))
-            p = opened_trie.probabilities(words, (counts + 1) / total, v[some], u[some], w[some])
-            sums += np.bincount(of[some], np.log10(p), len(names))
+        logs = np.log10(Trie(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)).probabilities(words, (counts + 1) / total, v, u, w))
+    del v, u, w
+    sums = np.bincount(of, logs[triple], len(names))
     at = np.flatnonzero(np.bincount(of, minlength=len(names)))
     return pa.table({"_row": pa.array(names[at]), "score": pa.array(sums[at])})
 
 
-def texts_of(v: np.ndarray, u: np.ndarray, w: np.ndarray, of: np.ndarray, words: int, texts: int) -> tuple[np.ndarray, ...]:
-    """The distinct triples, and how many texts hold each."""
-    pair = v * words + u
-    order = np.argsort(pair)
-    rank = np.empty(len(pair), "i8")
-    rank[order] = np.cumsum(np.append(0, pair[order][1:] != pair[order][:-1])) if len(pair) else 0
-    key = rank * words + w
+def small(payload: bytes) -> list[np.ndarray]:
+    """A piece whose places take four bytes each."""
+    number, n, *places = piece(payload)
+    return [number, n, *[x.astype("i4") for x in places]]
+
+
+def distinct(v: np.ndarray, u: np.ndarray, w: np.ndarray, of: np.ndarray, words: int) -> tuple[np.ndarray, ...]:
+    """The distinct triples in ascending order, and for each token, by triple, the place of its triple and its text."""
+    bits = max(words - 1, 1).bit_length()
+    key = v.astype("i8") * (1 << bits) + u
+    if 3 * bits > 63:  # pairs by rank instead
+        key = np.unique(key, return_inverse=True)[1]
+    key <<= bits
+    key |= w
     order = np.argsort(key)
-    at = runs(key[order])
-    place = np.cumsum(np.bincount(at, minlength=len(key)))[: len(key)] - 1 if len(key) else key
-    held = np.sort(place * texts + of[order])
-    n = np.bincount(held[runs(held)] // texts, minlength=len(at)) if len(at) else key
+    key = key[order]
+    at = runs(key)
     first = order[at]
-    return v[first], u[first], w[first], n
+    triple = np.repeat(np.arange(len(at), dtype="i4"), np.diff(np.append(at, len(key))))
+    return *(x[first].astype("i8") for x in (v, u, w)), triple, of[order]
 
 
 def asked(row: dict, model: Model) -> Iterator[pa.RecordBatch]:

@@ -219,3 +219,15 @@ def test_shared_cuts():
         last = np.cumsum([len(t[0]) for t in texts]) - 1
         # texts follow each other without a gap in bytes; the gaps here stand for nothing
         assert (align_tokens.shared_cuts(a, b, last) == np.isin(a, b)).all()
+
+
+@pytest.mark.parametrize("words", [9, 1 << 22])
+def test_distinct_triples(words):
+    """Places too wide to share a number are ranked by pair; the result is the same."""
+    rng = np.random.default_rng(3)
+    v, u, w, of = rng.integers(0, 9, (4, 500)).astype("i4")
+    a, b, c, triple, text = lm_score.distinct(v, u, w, of, words)
+    rows = sorted(zip(v.tolist(), u.tolist(), w.tolist()))
+    assert list(zip(a.tolist(), b.tolist(), c.tolist())) == sorted(set(rows))
+    assert [(a[i], b[i], c[i]) for i in triple] == rows
+    assert sorted(zip(triple.tolist(), text.tolist())) == sorted((sorted(set(rows)).index(r[:3]), r[3]) for r in zip(v.tolist(), u.tolist(), w.tolist(), of.tolist()))
