@@ -33,6 +33,8 @@ END = -(1 << 63)
 BLOCK = "block long, ids array<{}>, rows binary, lengths binary, held binary, words binary, seq binary"
 WORDS = "word long, n long, part int, place long"
 PIECE = "shard int, salt int, tokens long, payload binary"
+#: Sums of log probabilities of a block's texts, of those that a shard has words of: their places in the block, and the sums.
+SUMS = "block long, at binary, sums binary"
 
 
 class Model(NamedTuple):
@@ -337,22 +339,21 @@ def own_scored(counted: DataFrame, path: str, shard_tokens: int = 2_000_000, dis
         pairs = counted.mapInArrow(each_block(partial(heavy_contexts, heavy=model.heavy)), "v long, u long, n long").groupBy("v", "u").agg(F.sum("n").alias("n"))
         if not pairs.filter(F.col("n") > shard_tokens).isEmpty():
             return scored(counted, model := grow(counted, path, shard_tokens, discount)), model
-    dealt = counted.mapInArrow(each_block(partial(asked, model=model)), PIECE + ", rows binary, held binary")
+    dealt = counted.mapInArrow(each_block(partial(asked, model=model)), PIECE + ", block long, held binary")
     learn = partial(learned, total=model.tokens + model.kinds + 1, discount=discount)
-    sums = dealt.groupBy("shard").cogroup(followers(counted, model).groupBy("shard")).applyInArrow(learn, "_row long, score double")
+    sums = dealt.groupBy("shard").cogroup(followers(counted, model).groupBy("shard")).applyInArrow(learn, SUMS)
     return summed(counted, sums, model), model
 
 
 def learned(pieces: pa.Table, whole: pa.Table, total: int, discount: float) -> pa.Table:
-    """The trie of one shard, of its training texts, and the sums of log probabilities by row."""
+    """The trie of one shard, of its training texts, and what it says of each block."""
     got = [small(p.as_py()) for p in pieces.column("payload")]
     if not got:
-        return pa.table({"_row": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        return by_block([], [], [])
     rest = [whole.column(k).to_numpy() for k in "vwc"] if len(whole) else [np.zeros(0, "i8")] * 3
-    rows = [np.cumsum(np.frombuffer(r.as_py(), "i8")) for r in pieces.column("rows")]
-    held = np.concatenate([np.frombuffer(h.as_py(), "u1") for h in pieces.column("held")]) > 0
-    names = np.concatenate(rows)
-    before = np.cumsum([0, *map(len, rows)])
+    held = [np.frombuffer(h.as_py(), "u1") > 0 for h in pieces.column("held")]
+    before = np.cumsum([0, *map(len, held)])
+    held, n_texts = np.concatenate(held), int(before[-1])
     words = np.unique(np.concatenate([*[x[0] for x in got], *rest[:2]]))
     counts = np.zeros(len(words))
     v, u, w, of = (np.empty(sum(len(x[5]) for x in got), "i4") for _ in range(4))
@@ -363,9 +364,9 @@ def learned(pieces: pa.Table, whole: pa.Table, total: int, discount: float) -> p
         v[some], u[some], w[some], of[some] = place[x[2]], place[x[3]], place[x[4]], x[5] + n
     del got
     v, u, w, triple, of = distinct(v, u, w, of, len(words))
-    texts = triple.astype("i8")[~held[of]] * len(names) + of[~held[of]]
+    texts = triple.astype("i8")[~held[of]] * n_texts + of[~held[of]]
     texts.sort()
-    c = np.bincount(texts[runs(texts)] // len(names), minlength=len(v)) if len(texts) else np.zeros(len(v), "i8")
+    c = np.bincount(texts[runs(texts)] // n_texts, minlength=len(v)) if len(texts) else np.zeros(len(v), "i8")
     del texts
     known = words[words >= 0]  # the others are in no training text
     off = len(words) - len(known)
@@ -378,9 +379,24 @@ def learned(pieces: pa.Table, whole: pa.Table, total: int, discount: float) -> p
         del trie
         logs = np.log10(Trie(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)).probabilities(words, (counts + 1) / total, v, u, w))
     del v, u, w
-    sums = np.bincount(of, logs[triple], len(names))
-    at = np.flatnonzero(np.bincount(of, minlength=len(names)))
-    return pa.table({"_row": pa.array(names[at]), "score": pa.array(sums[at])})
+    sums, n = np.bincount(of, logs[triple], n_texts), np.bincount(of, minlength=n_texts)
+    return by_block(pieces.column("block").to_pylist(), *[[x[i:j] for i, j in zip(before[:-1], before[1:], strict=True)] for x in (sums, n)])
+
+
+def by_block(blocks: list[int], sums: list[np.ndarray], n: list[np.ndarray]) -> pa.Table:
+    """A row for each block's piece: which texts have words in it (``n``), and their sums."""
+    at = [np.flatnonzero(x) for x in n]
+    cells = [pa.array([x.tobytes() for x in c], pa.binary()) for c in ([a.astype("u4") for a in at], [x[a] for x, a in zip(sums, at, strict=True)])]
+    return pa.table([pa.array(blocks, pa.int64()), *cells], ["block", "at", "sums"])
+
+
+def block_sums(rows: pa.Table, sums: pa.Table) -> pa.Table:
+    """What all shards say of the texts of a block, by row."""
+    names = np.frombuffer(rows.column("rows")[0].as_py(), "i8")
+    total = np.zeros(len(names))
+    for at, x in zip(sums.column("at"), sums.column("sums"), strict=True):
+        total[np.frombuffer(at.as_py(), "u4")] += np.frombuffer(x.as_py(), "f8")
+    return pa.table({"_row": pa.array(names), "score": pa.array(total)})
 
 
 def small(payload: bytes) -> list[np.ndarray]:
@@ -411,12 +427,12 @@ def asked(row: dict, model: Model) -> Iterator[pa.RecordBatch]:
     order = np.argsort((b.v << 42) | (b.u << 21) | b.w)
     v, u, w, of = (x[order] for x in (b.v, b.u, b.w, b.of))
     for out in pieces(spread(number, v, u, model.shards, model.heavy), model.shards, v, u, w, [number, np.minimum(n, (1 << 32) - 1)], of, np.ones(len(v), "i8"), lambda s: row["block"] % model.salts.get(s, 1)):
-        yield out.append_column("rows", pa.array([np.diff(b.rows, prepend=0).tobytes()], pa.binary())).append_column("held", pa.array([row["held"]], pa.binary()))
+        yield out.append_column("block", pa.array([row["block"]])).append_column("held", pa.array([row["held"]], pa.binary()))
 
 
 def answered(pieces: pa.Table, tries: pa.Table, total: int) -> pa.Table:
-    """Sums of log probabilities by row and piece. The trie is mapped from an unnamed file, gone when the task is done with it."""
-    rows, sums = [], []
+    """What a shard's trie says of each block. It is mapped from an unnamed file, gone when the task is done with it."""
+    sums, n = [], []
     with tempfile.TemporaryFile() as f:
         trie = None
         if len(tries):
@@ -425,15 +441,13 @@ def answered(pieces: pa.Table, tries: pa.Table, total: int) -> pa.Table:
             del raw
             f.flush()
             trie = Trie(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
-        for payload, names in zip(pieces.column("payload"), pieces.column("rows"), strict=True):
-            number, n, v, u, w, of = piece(payload.as_py())
-            alone = (n + 1) / total
+        for payload in pieces.column("payload"):
+            number, count, v, u, w, of = piece(payload.as_py())
+            alone = (count + 1) / total
             p = trie.probabilities(number, alone, v, u, w) if trie else alone[w]
-            names = np.cumsum(np.frombuffer(names.as_py(), "i8"))
-            at = np.flatnonzero(np.bincount(of, minlength=len(names)))
-            rows.append(names[at])
-            sums.append(np.bincount(of, np.log10(p), len(names))[at])
-    return pa.table({"_row": pa.array(np.concatenate(rows) if rows else np.zeros(0, "i8")), "score": pa.array(np.concatenate(sums) if sums else np.zeros(0))})
+            sums.append(np.bincount(of, np.log10(p)))
+            n.append(np.bincount(of))
+    return by_block(pieces.column("block").to_pylist(), sums, n)
 
 
 def alone(row: dict, model: Model) -> Iterator[pa.RecordBatch]:
@@ -452,12 +466,12 @@ def score(blocks: DataFrame, model: Model) -> DataFrame:
 
 def scored(counted: DataFrame, model: Model) -> DataFrame:
     spark: SparkSession = counted.sparkSession
-    dealt = counted.mapInArrow(each_block(partial(asked, model=model)), PIECE + ", rows binary, held binary")
+    dealt = counted.mapInArrow(each_block(partial(asked, model=model)), PIECE + ", block long, held binary")
     tries = spark.read.parquet(f"{model.path}/tries").select("shard", "trie")
     salts = F.broadcast(spark.createDataFrame([*model.salts.items()], "shard int, salts int"))  # fewer than there are shards
     tries = tries.join(salts, "shard", "left").select("shard", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"), "trie")
     total = model.tokens + model.kinds + 1
-    sums = dealt.groupBy("shard", "salt").cogroup(tries.groupBy("shard", "salt")).applyInArrow(partial(answered, total=total), "_row long, score double")
+    sums = dealt.groupBy("shard", "salt").cogroup(tries.groupBy("shard", "salt")).applyInArrow(partial(answered, total=total), SUMS)
     return summed(counted, sums, model)
 
 
@@ -465,6 +479,7 @@ def summed(counted: DataFrame, sums: DataFrame, model: Model) -> DataFrame:
     """One row for each text, of what its blocks say of it and the shards' sums."""
     kind = counted.schema["ids"].dataType.elementType.simpleString()
     base = counted.mapInArrow(each_block(partial(alone, model=model)), f"_row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double")
+    sums = counted.select("block", "rows").groupBy("block").cogroup(sums.groupBy("block")).applyInArrow(block_sums, "_row long, score double")
     every = base.unionByName(sums, allowMissingColumns=True).groupBy("_row")
     return every.agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
 
