@@ -3,6 +3,9 @@
 from pyspark.sql import functions as F
 
 from lapreplay import queries
+from lapreplay.operators import corpus
+
+FOLDER = "/root/testdata/sf0.001"
 
 
 def test_sorted_rows_are_numbered_from_one_run(spark):
@@ -11,3 +14,21 @@ def test_sorted_rows_are_numbered_from_one_run(spark):
     got = queries._numbered(df.orderBy("x"))
     assert "rangepartitioning" not in got._jdf.queryExecution().executedPlan().toString()
     assert [r.place for r in sorted(got.select("x", "more", "place").collect())] == list(range(1, 20_001))
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stored_laps_have_many_files(spark, monkeypatch, tmp_path):
+    """No single task sorts all laps."""
+    monkeypatch.setattr(queries, "folder", lambda s, name: f"file://{tmp_path}/{name}")
+    queries.sample_stored_rows(spark, FOLDER)
+    assert len(list((tmp_path / "laps").glob("part-*.parquet"))) == 4
+
+
+def test_expanded_and_sorted_rows_keep_all_partitions(spark):
+    """Tasks aren't merged by what they shuffle where that is much less than what they sort."""
+    d = queries.the_dataset(spark, FOLDER)
+    assert "REPARTITION_BY_NUM" in _plan(d) and "REPARTITION_BY_COL" not in _plan(d)
+    assert "REPARTITION_BY_COL" not in _plan(corpus.sorted_for_storage(d))
