@@ -18,10 +18,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lapreplay.functions import coerce
-from lapreplay.operators.corpus import merged_summary, sorted_for_storage, summary_parts
+from lapreplay.operators.corpus import in_ranges, merged_summary, storage_bounds, storage_order, summary_parts
 from lapreplay.operators.dataset import require_schema, require_sessions, validate_race_dataset
 from lapreplay.schemas import DATASET, DATASET_SCHEMA, METADATA, SESSION_TYPES, TARGET, ArtifactError, RaceDataError
-from lapreplay.sources.staging import Checks
+from lapreplay.sources.staging import Checks, remove
 
 SCHEMA_VERSION = 1
 MANIFEST = (
@@ -170,10 +170,15 @@ def write_race_dataset(dataset: DataFrame, path: str, overwrite: bool = False, c
 def write_draft(dataset: DataFrame, path: str, draft: str, check: bool = True, checks: Checks | None = None) -> None:
     """Write what is to be published at ``path`` to ``draft``: ``data``, ``manifest`` and ``parts`` (of a summary) by season and round. Raises on broken rules."""
     spark = dataset.sparkSession
-    stored = dataset.withColumns({"_season": F.col("Season"), "_round": F.col("RoundNumber")})
-    sorted_for_storage(stored).write.partitionBy("_season", "_round").parquet(f"{draft}/data")
+    dataset.write.parquet(f"{draft}/rows")  # the plan runs once; its rows are counted, asked for bounds and dealt from there
     if checks:
         checks.enforce()
+    rows = spark.read.schema(dataset.schema).parquet(f"{draft}/rows")
+    storage_bounds(rows).write.parquet(f"{draft}/bounds")
+    stored = in_ranges(rows, spark.read.parquet(f"{draft}/bounds"), rows.count()).withColumns({"_season": F.col("Season"), "_round": F.col("RoundNumber")})
+    stored.sortWithinPartitions("_season", "_round", *storage_order()).write.partitionBy("_season", "_round").parquet(f"{draft}/data")
+    for name in ("rows", "bounds"):
+        remove(spark, f"{draft}/{name}")
     written = spark.read.schema(DATASET_SCHEMA).parquet(f"{draft}/data").select(*DATASET)
     if check:
         validate_race_dataset(written)

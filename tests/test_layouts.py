@@ -32,3 +32,20 @@ def test_expanded_and_sorted_rows_keep_all_partitions(spark):
     d = queries.the_dataset(spark, FOLDER)
     assert "REPARTITION_BY_NUM" in _plan(d) and "REPARTITION_BY_COL" not in _plan(d)
     assert "REPARTITION_BY_COL" not in _plan(corpus.sorted_for_storage(d))
+
+
+def test_ranges_depend_on_rows_alone(spark):
+    """However its rows are dealt, a race has the same ranges, in order."""
+    d = queries.the_dataset(spark, FOLDER).localCheckpoint()
+    many = d.withColumn("SnapshotLap", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(12).cast("long")))).withColumn("RoundNumber", (F.col("RoundNumber") % 3).cast("int"))
+
+    def ranges(rows):
+        at = corpus.in_ranges(rows, corpus.storage_bounds(rows, 1000), rows.count(), 1000).withColumn("p", F.spark_partition_id())
+        key = F.struct("Season", "RoundNumber", corpus.storage_key())
+        return [tuple(r) for r in at.groupBy("p").agg(F.count("*").alias("n"), F.min(key).alias("lo"), F.max(key).alias("hi"), F.sum(F.xxhash64("RaceId", "Driver", "SnapshotLap").cast("decimal(38,0)")).alias("h")).orderBy("p").collect()]
+
+    one = ranges(many.localCheckpoint())
+    assert one == ranges(many.repartition(7).localCheckpoint())
+    assert sum(r[1] for r in one) == 12 * 1963 and len(one) > 12 and max(r[1] for r in one) < 4000
+    rank = lambda x: (x[0], x[1], x[2][0], x[2][1], x[2][2] or 0, x[2][3])
+    assert all(rank(a[3]) <= rank(b[2]) for a, b in zip(one, one[1:]))
