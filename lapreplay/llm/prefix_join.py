@@ -9,7 +9,8 @@ hashes (the prefix), so documents meet by prefix hash.
    of the smaller set: a class with fewer hashes that any other has than its smallest partner asks for leaves here.
 2. Classes with the same first shared prefix hash form a block of bounded size. A block puts its sets into a
    prefix tree and looks every set up in it: subtrees share the overlap counted so far and are left out once
-   what remains can't reach the threshold. A block returns a spanning forest of its links.
+   what remains can't reach the threshold. A block returns a spanning forest of its links. Classes of a crowd are in a block of
+   their commonest prefix hash too.
 3. Only pairs that these links leave apart can still matter. They meet at each prefix hash that they share,
    a 512-bit parity sketch rules out most, and the rest are compared exactly.
 
@@ -35,6 +36,8 @@ from lapreplay.llm.components import components
 REMEMBERED = 400_000
 FREQUENT_LIMIT = 1_000_000
 BLOCK = 512
+#: Sets whose commonest prefix hash more than so many share are in a second block, of that hash.
+CROWD = 64
 SKETCH = 512
 #: Sets of a prefix hash that one group of step 3 compares at most, or so: outside the largest component, and all.
 FEW, MANY = 512, 2048
@@ -459,12 +462,13 @@ def class_links(sets: DataFrame, num: int, den: int, broadcast_rows: int = BROAD
     near = F.broadcast(first) if first.count() <= broadcast_rows else first
     own = sets.select("key", "n", "tokens").join(near, "key").groupBy("key").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"), F.first("block").alias("block"), F.first("keys").alias("keys"))
     own = written(own, "candidates")
-    # A block of many is cut up by hash; every part also gets the same few of its sets, to which most others link.
-    parts = F.ceil(F.col("keys") / BLOCK).cast("int")
-    hub = F.pmod(F.xxhash64("key", F.lit(1)), F.greatest(F.lit(1), (F.col("keys") / 16).cast("int"))) == 0
-    part = F.when(hub, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("key"), parts).cast("int")))
-    blocks = own.select("block", F.explode(part).alias("part"), "key", "n", "tokens").groupBy("block", "part")
-    links = written(blocks.applyInArrow(block_function(num, den), "a long, b long"), "block-links")
+    # The first shared hash of a near copy may be one of its few changes, which hardly any other has: where its commonest one has
+    # many sets, it is in a block of that too. Else a large group would be left in pieces, and step 3 would list all their pairs.
+    homes = shared.groupBy("key").agg(F.max(F.struct("keys", "token")).alias("t")).filter(F.col("t.keys") > CROWD)
+    homes = written(homes.select("key", F.col("t.token").alias("block"), F.col("t.keys").alias("keys")), "homes")
+    crowded = F.broadcast(homes) if homes.count() <= broadcast_rows else homes
+    again = in_blocks(own.select("key", "n", "tokens").join(crowded, "key"), num, den)
+    links = written(in_blocks(own, num, den).unionByName(again), "block-links")
     roots = written(components(links), "roots")
     shared = shared.join(near.select("key"), "key", "left_semi")
     rows = shared.join(roots, shared["key"] == roots["node"], "left").select("token", "key", "n", F.coalesce("root", "key").alias("root"))
@@ -489,6 +493,18 @@ def class_links(sets: DataFrame, num: int, den: int, broadcast_rows: int = BROAD
     return links.unionByName(exact(apart(close, written(components(links), "roots"))))
 
 
+def in_blocks(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links ``a, b`` within the blocks of ``sets`` (``block, keys, key, n, tokens``), a spanning forest of each.
+
+    A block of many is cut up by hash; every part also gets the same few of its sets, to which most others link.
+    """
+    parts = F.ceil(F.col("keys") / BLOCK).cast("int")
+    hub = F.pmod(F.xxhash64("key", F.lit(1)), F.greatest(F.lit(1), (F.col("keys") / 16).cast("int"))) == 0
+    part = F.when(hub, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(F.xxhash64("key"), parts).cast("int")))
+    blocks = sets.select("block", F.explode(part).alias("part"), "key", "n", "tokens").groupBy("block", "part")
+    return blocks.applyInArrow(block_function(num, den), "a long, b long")
+
+
 def hot_tokens(sets: DataFrame, often, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """Prefix hashes that very many sets share, ascending, and about how many: at most 10,000, found by one in ``SAMPLE`` sets."""
     some = sets.filter(F.pmod(F.xxhash64("key", F.lit(1)), F.lit(SAMPLE)) == 0).select("n", "key", "tokens")

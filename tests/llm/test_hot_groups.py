@@ -76,3 +76,28 @@ def test_one_row_of_each(spark):
 def test_clashing_names(spark):
     d = spark.createDataFrame([(1, "one two three four", 1, 2, 3, 4, 5)], "doc_id long, text string, _h int, _doc int, _kept int, root int, first int")
     assert prefix_join.one_of_each(d).collect() == d.collect()
+
+
+def test_a_large_group_lists_few_pairs(spark, monkeypatch):
+    """Changes of their own come first in the order of hashes, so first shared hashes tear the group; a second block mends that."""
+    pairs = []
+    keep = prefix_join.written
+
+    def written(df, name):
+        out = keep(df, name)
+        if name == "pairs":
+            pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(prefix_join, "written", written)
+    rng, size = random.Random(5), 500
+    base, texts = [f"w{i}" for i in range(150)], []
+    for i in range(size):
+        words = list(base)
+        for _ in range(rng.choice([1, 2, 3, 3])):
+            words[rng.randrange(150)] = f"x{rng.randrange(6)}"
+        texts.append((i, " ".join(words)))
+    _, keys = prefix_join.grouped(spark.createDataFrame(texts, "doc_id long, text string"), 5, 80, 100, "doc_id", "text")
+    want = brute_force(texts, 5, 80, 100)
+    assert keys.select("root").distinct().count() == len(set(want.values()))
+    assert pairs[0] < 4 * size
