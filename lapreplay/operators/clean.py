@@ -25,12 +25,12 @@ class CleanedLaps(NamedTuple):
 def clean_columns(laps: DataFrame) -> DataFrame:
     """``laps`` with its known columns cleaned and ``LapTimeSeconds`` added. Others stay, and so do all rows."""
     kinds, c = {f.name: f.dataType for f in laps.schema.fields}, F.col
-    micros = coerce.lap_micros(c("LapTime"), kinds["LapTime"])
-    return laps.withColumns({
+    micros = c("_micros")
+    return laps.withColumn("_micros", coerce.lap_micros(c("LapTime"), kinds["LapTime"])).withColumns({
         "Driver": coerce.text(c("Driver"), upper=True), "Compound": coerce.text(c("Compound"), upper=True), "TrackStatus": coerce.text(c("TrackStatus")),
         **{n: coerce.whole(c(n), kinds[n]) for n in ("LapNumber", "Position", "Stint")},
         "TyreLife": coerce.number(c("TyreLife"), kinds["TyreLife"]), "LapTime": coerce.interval(micros), "LapTimeSeconds": coerce.seconds(micros),
-    })
+    }).drop("_micros")
 
 
 def lost_cells(laps: DataFrame, race_keys: Sequence[str] = RACE) -> DataFrame:

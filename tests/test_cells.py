@@ -93,3 +93,18 @@ def test_selection(spark):
     for bad in ((2025, 1), (2024, " "), (2024, 1, "X")):
         with pytest.raises(ValueError):
             pick(*bad)
+
+
+def test_cells_are_read_once(spark):
+    """Rules that share a cell share what is read from it: each pattern of a lap time is in the plan once or twice, not once for each part and rule."""
+    from lapreplay.operators.clean import clean_columns
+    from lapreplay.operators.validate import validate_laps
+
+    rows = [("r", "A", "1", "2", "1", "SOFT", "1", "1", x) for x in ("1 days 00:01:02.5", "-00:00:01", "00:01:30", "1 min 2 s", "PT1M2.5S", "90", "1:2", "", "0:0:1.23456789", "+00:00:00", None)]
+    laps = spark.createDataFrame(rows, "RaceId string, Driver string, LapNumber string, Position string, Stint string, Compound string, TyreLife string, TrackStatus string, LapTime string")
+    got = [r.LapTimeSeconds for r in clean_columns(laps).collect()]
+    assert got == [86462.5, -1.0, 90.0, 62.0, 62.5, None, None, None, 1.234567, 0.0, None]
+    assert validate_laps(laps).filter("code = 'invalid_lap_time'").first().affected_rows == 3
+    for df in (clean_columns(laps), validate_laps(laps)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert 1 <= plan.count("(\\d{1,9}) days") <= 2
