@@ -16,6 +16,7 @@ from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lapreplay.functions import coerce
 from lapreplay.operators.corpus import in_ranges, merged_summary, storage_bounds, storage_order, summary_parts
@@ -29,6 +30,8 @@ MANIFEST = (
     "snapshot_lap_max long, winner_row_count long, target_column string, columns array<string>, dtypes map<string,string>"
 )
 
+PARTS = "RaceId string, Season int, RoundNumber int, rows long, snapshots long, drivers array<string>"
+
 
 def event_predicate(event: Column, sessions_event: str = "EventName", sessions_round: str = "RoundNumber") -> Column:
     """Whether a session is the asked-for event: text of digits is a round, other text a name."""
@@ -146,12 +149,12 @@ def cleaning_report(cleaned: DataFrame, before: DataFrame, after: DataFrame, ses
     return out.withColumns({"columns": F.array(*[F.lit(f.name) for f in fields]), "dtypes": dtypes})
 
 
-def write_race_dataset(dataset: DataFrame, path: str, overwrite: bool = False, check: bool = True, checks: Checks | None = None) -> DataFrame:
+def write_race_dataset(dataset: DataFrame, path: str, overwrite: bool = False, check: bool = True, checks: Checks | None = None, kept: bool = False) -> DataFrame:
     """Write datasets by season and round, with their manifests below ``<path>-manifest`` and parts of a summary below ``<path>-parts``; returns the manifests.
 
     All is written to a draft beside ``path``, checked there (``checks``: rules that the write itself measures) and published as a
     whole. Overwriting replaces the written races, data and manifest, and leaves others. What fails on the way leaves both folders as
-    they were; what dies while it publishes is finished by whoever opens the dataset next.
+    they were; what dies while it publishes is finished by whoever opens the dataset next. ``kept``: see ``write_draft``.
     """
     spark = dataset.sparkSession
     recover(spark, path)
@@ -160,20 +163,27 @@ def write_race_dataset(dataset: DataFrame, path: str, overwrite: bool = False, c
         require_schema(dataset)
     draft = f"{path}-draft-{uuid.uuid4().hex}"
     try:
-        write_draft(dataset, path, draft, check, checks)
+        write_draft(dataset, path, draft, check, checks, kept)
         publish(spark, path, draft)
     finally:
         _folder(spark, draft)[0].delete(_folder(spark, draft)[1], True)
     return read_manifest(spark, path)
 
 
-def write_draft(dataset: DataFrame, path: str, draft: str, check: bool = True, checks: Checks | None = None) -> None:
-    """Write what is to be published at ``path`` to ``draft``: ``data``, ``manifest`` and ``parts`` (of a summary) by season and round. Raises on broken rules."""
-    spark = dataset.sparkSession
-    dataset.write.parquet(f"{draft}/rows")  # the plan runs once; its rows are counted, asked for bounds and dealt from there
-    if checks:
-        checks.enforce()
-    rows = spark.read.schema(dataset.schema).parquet(f"{draft}/rows")
+def write_draft(dataset: DataFrame, path: str, draft: str, check: bool = True, checks: Checks | None = None, kept: bool = False) -> None:
+    """Write what is to be published at ``path`` to ``draft``: ``data``, ``manifest`` and ``parts`` (of a summary) by season and round. Raises on broken rules.
+
+    The plan runs once: its rows are stored, and counted, asked for bounds and dealt from there. ``kept`` says that they come from files that
+    nobody changes meanwhile, by a plan that is cheap to run and gives the same rows each time; they aren't stored once more then.
+    """
+    spark, rows = dataset.sparkSession, dataset
+    if checks and kept:
+        raise ValueError("checks are measured while rows are stored")
+    if not kept:
+        dataset.write.parquet(f"{draft}/rows")
+        if checks:
+            checks.enforce()
+        rows = spark.read.schema(dataset.schema).parquet(f"{draft}/rows")
     storage_bounds(rows).write.parquet(f"{draft}/bounds")
     stored = in_ranges(rows, spark.read.parquet(f"{draft}/bounds"), rows.count()).withColumns({"_season": F.col("Season"), "_round": F.col("RoundNumber")})
     stored.sortWithinPartitions("_season", "_round", *storage_order()).write.partitionBy("_season", "_round").parquet(f"{draft}/data")
@@ -182,12 +192,12 @@ def write_draft(dataset: DataFrame, path: str, draft: str, check: bool = True, c
     written = spark.read.schema(DATASET_SCHEMA).parquet(f"{draft}/data").select(*DATASET)
     if check:
         validate_race_dataset(written)
-    manifest = dataset_manifest(written, path).drop("dataset_sha256")
-    sums = race_checksums(spark, f"{draft}/data")
-    manifest = manifest.join(sums, "race_id").select(*[f.name for f in spark.createDataFrame([], MANIFEST).schema], "_season", "_round")
-    manifest.repartition("_season", "_round").write.partitionBy("_season", "_round").json(f"{draft}/manifest")
     parts = summary_parts(written).withColumns({"_season": F.col("Season"), "_round": F.col("RoundNumber")})
     parts.repartition("_season", "_round").write.partitionBy("_season", "_round").parquet(f"{draft}/parts")
+    races = spark.read.schema(f"{PARTS}, first_snapshot long, last_snapshot long, winner_rows long").parquet(f"{draft}/parts").drop("_season", "_round")
+    sums = race_checksums(spark, f"{draft}/data", races)
+    manifest = parts_manifest(races, path).drop("dataset_sha256").join(sums, "race_id").select(*[f.name for f in spark.createDataFrame([], MANIFEST).schema], "_season", "_round")
+    manifest.repartition("_season", "_round").write.partitionBy("_season", "_round").json(f"{draft}/manifest")
 
 
 def _folder(spark: SparkSession, path: str):
@@ -306,17 +316,19 @@ def content_hash(df: DataFrame, key: str = "RaceId") -> DataFrame:
     return df.groupBy(key).agg(F.concat_ws(":", F.hex(F.bit_xor(row)), F.sum(row.cast("decimal(38,0)")).cast("string"), F.count("*").cast("string")).alias("content_hash"))
 
 
-def race_checksums(spark: SparkSession, path: str, **more: int) -> DataFrame:
+def race_checksums(spark: SparkSession, path: str, races: DataFrame | None = None, **more: int) -> DataFrame:
     """``race_id, dataset_sha256, _season, _round`` of stored races: SHA-256 of the race's file, or of its files' sums where it has several.
 
-    A folder holds one race; ``race_id`` comes from its rows.
+    A folder holds one race; ``race_id`` comes from its rows, or from ``races`` where these are known.
     """
     at = lambda c, name: F.regexp_extract(c, rf"/{name}=(-?\d+)/", 1).cast("int").alias(f"{name}")
     sums = file_checksums(spark, path, **more).select(at("path", "_season"), at("path", "_round"), F.struct(F.element_at(F.split("path", "/"), -1), "sha256").alias("f"))
     sums = sums.groupBy("_season", "_round").agg(F.transform(F.sort_array(F.collect_list("f")), lambda f: f["sha256"]).alias("sums"))
     sums = sums.select("_season", "_round", F.when(F.size("sums") == 1, F.get("sums", F.lit(0))).otherwise(F.sha2(F.concat_ws(",", "sums"), 256)).alias("dataset_sha256"))
-    races = spark.read.schema(DATASET_SCHEMA).parquet(path).groupBy("RaceId", F.col("Season").alias("_season"), F.col("RoundNumber").alias("_round")).agg(F.lit(1).alias("_one")).drop("_one")
-    return races.withColumnRenamed("RaceId", "race_id").join(sums, ["_season", "_round"])
+    if races is None:
+        races = spark.read.schema(DATASET_SCHEMA).parquet(path)
+    races = races.groupBy(F.col("RaceId").alias("race_id"), F.col("Season").alias("_season"), F.col("RoundNumber").alias("_round")).agg(F.lit(1).alias("_one")).drop("_one")
+    return races.join(sums, ["_season", "_round"])
 
 
 def dataset_manifest(dataset: DataFrame, path: str = "") -> DataFrame:
@@ -325,7 +337,21 @@ def dataset_manifest(dataset: DataFrame, path: str = "") -> DataFrame:
         F.first("Season").alias("_s"), F.first("RoundNumber").alias("_r"), F.count("*").alias("row_count"), F.countDistinct("SnapshotLap").alias("snapshot_count"), F.countDistinct("Driver").alias("driver_count"),
         F.min("SnapshotLap").alias("snapshot_lap_min"), F.max("SnapshotLap").alias("snapshot_lap_max"), F.count_if(TARGET).alias("winner_row_count"),
     )
-    types = F.create_map(*[F.lit(x) for f in dataset.select(*DATASET).schema.fields for x in (f.name, f.dataType.simpleString())])
+    return manifest_of(rows, dataset.select(*DATASET).schema, path)
+
+
+def parts_manifest(parts: DataFrame, path: str) -> DataFrame:
+    """``dataset_manifest`` of stored races, from the parts of their summary: their rows aren't read again."""
+    rows = parts.select(
+        "RaceId", F.col("Season").alias("_s"), F.col("RoundNumber").alias("_r"), F.col("rows").alias("row_count"), F.col("snapshots").alias("snapshot_count"), F.size("drivers").cast("long").alias("driver_count"),
+        F.col("first_snapshot").alias("snapshot_lap_min"), F.col("last_snapshot").alias("snapshot_lap_max"), F.col("winner_rows").alias("winner_row_count"),
+    )
+    return manifest_of(rows, DATASET_SCHEMA, path)
+
+
+def manifest_of(rows: DataFrame, schema: T.StructType, path: str) -> DataFrame:
+    """Manifests, of what was counted of each race."""
+    types = F.create_map(*[F.lit(x) for f in schema.fields for x in (f.name, f.dataType.simpleString())])
     file = F.format_string(f"{path}/_season=%d/_round=%d", "_s", "_r")
     return rows.select(
         F.lit(SCHEMA_VERSION).alias("schema_version"), F.col("RaceId").alias("race_id"), file.alias("dataset_file"), F.lit(None).cast("string").alias("dataset_sha256"), "row_count", "snapshot_count", "driver_count", "snapshot_lap_min", "snapshot_lap_max",
@@ -347,8 +373,7 @@ def stored_summary(spark: SparkSession, path: str) -> DataFrame:
     recover(spark, path)
     if not exists(spark, f"{path}-parts"):
         raise ArtifactError(f"there are no parts of a summary at {path}-parts")
-    schema = "RaceId string, Season int, RoundNumber int, rows long, snapshots long, drivers array<string>"
-    return merged_summary(spark.read.schema(schema).parquet(f"{path}-parts"))
+    return merged_summary(spark.read.schema(PARTS).parquet(f"{path}-parts"))
 
 
 def verify_checksum(spark: SparkSession, path: str) -> DataFrame:

@@ -229,3 +229,44 @@ def test_a_stored_summary_reads_no_data(spark, tmp_path):
     assert all("/d-parts/" in f for f in got.inputFiles())
     io.write_race_dataset(the_dataset(spark).filter("Driver <> 'BOT'"), path, overwrite=True)
     assert io.stored_summary(spark, path).first().row_count == 15
+
+
+def test_kept_rows_are_not_stored_again(spark, tmp_path, monkeypatch):
+    """Rows from files are dealt from there: a write neither stores them once more nor reads what it wrote for its manifests."""
+    both = the_dataset(spark).unionByName(the_dataset(spark, "2024_02_test", 2024, 2))
+    both.write.parquet(f"file://{tmp_path}/rows")
+    d, dropped = spark.read.parquet(f"file://{tmp_path}/rows"), []
+    keep = io.remove
+    monkeypatch.setattr(io, "remove", lambda s, p: (dropped.append((p.rsplit("/", 1)[-1], io.exists(s, p))), keep(s, p)))
+    monkeypatch.setattr(io, "dataset_manifest", None)
+    m = io.write_race_dataset(d, f"file://{tmp_path}/d", kept=True)
+    assert dict(dropped) == {"rows": False, "bounds": True}
+    want = ("row_count", "snapshot_count", "driver_count", "snapshot_lap_min", "snapshot_lap_max", "winner_row_count")
+    assert sorted(tuple(r[c] for c in ("race_id", *want)) for r in m.collect()) == [("2024_01_test", 9, 3, 3, 1, 3, 3), ("2024_02_test", 9, 3, 3, 1, 3, 3)]
+    assert sorted(map(tuple, io.read_race_dataset(spark, f"file://{tmp_path}/d").collect()), key=str) == sorted(map(tuple, both.collect()), key=str)
+    assert all(r.verified for r in io.verify_checksum(spark, f"file://{tmp_path}/d").collect())
+    with pytest.raises(ValueError, match="checks"):
+        io.write_draft(d, "d", "draft", checks=dataset.Checks(), kept=True)
+
+
+def test_summary_parts_copy_no_rows(spark):
+    """Rows are summed up by snapshot and by driver: neither copied for each distinct count, nor gathered as sets of drivers by snapshot."""
+    d = the_dataset(spark)
+    plan = corpus.summary_parts(d)._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan and "collect_set" not in plan
+    odd = d.withColumn("Driver", F.when(F.col("Driver") != "BOT", F.col("Driver")))
+    (r,) = corpus.summary_parts(odd).collect()
+    assert (r.rows, r.snapshots, sorted(r.drivers), r.first_snapshot, r.last_snapshot, r.winner_rows) == (9, 3, ["NOR", "VER"], 1, 3, 3)
+
+
+@pytest.mark.parametrize("name", ["overwrite_guard", "recovered_publication", "stored_summary"])
+def test_queries_run_a_plan_once(spark, monkeypatch, name):
+    """A query that writes a dataset several times makes it once."""
+    from lapreplay import queries
+
+    made, files = [], []
+    build, write = dataset.build_race_dataset, io.write_draft
+    monkeypatch.setattr(dataset, "build_race_dataset", lambda *a, **k: (made.append(1), build(*a, **k))[1])
+    monkeypatch.setattr(io, "write_draft", lambda d, *a, **k: (files.extend(d.inputFiles()), write(d, *a, **k))[1])
+    assert queries.QUERIES[name](spark, FOLDER).count() and len(made) == 1
+    assert files and not any("events.parquet" in f for f in files)
