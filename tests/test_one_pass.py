@@ -270,3 +270,13 @@ def test_queries_run_a_plan_once(spark, monkeypatch, name):
     monkeypatch.setattr(io, "write_draft", lambda d, *a, **k: (files.extend(d.inputFiles()), write(d, *a, **k))[1])
     assert queries.QUERIES[name](spark, FOLDER).count() and len(made) == 1
     assert files and not any("events.parquet" in f for f in files)
+
+
+def test_identity_is_checked_by_groups(spark):
+    """Blank and varying identities are counted from rows that share one, with what they were row by row."""
+    plan = dataset.check_dataset(the_dataset(spark))._jdf.queryExecution().optimizedPlan().toString()
+    rows = [line for line in plan.splitlines() if "count_if" in line or "count(if" in line]
+    assert not any("xxhash64" in line or "btrim" in line for line in rows)
+    bad = the_dataset(spark).withColumns({"EventName": F.when(F.col("Driver") == "BOT", "\t").when(F.col("Driver") == "NOR", None).otherwise(F.col("EventName")), "Season": F.when(F.col("SnapshotLap") > 1, F.col("Season")).otherwise(2023)})
+    got = sorted((r.code, r.affected_rows) for r in dataset.check_dataset(bad).collect())
+    assert got == [("blank_EventName", 6), ("varying_EventName", 1), ("varying_Season", 1)]
