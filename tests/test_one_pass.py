@@ -280,3 +280,10 @@ def test_identity_is_checked_by_groups(spark):
     bad = the_dataset(spark).withColumns({"EventName": F.when(F.col("Driver") == "BOT", "\t").when(F.col("Driver") == "NOR", None).otherwise(F.col("EventName")), "Season": F.when(F.col("SnapshotLap") > 1, F.col("Season")).otherwise(2023)})
     got = sorted((r.code, r.affected_rows) for r in dataset.check_dataset(bad).collect())
     assert got == [("blank_EventName", 6), ("varying_EventName", 1), ("varying_Season", 1)]
+
+
+def test_sessions_are_asked_for_distinct_races(spark):
+    """Laps are reduced to their races before the search for sessions without laps."""
+    plan = validate.empty_tables(sessions_of(spark), laps_of(spark))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [RaceId" in plan
+    assert [r.RaceId for r in validate.empty_tables(sessions_of(spark).unionByName(sessions_of(spark, "x")), laps_of(spark)).collect()] == ["x"]
