@@ -32,6 +32,9 @@ MANIFEST = (
 
 PARTS = "RaceId string, Season int, RoundNumber int, rows long, snapshots long, drivers array<string>"
 
+#: One encoding for each column: Parquet lists several in the order of a hash set, which differs between executors, and so would files of equal rows.
+ONE_ENCODING = {"parquet.writer.version": "v2", "parquet.enable.dictionary": "false"}
+
 
 def event_predicate(event: Column, sessions_event: str = "EventName", sessions_round: str = "RoundNumber") -> Column:
     """Whether a session is the asked-for event: text of digits is a round, other text a name."""
@@ -186,7 +189,7 @@ def write_draft(dataset: DataFrame, path: str, draft: str, check: bool = True, c
         rows = spark.read.schema(dataset.schema).parquet(f"{draft}/rows")
     storage_bounds(rows).write.parquet(f"{draft}/bounds")
     stored = in_ranges(rows, spark.read.parquet(f"{draft}/bounds"), rows.count()).withColumns({"_season": F.col("Season"), "_round": F.col("RoundNumber")})
-    stored.sortWithinPartitions("_season", "_round", *storage_order()).write.partitionBy("_season", "_round").parquet(f"{draft}/data")
+    stored.sortWithinPartitions("_season", "_round", *storage_order()).write.options(**ONE_ENCODING).partitionBy("_season", "_round").parquet(f"{draft}/data")
     for name in ("rows", "bounds"):
         remove(spark, f"{draft}/{name}")
     written = spark.read.schema(DATASET_SCHEMA).parquet(f"{draft}/data").select(*DATASET)

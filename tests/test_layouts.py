@@ -1,9 +1,11 @@
 """Orders and files that must not depend on the bounds that Spark samples."""
 
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from lapreplay import queries
 from lapreplay.operators import corpus
+from lapreplay.sources import io
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -49,3 +51,12 @@ def test_ranges_depend_on_rows_alone(spark):
     assert sum(r[1] for r in one) == 12 * 1963 and len(one) > 12 and max(r[1] for r in one) < 4000
     rank = lambda x: (x[0], x[1], x[2][0], x[2][1], x[2][2] or 0, x[2][3])
     assert all(rank(a[3]) <= rank(b[2]) for a, b in zip(one, one[1:]))
+
+
+def test_stored_columns_have_one_encoding(spark, tmp_path):
+    """Several are listed in an order that differs from executor to executor, so files of equal rows would differ by who wrote them."""
+    path = f"file://{tmp_path}/d"
+    io.write_race_dataset(queries.the_dataset(spark, FOLDER), path, check=False)
+    files = [pq.read_metadata(f) for f in (tmp_path / "d").rglob("*.parquet")]
+    columns = [m.row_group(g).column(c) for m in files for g in range(m.num_row_groups) for c in range(m.num_columns)]
+    assert len(files) == 30 and {len(c.encodings) for c in columns} == {1}
